@@ -15,13 +15,8 @@ SUMS = ["n", "sp", "st", "spp", "stt", "spt", "sae", "sse", "nz"]
 NOISE = 1.0e-12
 
 
-def pair_sums(pred: str | Column = "pred", true: str | Column = "true", prefix: str = "") -> list[Column]:
-    """Aggregates for `groupBy().agg(*…)`; pairs with a non-finite side do not count."""
-    x = F.col(pred) if isinstance(pred, str) else pred
-    y = F.col(true) if isinstance(true, str) else true
-    ok = finite(x) & finite(y)
-    p = F.when(ok, x.cast("double"))
-    t = F.when(ok, y.cast("double"))
+def _sums(prefix: str) -> list[Column]:
+    p, t = F.col(prefix + "_p"), F.col(prefix + "_t")
     e = p - t
     zero = F.lit(0.0)
     total = lambda c, name: F.coalesce(F.sum(c), zero).alias(prefix + name)
@@ -38,6 +33,23 @@ def pair_sums(pred: str | Column = "pred", true: str | Column = "true", prefix:
     ]
 
 
+def sum_pairs(df: DataFrame, keys: list[str], pairs: dict[str, tuple[str | Column, str | Column]] | None = None) -> DataFrame:
+    """Power sums per group, for one or several (pred, true) pairs side by side, told apart by a prefix.
+
+    The values are projected first, so that the aggregate works on plain columns and its generated code stays small.
+    Pairs with a non-finite side do not count.
+    """
+    pairs = pairs or {"": ("pred", "true")}
+    as_col = lambda c: F.col(c) if isinstance(c, str) else c
+    raw = [as_col(c).cast("double").alias(f"{k}_{side}") for k, pt in pairs.items() for side, c in zip("xy", pt)]
+    clean = []
+    for k in pairs:
+        x, y = F.col(f"{k}_x"), F.col(f"{k}_y")
+        ok = finite(x) & finite(y)
+        clean += [F.when(ok, x).alias(f"{k}_p"), F.when(ok, y).alias(f"{k}_t")]
+    return df.select(*keys, *raw).select(*keys, *clean).groupBy(*keys).agg(*[a for k in pairs for a in _sums(k)])
+
+
 def merged_sums() -> list[Column]:
     return [F.sum(c).alias(c) for c in SUMS]
 
@@ -63,6 +75,14 @@ def pearson_of_sums() -> Column:
     return F.when((F.col("n") >= 3) & (vp > 0) & (vt > 0), num / F.sqrt(vp * vt))
 
 
+def pearson(x: str, y: str) -> Column:
+    """The same correlation as one aggregate over finite columns, by central moments. `corr` itself fails on a
+    constant column in ANSI mode."""
+    vx, vy = F.var_pop(x), F.var_pop(y)
+    varies = (vx > F.lit(NOISE) * F.avg(F.col(x) * F.col(x))) & (vy > F.lit(NOISE) * F.avg(F.col(y) * F.col(y)))
+    return F.when((F.count(x) >= 3) & varies, F.covar_pop(x, y) / F.sqrt(vx * vy))
+
+
 def _per_n(c: Column) -> Column:
     return F.when(F.col("n") > 0, c / F.col("n"))
 
@@ -93,7 +113,6 @@ def pair_metrics(
 ) -> DataFrame:
     """Group, reduce and finish in one step."""
     return (
-        df.groupBy(*keys)
-        .agg(*pair_sums(pred, true))
+        sum_pairs(df, keys, {"": (pred, true)})
         .select(*keys, *metric_columns(count_name, detected))
     )

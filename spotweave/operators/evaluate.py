@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spotweave.functions.moments import (
     merged_sums,
     metric_columns,
-    pair_sums,
     pearson_of_sums,
     r2_of_sums,
     stack_sums,
+    sum_pairs,
 )
 from spotweave.functions.scalars import finite, prediction_value, rate_of, truth_value
 from spotweave.operators.align import CELL, measured_only
@@ -45,7 +45,7 @@ def pairs_of_kind(cells: DataFrame, kind: str) -> DataFrame:
 
 def gene_metrics(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or ["gene"]
-    return pairs.groupBy(*keys).agg(*pair_sums()).select(*keys, *metric_columns("n_obs", detected=True))
+    return sum_pairs(pairs, keys).select(*keys, *metric_columns("n_obs", detected=True))
 
 
 def gene_summary(per_gene: DataFrame, keys: list[str] | None = None, metric: str = "pearson") -> DataFrame:
@@ -59,7 +59,7 @@ def gene_summary(per_gene: DataFrame, keys: list[str] | None = None, metric: str
 
 def sample_gene_sums(pairs: DataFrame) -> DataFrame:
     """The fine-grained state all levels roll up from; as large as samples × genes, not as the cells."""
-    return pairs.groupBy(SAMPLE, "gene").agg(*pair_sums())
+    return sum_pairs(pairs, [SAMPLE, "gene"])
 
 
 def level_metrics(sums: DataFrame, samples: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -123,8 +123,7 @@ def ablation_columns(cells: DataFrame) -> dict[str, tuple[Column, Column]]:
 
 def ablation_sums(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of the four ablations in one pass: side by side while aggregating, one row per method afterwards."""
-    aggs = [a for name, (p, t) in ablation_columns(cells).items() for a in pair_sums(p, t, name + "_")]
-    wide = cells.groupBy(*keys).agg(*aggs)
+    wide = sum_pairs(cells, keys, {name + "_": pt for name, pt in ablation_columns(cells).items()})
     return stack_sums(wide, keys, {name: name + "_" for name in ABLATIONS}, "method")
 
 
@@ -178,7 +177,7 @@ def _extended(sums: DataFrame, keys: list[str], moments: bool) -> DataFrame:
 
 def extended_metrics(pairs: DataFrame, keys: list[str], moments: bool = False) -> DataFrame:
     """pearson, spearman, mse, rmse, mae, r2 per group (gene, spot or sample)."""
-    base = _extended(pairs.groupBy(*keys).agg(*pair_sums()), keys, moments)
+    base = _extended(sum_pairs(pairs, keys), keys, moments)
     rho = spearman(pairs, keys)
     return base.join(rho, keys, "left") if keys else base.crossJoin(F.broadcast(rho))
 
@@ -186,7 +185,7 @@ def extended_metrics(pairs: DataFrame, keys: list[str], moments: bool = False) -
 def matrix_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Metrics of all cells of a group, its size, and mean and median of its gene correlations."""
     flat = extended_metrics(pairs, keys)
-    by_gene = pairs.groupBy(*keys, "gene").agg(*pair_sums())
+    by_gene = sum_pairs(pairs, [*keys, "gene"])
     genes = by_gene.select(*keys, "gene", pearson_of_sums().alias("_r"), "n").groupBy(*keys).agg(
         F.avg("_r").alias("mean_gene_pearson"),
         F.percentile("_r", 0.5).alias("median_gene_pearson"),
@@ -220,7 +219,7 @@ def partial_gene_pearson(pairs: DataFrame, covariate: str) -> DataFrame:
     """
     p, t, c = "pred", "true", covariate
     ok = pairs.filter(finite(F.col(p)) & finite(F.col(t)) & finite(F.col(c)))
-    wide = ok.groupBy("gene").agg(*pair_sums(p, t, "a_"), *pair_sums(p, c, "b_"), *pair_sums(t, c, "c_"))
+    wide = sum_pairs(ok, ["gene"], {"a_": (p, t), "b_": (p, c), "c_": (t, c)})
     r = stack_sums(wide, ["gene"], {"pt": "a_", "pc": "b_", "tc": "c_"}, "pair").select(
         "gene", "pair", "n", pearson_of_sums().alias("r")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from spotweave.functions.moments import SUMS, merged_sums, metric_columns, pair_sums, stack_sums
+from spotweave.functions.moments import merged_sums, metric_columns, stack_sums, sum_pairs
 from spotweave.functions.scalars import rate_of
 from spotweave.operators.sizefactor import SAMPLE, SPOT
 
@@ -111,8 +111,7 @@ def set_fidelity(scores: DataFrame, samples: DataFrame, coverage: DataFrame) ->
     Reduced once to (sample, signature) for both scales side by side; the levels roll up from there.
     """
     valid = lambda c, k: F.when(F.col(f"{k}_valid"), F.col(c))
-    aggs = [a for k in KINDS for a in pair_sums(valid(f"{k}_pred", k), valid(f"{k}_true", k), k + "_")]
-    wide = scores.groupBy(SAMPLE, "signature").agg(*aggs)
+    wide = sum_pairs(scores, [SAMPLE, "signature"], {k + "_": (valid(f"{k}_pred", k), valid(f"{k}_true", k)) for k in KINDS})
     sums = stack_sums(wide, [SAMPLE, "signature"], {k: k + "_" for k in KINDS}, "metric_kind")
     labelled = sums.join(samples.select(SAMPLE, F.coalesce("organ", F.lit("unknown")).alias("organ")), SAMPLE)
     keys = ["metric_kind", "signature"]

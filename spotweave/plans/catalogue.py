@@ -3,5 +3,6 @@
 from spotweave.plans import (  # noqa: F401
     q_totals,
     q_evaluate,
+    q_sfmetrics,
 )
 from spotweave.plans.registry import ORACLES, QUERIES  # noqa: F401
