@@ -4,5 +4,7 @@ from spotweave.plans import (  # noqa: F401
     q_totals,
     q_evaluate,
     q_sfmetrics,
+    q_projections,
+    q_joins,
 )
 from spotweave.plans.registry import ORACLES, QUERIES  # noqa: F401
