@@ -168,4 +168,8 @@ def with_views(body: str) -> str:
             needed.add(v)
             todo += [u for u in _used(VIEWS[v]) if u != v]
     ctes = [f"{v} AS MATERIALIZED ({VIEWS[v].strip()})" for v in VIEWS if v in needed]
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
+    if not ctes:
+        return body
+    own = body.lstrip()
+    rest = ",\n" + own[5:] if own.startswith("WITH ") else "\n" + body
+    return "WITH " + ",\n".join(ctes) + rest

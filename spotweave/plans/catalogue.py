@@ -6,5 +6,7 @@ from spotweave.plans import (  # noqa: F401
     q_sfmetrics,
     q_projections,
     q_joins,
+    q_baselines,
+    q_splits,
 )
 from spotweave.plans.registry import ORACLES, QUERIES  # noqa: F401
