@@ -8,5 +8,6 @@ from spotweave.plans import (  # noqa: F401
     q_joins,
     q_baselines,
     q_splits,
+    q_genesets,
 )
 from spotweave.plans.registry import ORACLES, QUERIES  # noqa: F401
