@@ -9,8 +9,10 @@ from spotweave.functions.scalars import finite
 from spotweave.operators.sizefactor import SAMPLE, SPOT, with_group_stats
 from spotweave.session import materialise
 
-# A spot has one row per cell type, so a window over a spot is always small.
-_IN_SPOT = W.partitionBy(*SPOT)
+
+def _in_spot():
+    """A window over a spot: one row per cell type, so always small."""
+    return W.partitionBy(*SPOT)
 
 
 def mapping_coverage(cell_types: DataFrame, scores: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def complete_cases(scores: DataFrame, names: DataFrame, name: str) -> DataFrame:
     need = used.agg(F.count(F.lit(1)).alias("_need"))
     ok = F.coalesce(F.col("valid"), F.lit(False)) & finite(F.col("true")) & finite(F.col("pred"))
     rows = scores.join(F.broadcast(used), "signature").select(*SPOT, name, "true", "pred", ok.alias("_ok"))
-    full = rows.withColumn("_n", F.count(F.when(F.col("_ok"), 1)).over(_IN_SPOT)).crossJoin(F.broadcast(need))
+    full = rows.withColumn("_n", F.count(F.when(F.col("_ok"), 1)).over(_in_spot())).crossJoin(F.broadcast(need))
     return full.filter("_n = _need").select(*SPOT, name, "true", "pred")
 
 
@@ -48,9 +50,9 @@ def zscores_from_true(cases: DataFrame, name: str) -> DataFrame:
 def softmax_fractions(z: DataFrame, name: str, temperature: float = 1.0) -> DataFrame:
     """Fractions per spot, shifted by the largest score of the spot before the exponential."""
     t = F.lit(max(temperature, 1.0e-6))
-    shifted = lambda c: F.exp((F.col(c) - F.max(c).over(_IN_SPOT)) / t)
+    shifted = lambda c: F.exp((F.col(c) - F.max(c).over(_in_spot())) / t)
     d = z.select(*SPOT, name, shifted("true").alias("_et"), shifted("pred").alias("_ep"))
-    share = lambda c: F.col(c) / F.sum(c).over(_IN_SPOT)
+    share = lambda c: F.col(c) / F.sum(c).over(_in_spot())
     return d.select(*SPOT, name, share("_et").alias("true"), share("_ep").alias("pred"))
 
 

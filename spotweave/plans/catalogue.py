@@ -9,5 +9,6 @@ from spotweave.plans import (  # noqa: F401
     q_baselines,
     q_splits,
     q_genesets,
+    q_spatial,
 )
 from spotweave.plans.registry import ORACLES, QUERIES  # noqa: F401
