@@ -10,5 +10,6 @@ from spotweave.plans import (  # noqa: F401
     q_splits,
     q_genesets,
     q_spatial,
+    q_models,
 )
 from spotweave.plans.registry import ORACLES, QUERIES  # noqa: F401
