@@ -11,5 +11,7 @@ from spotweave.plans import (  # noqa: F401
     q_genesets,
     q_spatial,
     q_models,
+    q_sources,
+    q_marts,
 )
 from spotweave.plans.registry import ORACLES, QUERIES  # noqa: F401
