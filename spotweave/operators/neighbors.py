@@ -2,7 +2,8 @@
 
 Points are binned into square cells; a point meets the candidates of its 3×3 block. Anything closer than one cell
 width is certain to be in the block, so a point is done once its k-th neighbour is that close. The others go on with
-cells twice as wide. Cell widths start at the mean density of the group. Small groups start with one cell.
+cells twice as wide. Cell widths start at the mean density of the group. Groups of a few points skip the grid: their
+points are compared inside one expression.
 
 Points at the same place are folded first: whoever looks at a place needs at most the k + 1 lowest ids there, so a
 pile of coincident points costs no more than a few.
@@ -14,6 +15,7 @@ import math
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from spotweave.operators.sizefactor import with_group_stats
 from spotweave.session import materialise
 
 SMALL = 16
@@ -52,12 +54,38 @@ def knn(points: DataFrame, keys: list[str], k: int, point_id: str = "spot_id", s
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    need = k + 1
-    small = SMALL * need if small is None else small
-    pts = materialise(
-        points.select(*keys, F.col(point_id).alias("_id"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
-        .filter("_x IS NOT NULL AND _y IS NOT NULL AND NOT isnan(_x) AND NOT isnan(_y)")
+    small = SMALL * (k + 1) if small is None else small
+    pts = points.select(*keys, F.col(point_id).alias("_id"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
+    pts = pts.filter("_x IS NOT NULL AND _y IS NOT NULL AND NOT isnan(_x) AND NOT isnan(_y)")
+    pts = materialise(with_group_stats(pts, keys, F.count(F.lit(1)).alias("_n")))
+    near = _compare_all(pts.filter(F.col("_n") <= small), keys, k)
+    large = pts.filter(F.col("_n") > small).drop("_n")
+    if not large.isEmpty():
+        near = near.unionByName(_search_grid(large, keys, k))
+    return near.select(*keys, "_id", F.posexplode("_near").alias("_i", "_e")).select(
+        *keys, F.col("_id").alias(point_id), F.col("_e._rep").alias("neighbor_id"), F.col("_e._d2").alias("d2"), (F.col("_i") + 1).alias("rank")
     )
+
+
+def _compare_all(pts: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """For groups of at most a fixed number of points: gather the group and sort its distances, point by point.
+
+    The rows are few bytes but much work, so the number of partitions is the configured one, not what their size suggests.
+    """
+    n = int(pts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pts = pts.repartition(n, *keys)
+    group = pts.groupBy(*keys).agg(F.collect_list(F.struct("_x", "_y", "_id")).alias("_all"))
+    others = F.filter("_all", lambda s: s["_id"] != F.col("_id"))
+
+    def apart(s):
+        dx, dy = F.col("_x") - s["_x"], F.col("_y") - s["_y"]
+        return F.struct((dx * dx + dy * dy).alias("_d2"), s["_id"].alias("_rep"))
+
+    return pts.join(group, keys).select(*keys, "_id", F.slice(F.array_sort(F.transform(others, apart)), 1, k).alias("_near"))
+
+
+def _search_grid(pts: DataFrame, keys: list[str], k: int) -> DataFrame:
+    need = k + 1
     # Spark applies the rank limit before the shuffle as well, so a pile of points is cut down where it lies.
     at_place = W.partitionBy(*keys, "_x", "_y").orderBy("_id")
     reps = pts.withColumn("_r", F.row_number().over(at_place)).filter(F.col("_r") <= need)
@@ -65,7 +93,7 @@ def knn(points: DataFrame, keys: list[str], k: int, point_id: str = "spot_id", s
     places = reps.select(*keys, "_x", "_y").distinct()
     span = F.greatest(F.col("_sx"), F.col("_sy"))
     dense = F.sqrt(F.lit(2.0 * need / math.pi) * F.col("_sx") * F.col("_sy") / F.col("_n"))
-    width = F.when(F.col("_n") <= small, span).otherwise(F.greatest(dense, F.lit(2.0 * need) * span / F.col("_n")))
+    width = F.greatest(dense, F.lit(2.0 * need) * span / F.col("_n"))
     box = places.groupBy(*keys).agg(
         F.min("_x").alias("_x0"), F.min("_y").alias("_y0"), (F.max("_x") - F.min("_x")).alias("_sx"),
         (F.max("_y") - F.min("_y")).alias("_sy"), F.count(F.lit(1)).alias("_n"),
@@ -84,7 +112,4 @@ def knn(points: DataFrame, keys: list[str], k: int, point_id: str = "spot_id", s
             break
         pending = places.join(left, [*keys, "_x", "_y"], "left_semi")
     others = F.filter("_near", lambda s: s["_rep"] != F.col("_id"))
-    per_point = pts.join(found, [*keys, "_x", "_y"]).select(*keys, "_id", F.slice(others, 1, k).alias("_near"))
-    return per_point.select(*keys, "_id", F.posexplode("_near").alias("_i", "_e")).select(
-        *keys, F.col("_id").alias(point_id), F.col("_e._rep").alias("neighbor_id"), F.col("_e._d2").alias("d2"), (F.col("_i") + 1).alias("rank")
-    )
+    return pts.join(found, [*keys, "_x", "_y"]).select(*keys, "_id", F.slice(others, 1, k).alias("_near"))

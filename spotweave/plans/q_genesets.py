@@ -305,7 +305,12 @@ JOIN (SELECT name, avg(t) AS m, CASE WHEN stddev_pop(t) < 1e-6 THEN 1.0 ELSE std
 )
 
 
-@query("K1_state_vectors", "SELECT sample_id, spot_id, round(t[1], 6) + 0.0 AS t0, round(t[4], 6) + 0.0 AS t3, round(p[1], 6) + 0.0 AS p0, len(t) AS n FROM (SELECT sample_id, spot_id, list(t ORDER BY name) AS t, list(p ORDER BY name) AS p FROM state_z GROUP BY ALL)")
+@query(
+    "K1_state_vectors",
+    """SELECT sample_id, spot_id, t[1] AS t0, t[4] AS t3, p[1] AS p0, len(t) AS n
+FROM (SELECT sample_id, spot_id, list(t ORDER BY name) AS t, list(p ORDER BY name) AS p FROM state_z GROUP BY ALL)""",
+    "t0 t3 p0",
+)
 def _(v: Views):
     d = states.vectors(_z(v), "name")
     at = lambda c, i: F.col(c)[i]

@@ -119,7 +119,6 @@ def _(v: Views):
     """SELECT sample_id, spot_id, gene, cast(true_count AS double) AS count, ln(1 + true_count) AS log1p_count,
   true_count / greatest(sf, 1e-6) AS rate, ln(1 + true_count / greatest(sf, 1e-6)) AS log1p_rate FROM eval_cells""",
     "count log1p_count rate log1p_rate",
-    10,
 )
 def _(v: Views):
     return v.eval_cells.select(

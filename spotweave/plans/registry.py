@@ -11,16 +11,21 @@ from spotweave.plans.base_sql import with_views
 from spotweave.sources.views import Views, views
 
 DIGITS = 6
+NUDGE = 1.00000000001
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles rounded for comparison across engines; adding zero turns -0.0 into 0.0."""
+    """Doubles rounded for comparison across engines; adding zero turns -0.0 into 0.0.
+
+    Values that lie exactly between two roundings, such as 1/128, would fall to either side by the last bit of a sum. The
+    factor moves all of them to the same side.
+    """
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append((F.round(F.col(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name))
+            cols.append((F.round(F.col(f.name).cast("double") * F.lit(NUDGE), digits) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -34,7 +39,7 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = DI
         if sql is not None:
             body = sql
             if doubles:
-                reps = ", ".join(f"round(cast({c} as double), {digits}) + 0.0 AS {c}" for c in doubles.split())
+                reps = ", ".join(f"round(cast({c} AS double) * cast({NUDGE} AS double), {digits}) + 0.0 AS {c}" for c in doubles.split())
                 body = f"SELECT * REPLACE ({reps}) FROM (\n{sql}\n) AS q"
             ORACLES[name] = with_views(body)
         return fn
