@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spotweave.functions.moments import SUMS, merged_sums, metric_columns
 from spotweave.functions.scalars import rate_of
 from spotweave.operators.evaluate import gene_summary, level_metrics
+from spotweave.operators.ordering import group_quantile
 from spotweave.operators.sizefactor import SAMPLE, SPOT
 from spotweave.session import materialise
 
@@ -159,9 +160,8 @@ def target_coverage(sample_genes: DataFrame, targets: DataFrame, samples: DataFr
 
 def coverage_by_group(coverage: DataFrame, keys: list[str]) -> DataFrame:
     c = "measured_target_genes"
-    return coverage.groupBy(*keys).agg(
-        F.count(c).alias("n_slides"), F.min(c).alias("min_genes"), F.percentile(c, 0.5).alias("median_genes"), F.max(c).alias("max_genes")
-    )
+    d = coverage.groupBy(*keys).agg(F.count(c).alias("n_slides"), F.min(c).alias("min_genes"), F.max(c).alias("max_genes"))
+    return d.join(group_quantile(coverage, keys, c, 0.5, "median_genes"), keys)
 
 
 def _distinct_by_priority(picks: DataFrame, key: str, cap: int) -> DataFrame:

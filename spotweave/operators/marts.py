@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spotweave.functions.scalars import slugify
+from spotweave.operators.ordering import group_quantile
 from spotweave.operators.sizefactor import SAMPLE
 
 TASK = ["split_type", "heldout"]
@@ -24,9 +25,8 @@ def value_counts(samples: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def spot_stats(samples: DataFrame, key: str = "organ", value: str = "spots_under_tissue") -> DataFrame:
-    return samples.groupBy(key).agg(
-        F.count(value).alias("count"), F.sum(value).alias("sum"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("min"), F.max(value).alias("max")
-    )
+    d = samples.groupBy(key).agg(F.count(value).alias("count"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return d.join(group_quantile(samples, [key], value, 0.5, "median"), key, "left")
 
 
 def manifest(samples: DataFrame, assets: DataFrame, required: tuple[str, ...] = ("features", "counts", "coords")) -> tuple[DataFrame, DataFrame]:

@@ -61,6 +61,22 @@ def hotspot_jaccard(df: DataFrame, keys: list[str], fraction: float) -> DataFram
     )
 
 
+def shared_edges(points: DataFrame, k: int) -> DataFrame:
+    """Neighbours per (sample, signature). Signatures of a sample that are usable on the same spots share one search.
+
+    Two sets of spots are taken for equal when their sizes and two independent 64-bit sums of hashes agree.
+    """
+    spot = F.col("spot_id")
+    sets = points.groupBy(*GROUP).agg(
+        F.concat_ws("/", F.count(F.lit(1)), F.bit_xor(F.xxhash64(spot)), F.bit_xor(F.xxhash64(spot, F.lit("second")))).alias("_set")
+    )
+    sets = materialise(sets)
+    first = sets.groupBy(SAMPLE, "_set").agg(F.min("signature").alias("signature"))
+    chosen = points.join(first, GROUP).select(SAMPLE, "_set", "spot_id", "x", "y")
+    edges = knn(chosen, [SAMPLE, "_set"], k)
+    return edges.join(sets, [SAMPLE, "_set"]).drop("_set")
+
+
 def spatial_report(scores: DataFrame, k: int = 6, fraction: float = 0.2, min_spots: int = 30) -> DataFrame:
     """Per (slide, signature) with enough usable spots: correlations, Moran's I, lag correlation, hotspot overlap.
 
@@ -68,7 +84,7 @@ def spatial_report(scores: DataFrame, k: int = 6, fraction: float = 0.2, min_spo
     """
     ok = with_group_stats(usable(scores), GROUP, F.count(F.lit(1)).alias("_n"))
     ok = materialise(ok.filter(F.col("_n") >= max(min_spots, 3)).drop("_n"))
-    edges = knn(ok, GROUP, k)
+    edges = shared_edges(ok, k)
     z = group_zscores(ok, GROUP, ["true", "pred"])
     lagged = materialise(spatial_lag(z.select(*GROUP, "spot_id", "true", "pred", "z_true", "z_pred"), edges, GROUP, ["z_true", "z_pred"]))
     sums = lagged.groupBy(*GROUP).agg(
@@ -84,14 +100,15 @@ def spatial_report(scores: DataFrame, k: int = 6, fraction: float = 0.2, min_spo
 
 
 def signature_summary(report: DataFrame) -> DataFrame:
-    """Over slides, per signature. The report has a row per slide and signature."""
-    return report.groupBy("signature").agg(
+    """Over slides, per signature."""
+    median = group_quantile(report, ["signature"], "spatial_lag_pearson", 0.5, "median_spatial_lag_pearson")
+    means = report.groupBy("signature").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.countDistinct(SAMPLE).alias("n_slides"), F.sum("n_spots").alias("n_spots"),
         F.avg("spot_pearson").alias("mean_spot_pearson"), F.avg("true_moran_i").alias("mean_true_moran_i"),
         F.avg("pred_moran_i").alias("mean_pred_moran_i"), F.avg("moran_abs_delta").alias("mean_abs_moran_delta"),
-        F.avg("spatial_lag_pearson").alias("mean_spatial_lag_pearson"), F.percentile("spatial_lag_pearson", 0.5).alias("median_spatial_lag_pearson"),
-        F.avg("hotspot_jaccard").alias("mean_hotspot_jaccard"),
+        F.avg("spatial_lag_pearson").alias("mean_spatial_lag_pearson"), F.avg("hotspot_jaccard").alias("mean_hotspot_jaccard"),
     )
+    return means.join(median, "signature", "left")
 
 
 def overall_summary(report: DataFrame) -> DataFrame:
@@ -103,10 +120,10 @@ def overall_summary(report: DataFrame) -> DataFrame:
     whole = report.agg(
         F.countDistinct("signature").alias("n_signatures"), F.countDistinct(SAMPLE).alias("n_slides"), F.count(F.lit(1)).alias("n_pairs"),
         F.sum("n_spots").alias("n_spots"), F.avg("moran_abs_delta").alias("mean_abs_moran_delta"),
-        F.avg("spatial_lag_pearson").alias("mean_spatial_lag_pearson"), F.percentile("spatial_lag_pearson", 0.5).alias("median_spatial_lag_pearson"),
-        F.avg("hotspot_jaccard").alias("mean_hotspot_jaccard"),
+        F.avg("spatial_lag_pearson").alias("mean_spatial_lag_pearson"), F.avg("hotspot_jaccard").alias("mean_hotspot_jaccard"),
     )
-    return whole.crossJoin(F.broadcast(best))
+    median = group_quantile(report, [], "spatial_lag_pearson", 0.5, "median_spatial_lag_pearson")
+    return whole.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(best))
 
 
 def neighbor_means(spots: DataFrame, edges: DataFrame, features: str = "features", out: str = "neighbor_mean") -> DataFrame:

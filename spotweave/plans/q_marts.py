@@ -8,6 +8,7 @@ from spotweave.functions.moments import metric_columns
 from spotweave.operators import baselines as bl
 from spotweave.operators import composition as comp
 from spotweave.operators import evaluate, genesets, marts as op, spatial, splits, states
+from spotweave.operators.ordering import group_quantile
 from spotweave.plans import q_genesets as qg
 from spotweave.plans import q_models as qm
 from spotweave.plans import q_spatial as qs
@@ -262,12 +263,14 @@ define(
 def external_runs(v: Views):
     """Document sources stand for external runs, their texts for the training data."""
     n, c, total = F.count(F.lit(1)), F.col("n_chars"), F.sum("n_chars")
-    return v.table("documents").groupBy("source").agg(
+    docs = v.table("documents").select("doc_id", "source", "n_chars")
+    median = group_quantile(docs, ["source"], "n_chars", 0.5, "_median")
+    return docs.groupBy("source").agg(
         F.min("doc_id").alias("_first"), F.lit("log1p_rate").alias("prediction_kind"), (F.avg(c) / 10000).alias("mean_gene_pearson"),
-        (F.percentile(c, 0.5) / 10000).alias("median_gene_pearson"), n.alias("valid_genes"), n.alias("n_slides"), F.lit(False).alias("oracle_mode"),
+        n.alias("valid_genes"), n.alias("n_slides"), F.lit(False).alias("oracle_mode"),
         F.floor(total / 500).cast("bigint").alias("n_train_slides"), F.when(n % 3 != 0, F.floor(total / 40).cast("bigint")).alias("n_train_chunks"),
         F.when(n % 5 != 0, total).alias("n_train_spots"), (F.max(c) % 9).alias("epochs"), F.when(n % 2 == 0, F.lit(True)).alias("complete"),
-    ).withColumn("method", F.when(F.col("_first") == 0, F.concat(F.lit("smoke_"), "source")).otherwise(F.col("source"))).drop("source", "_first")
+    ).join(median, "source").withColumn("median_gene_pearson", F.col("_median") / 10000).drop("_median").withColumn("method", F.when(F.col("_first") == 0, F.concat(F.lit("smoke_"), "source")).otherwise(F.col("source"))).drop("source", "_first")
 
 
 define(
