@@ -1,9 +1,9 @@
 """Ranks, prefix sums and exact quantiles inside groups of any size.
 
 A window over a group puts the whole group into one task. That is fine while groups are small, so the size of the
-largest group is looked at first. Beyond `bucket_rows` each large group is cut at sampled values of its own order into
-buckets of bounded size; a row's position is its position in the bucket plus the size of all earlier buckets. The
-sample is picked by a hash of the row, so a recomputed task cuts at the same values. The result is exact either way.
+largest group is looked at first. Beyond `bucket_rows` the table is range-partitioned by group and order, and written
+once with the number of the range each row fell into. A large group then spans many ranges of bounded size; a row's
+position is its position in the range plus the size of the group's earlier ranges. The result is exact either way.
 """
 
 from __future__ import annotations
@@ -13,43 +13,21 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from spotweave.session import materialise
 
 BUCKET_ROWS = 2_000_000
-OVERSAMPLE = 16
-_LOCAL = ["_ord", "_w", "_k", "_edges", "_bucket", "_before", "_total"]
+
+
+def _sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the largest group and of the whole table."""
+    row = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    return int(row[0] or 0), int(row[1] or 0)
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
+    return _sizes(df, keys)[0]
 
 
-def _bucketed(df: DataFrame, keys: list[str], bucket_rows: int) -> DataFrame:
-    """Adds `_bucket` to rows that carry `_ord`."""
-    on = keys or ["_all"]
-    d = df if keys else df.withColumn("_all", F.lit(1))
-    sizes = (
-        d.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > bucket_rows)
-        .withColumn("_k", F.ceil(F.col("_rows") / F.lit(bucket_rows)).cast("int"))
-    )
-    share = F.pmod(F.xxhash64("_ord"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = (
-        d.join(sizes, on)
-        .filter(share < F.col("_k") * F.lit(float(OVERSAMPLE)) / F.col("_rows"))
-        .groupBy(*on)
-        .agg(F.array_sort(F.collect_set("_ord")).alias("_cuts"))
-    )
-    edges = picked.select(
-        *on,
-        F.filter("_cuts", lambda _, i: F.pmod(i, F.lit(OVERSAMPLE)) == OVERSAMPLE - 1).alias("_edges"),
-    )
-    cut = d.join(edges, on, "left").withColumn(
-        "_bucket",
-        F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(
-            F.size(F.filter("_edges", lambda e: e < F.col("_ord")))
-        ),
-    )
-    return cut.drop("_edges")
+def _ranges(d: DataFrame, on: list[str], n: int) -> DataFrame:
+    """Rows with `_bucket`, rising along (group, order). It is stored, so later reads all see the same ranges."""
+    return materialise(d.repartitionByRange(n, *on, "_ord").withColumn("_bucket", F.spark_partition_id()))
 
 
 def running_total(
@@ -66,11 +44,13 @@ def running_total(
     """
     d = df.withColumn("_ord", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
     d = d.withColumn("_w", F.lit(1).cast("long") if weight is None else weight)
-    if largest_group(df, keys) <= bucket_rows:
+    largest, rows = _sizes(df, keys)
+    if largest <= bucket_rows:
         w = W.partitionBy(*keys).orderBy("_ord").rowsBetween(W.unboundedPreceding, W.currentRow)
         return d.withColumn(out, F.sum("_w").over(w)).drop("_ord", "_w")
     on = keys or ["_all"]
-    cut = materialise(_bucketed(d, keys, bucket_rows))
+    d = d if keys else d.withColumn("_all", F.lit(1))
+    cut = _ranges(d, on, -(-rows // bucket_rows) + 1)
     sizes = cut.groupBy(*on, "_bucket").agg(F.sum("_w").alias("_total"))
     earlier = W.partitionBy(*on).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*on, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
