@@ -17,7 +17,7 @@ from spotweave.functions.moments import metric_columns, sum_pairs
 from spotweave.functions.scalars import dot
 from spotweave.operators.evaluate import gene_summary
 from spotweave.operators.sfmetrics import METRICS, sf_metrics
-from spotweave.operators.sizefactor import SAMPLE, SPOT, normalise_predicted
+from spotweave.operators.sizefactor import SPOT, normalise_predicted
 from spotweave.session import materialise
 
 HELD = 256
@@ -155,6 +155,3 @@ def generalization_rows(df: DataFrame, group: str, sf_target: str, gene_targets:
     tasks = df.select(group).distinct().select(group, stages)
     out = tasks.join(rows, [group, "stage"], "left")
     return out.select(F.col(group).alias("heldout"), "stage", F.when(F.col("metric").isNull(), "missing_model").otherwise("ok").alias("status"), "metric", "value")
-
-
-_ = SAMPLE

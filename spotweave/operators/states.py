@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spotweave.checks import InputError
 from spotweave.operators.composition import agreement, confusion
-from spotweave.operators.sizefactor import SAMPLE, SPOT
+from spotweave.operators.sizefactor import SPOT
 from spotweave.operators.splits import fit_subset
 from spotweave.session import materialise
 
@@ -122,6 +122,3 @@ def annotate_states(z: DataFrame, labels: DataFrame, name: str, n_states: int) -
         F.array_join(F.transform(top, lambda s: F.format_string("%.3f", s["t"])), "|").alias("top_true_z"),
         F.to_json("true_centroid").alias("true_centroid_json"), F.to_json("pred_centroid").alias("pred_centroid_json"),
     )
-
-
-_ = SAMPLE

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.moments import metric_columns, merged_sums, pair_metrics
 from spotweave.operators import evaluate as op
-from spotweave.operators.align import with_labels
 from spotweave.plans.base_sql import METRIC_DOUBLES, PEARSON, R2, metrics, sums
 from spotweave.plans.registry import query
 from spotweave.sources.views import Views
@@ -222,6 +221,3 @@ def _(v: Views):
     logged = v.eval_cells.select("sample_id", "spot_id", "gene", "value", "true_count", "sf", F.log(F.col("sf") + F.lit(1e-8)).alias("log_sf"))
     pairs = logged.select("gene", F.greatest("value", F.lit(0.0)).alias("pred"), F.col("true_count").cast("double").alias("true"), "log_sf")
     return op.partial_gene_pearson(pairs, "log_sf")
-
-
-_ = with_labels

@@ -6,7 +6,6 @@ from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from spotweave.functions.moments import metric_columns
 from spotweave.operators import composition as comp
 from spotweave.operators import genesets as op
 from spotweave.operators import states
@@ -381,6 +380,3 @@ FROM spot_scores WHERE valid GROUP BY signature""",
 )
 def _(v: Views):
     return comp.score_scaling(op.scores_of_kind(v.spot_scores, "rate").filter("valid"), "signature")
-
-
-_ = metric_columns

@@ -412,11 +412,9 @@ def _(v: Views):
     return op.with_overall(qm.field_summary(v), o, ["n_slides", "n_signatures"])
 
 
-_HIT = lambda p: " OR ".join(f"(true_label = {i} AND pred_label = {j})" for i, j in enumerate(p))
-_PERM_ROWS = qg._PERMS
 define(
     "state_match",
-    f"""WITH p AS (SELECT * FROM (VALUES {_PERM_ROWS}) p(p0, p1, p2, p3)), c AS (SELECT organ, true_label, pred_label, count(*) AS n FROM state_labels JOIN samples USING (sample_id) GROUP BY ALL),
+    f"""WITH p AS (SELECT * FROM (VALUES {qg._PERMS}) p(p0, p1, p2, p3)), c AS (SELECT organ, true_label, pred_label, count(*) AS n FROM state_labels JOIN samples USING (sample_id) GROUP BY ALL),
 h AS (SELECT organ, p0, p1, p2, p3, sum(CASE WHEN {" OR ".join(f"(true_label = {i} AND pred_label = p{i})" for i in range(4))} THEN n ELSE 0 END) AS h, sum(n) AS t FROM c, p GROUP BY ALL)
 SELECT organ, max(h) / any_value(t) AS best_match_accuracy FROM h GROUP BY organ
 UNION ALL SELECT NULL, max(h) / any_value(t) FROM (SELECT p0, p1, p2, p3, sum(h) AS h, sum(t) AS t FROM h GROUP BY ALL)""",
@@ -480,14 +478,12 @@ def claims(v: Views):
     best_bio = bio.orderBy(F.desc_nulls_last("rate_pearson"), "signature").limit(1).crossJoin(F.broadcast(bio.agg(F.count(F.lit(1)).alias("k"))))
     sp = spatial_mart(v).orderBy(F.desc_nulls_last("mean_spatial_lag_pearson"), "signature").limit(1)
     done = op.completion_status(ready_tasks(v), graded_formal(v))
-    lines = lambda *order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_line"))), lambda s: s["_line"]), "%s")
     gen = done.withColumn("_line", F.concat("item", F.lit(":"), "status")).agg(
         F.bool_and(F.col("status") == "run").alias("all"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "_line"))), lambda s: s["_line"]), ", ").alias("e")
     )
     insp = op.inspection(op.task_metrics(formal_rows(v))).withColumn(
         "_line", F.format_string("%s/%s %.4f worst %s", *c("split_type", "stage", "mean_primary_metric", "worst_heldout"))
     ).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split_type", "stage", "_line"))), lambda s: s["_line"]), "; ").alias("e"))
-    _ = lines
     return op.claim_table([
         op.claim(one, "predicted_size_factors_improve_counts", "supported",
                  F.format_string("count_pred_sf %.4f vs count_no_sf %.4f, delta %.4f", F.col("p"), F.col("n"), F.col("p") - F.col("n")), F.format_string("oracle upper bound %.4f", *c("o"))),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.scalars import log_sf_shifted
 from spotweave.operators import sizefactor as op
-from spotweave.operators import align, evaluate
+from spotweave.operators import align
 from spotweave.plans.registry import query
 from spotweave.sources.views import Views
 
@@ -134,6 +134,3 @@ def _(v: Views):
 )
 def _(v: Views):
     return v.sf.select("sample_id", "spot_id", F.col("log_sf").alias("clipped"), log_sf_shifted(F.col("sf")).alias("shifted"))
-
-
-_ = evaluate

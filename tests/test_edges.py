@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spotweave.checks import InputError
 from spotweave.functions import moments, scalars
 from spotweave.operators import (
-    align, baselines, cohort, composition, evaluate, linear, marts, ordering, pixels, sfmetrics, sizefactor, spatial, splits, states, stratify,
+    align, baselines, cohort, composition, evaluate, linear, ordering, pixels, sizefactor, spatial, splits, states,
 )
 from spotweave.operators.neighbors import knn
 from spotweave.sources import tables
@@ -210,6 +210,3 @@ def test_input_errors(spark):
         scalars.truth_value("other", F.lit(1), F.lit(1))
     with pytest.raises(InputError):
         align.align_genes(frame(spark, [("x", 0)], "gene string, gene_index int"), frame(spark, [("y", 0)], "gene string, gene_index int"))
-
-
-_ = (marts, sfmetrics, stratify)
