@@ -15,7 +15,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from spotweave.llm.common import text_of, without
 
@@ -169,7 +169,7 @@ def codec(spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         for ids in batches:
             yield ids.map(lambda x: b"".join(map(words.__getitem__, memoryview(x).cast("I"))))
 
-    return F.pandas_udf(encode, "binary"), F.pandas_udf(decode, "binary")
+    return F.pandas_udf(encode, T.BinaryType()), F.pandas_udf(decode, T.BinaryType())
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from spotweave.llm.common import text_of
 from spotweave.llm.url_reputation import url_parts
@@ -316,7 +316,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     d = pages.select("page_id", F.col(url_col).alias("url"), host.alias("host"), text_of(html_col).alias("html"))
     known = materialise(wrappers(d.select("host", "html"))).select("host", "main", "template")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def text_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for html_s, main_s, template_s in batches:
             yield pd.Series([read(h, m or "", frozenset(t) if t is not None else frozenset()) for h, m, t in zip(html_s, main_s, template_s)], dtype=object)

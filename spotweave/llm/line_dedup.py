@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from spotweave.llm.common import lower_ascii, strip_spaces, text_of, two_hashes, without
 from spotweave.session import materialise
@@ -131,13 +131,13 @@ def _doc_key(id_col: str, text_col: str) -> list:
     return [h.alias(n) for h, n in zip(two_hashes(F.col(id_col), text_of(text_col)), ("d1", "d2"))]
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _bitmap(drops: pd.Series) -> pd.Series:
     """Bit i is 1 where line i stays; lines beyond the end stay."""
 
     def one(positions) -> bytes:
         p = np.asarray(positions, dtype=np.int64)
-        keep = np.ones(int(p.max()) + 1, dtype=np.uint8)
+        keep = np.ones((int(p.max()) // 8 + 1) * 8, dtype=np.uint8)
         keep[p] = 0
         return zlib.compress(np.packbits(keep, bitorder="little").tobytes())
 
@@ -165,7 +165,7 @@ def keep_bitmaps(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, ke
     return drops.groupBy("d1", "d2").agg(F.collect_set("pos").alias("_p")).select("d1", "d2", _bitmap("_p").alias("keep"))
 
 
-@F.pandas_udf("n_lines long, n_dropped long, text string")
+@F.pandas_udf(T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("text", T.StringType())]))
 def _applied(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, maps in batches:
         out = []

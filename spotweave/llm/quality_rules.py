@@ -15,15 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spotweave.llm.common import SPACES, text_of, without
 from spotweave.session import materialise
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+FEATURES = T.StructType([T.StructField(n, T.LongType()) for n in NAMES])
 
 
 def repeated_words(words: list) -> int:

@@ -11,6 +11,7 @@ All of it is Spark SQL: `regexp_extract_all` gives the matches and `split` the g
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -124,7 +125,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowe
     def window_of(x: Column) -> Column:
         out = F.struct(F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"), F.lit(0).alias("w"))
         for c in reversed(classes):
-            hit = high_entropy_windows(x["m"], c.window, c.bits)
+            # a window cannot have more entropy than the distinct characters of its candidate allow
+            able = F.size(F.array_distinct(F.split(x["m"], ""))) >= math.ceil(2**c.bits)
+            hit = F.when(able, high_entropy_windows(x["m"], c.window, c.bits))
             out = F.when(x["m"].rlike(c.pattern), F.struct(hit["a"].alias("a"), hit["b"].alias("b"), F.lit(c.window).alias("w"))).otherwise(out)
         return F.struct(x["s"].alias("s"), out.alias("h"))
 

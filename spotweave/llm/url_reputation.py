@@ -150,8 +150,7 @@ WITH u AS (
 ), h0 AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM j LEFT JOIN l ON page_id = doc_id GROUP BY host
 ), h AS (
-  SELECT *, list_aggregate(list_slice(string_split(host, '.'), -1, NULL), 'string_agg', '.') AS suffix,
-         list_aggregate(list_slice(string_split(host, '.'), -2, NULL), 'string_agg', '.') AS domain
+  SELECT *, regexp_extract(host, '[^.]*$') AS suffix, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain
   FROM h0
 ), d AS (
   SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2
