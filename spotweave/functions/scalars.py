@@ -43,12 +43,13 @@ def blank_to_null(c: Column) -> Column:
     return F.when(_trimmed(c) != "", c.cast("string"))
 
 
-def slugify(c: Column, max_len: int = 80) -> Column:
+def slugify(c: Column, max_len: int | None = 80) -> Column:
+    """Lower-case words joined by _; cut to `max_len` characters unless that is None."""
     def strip(x: Column) -> Column:
         return F.regexp_replace(x, "^_+|_+$", "")
 
     words = strip(F.regexp_replace(F.lower(c.cast("string")), "[^a-z0-9]+", "_"))
-    cut = strip(F.substring(words, 1, max_len))
+    cut = words if max_len is None else strip(F.substring(words, 1, max_len))
     return F.when(F.coalesce(cut, F.lit("")) == "", F.lit("all")).otherwise(cut)
 
 

@@ -3,7 +3,8 @@
 A window over a group puts the whole group into one task. That is fine while groups are small, so the size of the
 largest group is looked at first. Beyond `bucket_rows` the table is range-partitioned by group and order, and written
 once with the number of the range each row fell into. A large group then spans many ranges of bounded size; a row's
-position is its position in the range plus the size of the group's earlier ranges. The result is exact either way.
+position is its position in the range plus the size of the group's earlier ranges. The result is exact either way, and the
+same: null keys are a group in both.
 """
 
 from __future__ import annotations
@@ -21,6 +22,13 @@ def _sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on `on`, with null equal to null, so that a null key stays a group of its own. Keeps the left keys."""
+    renamed = right.withColumnsRenamed({c: f"_on{i}" for i, c in enumerate(on)})
+    same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(on)]
+    return left.alias("_l").join(renamed, same).drop(*[f"_on{i}" for i in range(len(on))])
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     return _sizes(df, keys)[0]
 
@@ -55,11 +63,7 @@ def running_total(
     earlier = W.partitionBy(*on).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*on, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
     inside = W.partitionBy(*on, "_bucket").orderBy("_ord").rowsBetween(W.unboundedPreceding, W.currentRow)
-    done = (
-        cut.withColumn("_in", F.sum("_w").over(inside))
-        .join(offsets, [*on, "_bucket"])
-        .withColumn(out, F.col("_in") + F.col("_before"))
-    )
+    done = _null_safe(cut.withColumn("_in", F.sum("_w").over(inside)), offsets, [*on, "_bucket"]).withColumn(out, F.col("_in") + F.col("_before"))
     return done.drop("_ord", "_w", "_bucket", "_before", "_in", *([] if keys else ["_all"]))
 
 
@@ -90,7 +94,7 @@ def group_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: st
     first, last = F.col("_upto") - F.col("_ties"), F.col("_upto") - 1
     lo, hi = F.floor("_pos"), F.ceil("_pos")
     hit = lambda p: F.max(F.when((first <= p) & (p <= last), F.col(value)))
-    ends = upto.join(pos, on).groupBy(*on).agg(
+    ends = _null_safe(upto, pos, on).groupBy(*on).agg(
         hit(lo).alias("_lo"), hit(hi).alias("_hi"), F.first("_pos").alias("_pos")
     )
     return ends.select(

@@ -135,7 +135,7 @@ def neighbor_means(spots: DataFrame, edges: DataFrame, features: str = "features
     near = edges.join(there, [SAMPLE, "neighbor_id"]).groupBy(*SPOT).agg(F.collect_list(F.struct("rank", "_v")).alias("_near"))
     ordered = F.transform(F.array_sort("_near"), lambda s: s["_v"])
     total = F.aggregate(
-        F.slice(ordered, 2, 1 << 20), F.element_at(ordered, 1), lambda a, v: F.zip_with(a, v, lambda p, q: p + q)
+        F.slice(ordered, F.lit(2), F.size(ordered) - 1), F.element_at(ordered, 1), lambda a, v: F.zip_with(a, v, lambda p, q: p + q)
     )
     mean = near.select(*SPOT, F.transform(total, lambda x: x / F.size("_near")).alias(out))
     return spots.join(mean, SPOT, "left").withColumn(out, F.coalesce(out, features))
@@ -189,8 +189,11 @@ def context_report(context: DataFrame, samples: DataFrame) -> DataFrame:
     )
 
 
-def spot_layers(sf: DataFrame, counts: DataFrame, genes: DataFrame) -> DataFrame:
-    """Long (sample, spot, layer, x, y, value): log totals, log size factor and log counts of chosen genes."""
+def spot_layers(sf: DataFrame, counts: DataFrame, genes: DataFrame, sample_genes: DataFrame) -> DataFrame:
+    """Long (sample, spot, layer, x, y, value): log totals, log size factor and log counts of chosen genes.
+
+    A gene has a value for every spot of a sample that measured it, 0 where nothing was counted.
+    """
     base = sf.select(
         *SPOT, "x", "y",
         F.explode(
@@ -200,8 +203,11 @@ def spot_layers(sf: DataFrame, counts: DataFrame, genes: DataFrame) -> DataFrame
             )
         ).alias("l"),
     ).select(*SPOT, "l.layer", "x", "y", "l.value")
-    picked = counts.join(F.broadcast(genes.select("gene")), "gene", "left_semi").join(sf.select(*SPOT, "x", "y"), SPOT)
-    return base.unionByName(picked.select(*SPOT, F.concat("gene", F.lit("_log1p_count")).alias("layer"), "x", "y", F.log1p("count").alias("value")))
+    chosen = genes.select("gene").distinct()
+    grid = sf.select(*SPOT, "x", "y").join(sample_genes.select(SAMPLE, "gene").join(chosen, "gene", "left_semi"), SAMPLE)
+    picked = grid.join(counts.join(chosen, "gene", "left_semi").select(*SPOT, "gene", "count"), [*SPOT, "gene"], "left")
+    value = F.log1p(F.coalesce("count", F.lit(0))).alias("value")
+    return base.unionByName(picked.select(*SPOT, F.concat("gene", F.lit("_log1p_count")).alias("layer"), "x", "y", value))
 
 
 def missing_genes(genes: DataFrame, sample_genes: DataFrame) -> DataFrame:

@@ -125,27 +125,22 @@ def hash_uniform(seed: int, *key: Column) -> Column:
     return F.conv(hexed, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def draw_with_replacement(weighted: DataFrame, key: list[str], draws: int, seed: int = 2026) -> DataFrame:
-    """How often each row is drawn in about `draws` weighted draws with replacement.
+def balanced_draws(rows: DataFrame, key: list[str], draws: int, seed: int = 2026) -> DataFrame:
+    """How often each row is drawn in exactly `draws` draws with replacement, every sample with the same chance.
 
-    Every row gets an independent Poisson count with mean draws·weight/Σweight, read off its own hash; nothing is
-    sorted or moved.
+    Draw i takes a sample by one hash uniform and a row inside it by another: two equi-joins on numbers, and only the rows drawn are
+    counted. Rows never drawn have 0; rows of a null sample are a sample of their own.
     """
-    d = with_group_stats(weighted, [], F.sum("weight").alias("_total"))
-    mean = F.lit(float(draws)) * F.col("weight") / F.col("_total")
-    u = hash_uniform(seed, *[F.col(c) for c in key])
-    terms = F.sequence(F.lit(1), F.lit(30))
-    walk = F.aggregate(
-        terms,
-        F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), F.lit(0).alias("k")),
-        lambda a, i: F.struct(
-            (a["p"] * mean / i).alias("p"),
-            (a["cdf"] + a["p"] * mean / i).alias("cdf"),
-            F.when(u >= a["cdf"], i).otherwise(a["k"]).alias("k"),
-        ),
-        lambda a: a["k"],
-    )
-    return d.withColumn("draws", walk.cast("long")).drop("_total")
+    d = rows.withColumn("_s", F.coalesce(F.col(SAMPLE), F.lit("")))
+    d = row_number(d, ["_s"], [F.col(c) for c in key], "_row")
+    sizes = row_number(d.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")), [], [F.col("_s")], "_no")
+    sizes = with_group_stats(sizes, [], F.count(F.lit(1)).alias("_samples"))
+    total = sizes.select(F.col("_samples").alias("_all")).limit(1)
+    drawn = rows.sparkSession.range(draws).select(hash_uniform(seed, F.lit("sample"), F.col("id")).alias("_u"), hash_uniform(seed, F.lit("row"), F.col("id")).alias("_v"))
+    drawn = drawn.crossJoin(total).select((F.floor(F.col("_u") * F.col("_all")) + 1).alias("_no"), "_v")  # one row on the right
+    drawn = drawn.join(sizes.select("_no", "_s", "_n"), "_no").select("_s", (F.floor(F.col("_v") * F.col("_n")) + 1).alias("_row"))
+    times = drawn.groupBy("_s", "_row").agg(F.count(F.lit(1)).alias("draws"))
+    return d.join(times, ["_s", "_row"], "left").withColumn("draws", F.coalesce("draws", F.lit(0)).cast("long")).drop("_s", "_row")
 
 
 def fit_subset(df: DataFrame, key: list[str], n: int, seed: int = 2026) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spotweave.checks import InputError
@@ -12,7 +12,6 @@ from spotweave.operators.sizefactor import SPOT
 from spotweave.operators.splits import fit_subset
 from spotweave.session import materialise
 
-MAX_LABELS = 12
 
 
 def vectors(z: DataFrame, name: str) -> DataFrame:
@@ -21,17 +20,34 @@ def vectors(z: DataFrame, name: str) -> DataFrame:
     return packed.select(*SPOT, F.col("_s.true").alias("true_z"), F.col("_s.pred").alias("pred_z"))
 
 
-def fit_centres(vecs: DataFrame, n_states: int = 6, seed: int = 2026, max_fit: int = 50_000, max_iter: int = 100, tol: float = 1.0e-4) -> list[list[float]]:
-    """k centres of the measured vectors, fitted by Spark ML on at most `max_fit` rows (a parameter of the method)."""
-    fit = fit_subset(vecs, SPOT, max_fit).select(array_to_vector("true_z").alias("features"))
-    fit = fit.persist()
-    try:
-        if fit.count() < n_states:
-            raise InputError(f"need at least {n_states} rows to fit {n_states} states")
-        model = KMeans(k=n_states, seed=seed, maxIter=max_iter, tol=tol).fit(fit)
-        return [list(map(float, c)) for c in model.clusterCenters()]
-    finally:
-        fit.unpersist()
+def start_centres(vecs: DataFrame, n_states: int, seed: int = 2026) -> list[list[float]]:
+    """The measured vectors of the k rows with the lowest hashes."""
+    rows = fit_subset(vecs, SPOT, n_states, seed).select("true_z").collect()  # k rows
+    if len(rows) < n_states:
+        raise InputError(f"need at least {n_states} rows to fit {n_states} states")
+    return [list(map(float, r.true_z)) for r in rows]
+
+
+def fit_centres(vecs: DataFrame, n_states: int = 6, seed: int = 2026, max_fit: int | None = None, max_iter: int = 100, tol: float = 1.0e-4) -> list[list[float]]:
+    """k centres of the measured vectors by Lloyd's rounds over all rows; a round is one aggregate and k short rows at the driver.
+
+    `max_fit` is the optional subset of the method, off by default. A state that loses all rows keeps its centre. The rounds end when
+    no centre moves by more than `tol`.
+    """
+    fit = (fit_subset(vecs, SPOT, max_fit, seed) if max_fit else vecs).select(*SPOT, "true_z")
+    fit = materialise(fit)
+    centres = start_centres(fit, n_states, seed)
+    for _ in range(max_iter):
+        means = [F.avg(F.col("true_z")[i]).alias(f"m{i}") for i in range(len(centres[0]))]
+        rows = fit.groupBy(_nearest(F.col("true_z"), centres).alias("label")).agg(*means).collect()  # at most k rows
+        new = list(centres)
+        for r in rows:
+            new[r.label] = [float(r[f"m{i}"]) for i in range(len(centres[0]))]
+        moved = max(sum((a - b) ** 2 for a, b in zip(x, y)) for x, y in zip(centres, new)) ** 0.5
+        centres = new
+        if moved <= tol:
+            break
+    return centres
 
 
 def _nearest(vec: Column, centres: list[list[float]]) -> Column:
@@ -51,42 +67,50 @@ def assign_states(vecs: DataFrame, centres: list[list[float]]) -> DataFrame:
     return d.withColumn("same_state", F.col("true_label") == F.col("pred_label"))
 
 
-def best_match(conf: DataFrame, n_labels: int, keys: list[str] | None = None) -> DataFrame:
+def best_assignment(gain: np.ndarray) -> int:
+    """Largest sum of one-to-one cells of a square table, by shortest augmenting paths with potentials: O(n³)."""
+    n = len(gain)
+    cost = (gain.max(initial=0) - gain).astype(np.int64)
+    row_of = np.full(n + 1, -1)  # the row matched to each column; column n is the free start
+    u, v = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    far = np.iinfo(np.int64).max // 4
+    for i in range(n):
+        row_of[n], j = i, n
+        least, came, used = np.full(n, far), np.full(n, n), np.zeros(n + 1, dtype=bool)
+        while row_of[j] >= 0:
+            used[j] = True
+            r = row_of[j]
+            slack = cost[r] - u[r] - v[:n]
+            better = ~used[:n] & (slack < least)
+            least[better], came[better] = slack[better], j
+            j = int(np.where(used[:n], far, least).argmin())
+            step = least[j]
+            u[row_of[used]] += step
+            v[used] -= step
+            least[~used[:n]] -= step
+        while j != n:
+            row_of[j], j = row_of[came[j]], int(came[j])
+    return int(sum(gain[row_of[j], j] for j in range(n)))
+
+
+def best_match(conf: DataFrame, n_labels: int = 0, keys: list[str] | None = None) -> DataFrame:
     """Share of rows matched by the best one-to-one relabelling, per group.
 
-    `conf` has integer labels 0…n−1. The optimum over all relabellings is found by going through the true labels and
-    keeping, for every set of predicted labels used so far, the best sum: n·2ⁿ steps on an n×n table inside one
-    expression. Spots were counted into the table before.
+    `conf` has integer labels from 0 and counts; there may be any number of labels, also beyond `n_labels`. Spots were counted into
+    the table before, so a group here is one small table.
     """
     keys = keys or []
-    if n_labels > MAX_LABELS:
-        raise InputError(f"best_match supports up to {MAX_LABELS} labels, got {n_labels}")
-    k = n_labels
-    cells = [
-        F.coalesce(F.sum(F.when((F.col("true_label") == i) & (F.col("pred_label") == j), F.col("n_spots"))), F.lit(0))
-        for i in range(k)
-        for j in range(k)
-    ]
-    table = conf.groupBy(*keys).agg(F.array(*cells).alias("_c"), F.sum("n_spots").alias("n_spots"))
-    labels = F.array(*[F.lit(j) for j in range(k)])
-    bits = F.array(*[F.lit(1 << j) for j in range(k)])
-    masks = F.sequence(F.lit(0), F.lit((1 << k) - 1))
-    start = F.transform(masks, lambda m: F.when(m == 0, F.lit(0)).cast("long"))
-
-    def step(best: Column, i: Column) -> Column:
-        def reach(m: Column) -> Column:
-            options = F.transform(
-                labels,
-                lambda j: F.when(
-                    m.bitwiseAND(F.get(bits, j)) != 0, F.get(best, m - F.get(bits, j)) + F.get(F.col("_c"), i * k + j)
-                ),
-            )
-            return F.array_max(options)
-
-        return F.transform(masks, reach)
-
-    walked = F.aggregate(labels, start, step)
-    return table.select(*keys, "n_spots", (F.get(walked, F.lit((1 << k) - 1)) / F.col("n_spots")).alias("best_match_accuracy"))
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in conf.select(*keys).schema] + ["n_spots bigint", "best_match_accuracy double"])
+
+    def match(df: pd.DataFrame) -> pd.DataFrame:
+        k = int(max(n_labels, df["true_label"].max() + 1, df["pred_label"].max() + 1))
+        gain = np.zeros((k, k), dtype=np.int64)
+        np.add.at(gain, (df["true_label"].to_numpy(), df["pred_label"].to_numpy()), df["n_spots"].to_numpy())
+        total = int(gain.sum())
+        out = df[keys].head(1).reset_index(drop=True)
+        return out.assign(n_spots=total, best_match_accuracy=best_assignment(gain) / total) if keys else pd.DataFrame({"n_spots": [total], "best_match_accuracy": [best_assignment(gain) / total]})
+
+    return conf.groupBy(*keys).applyInPandas(match, schema)
 
 
 def state_fidelity(labels: DataFrame, n_states: int, keys: list[str] | None = None) -> DataFrame:

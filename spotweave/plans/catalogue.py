@@ -13,5 +13,6 @@ from spotweave.plans import (  # noqa: F401
     q_models,
     q_sources,
     q_marts,
+    q_ordering,
 )
 from spotweave.plans.registry import ORACLES, QUERIES  # noqa: F401

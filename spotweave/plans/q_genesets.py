@@ -268,11 +268,11 @@ def _doc_states(v: Views):
 _PERMS = ", ".join("(" + ", ".join(map(str, p)) + ")" for p in permutations(range(4)))
 
 
-def _match_sql(keys: str = "") -> str:
+def _match_sql(keys: str = "", table: str = "doc_states") -> str:
     k = f"{keys}, " if keys else ""
     hit = " OR ".join(f"(true_label = {i} AND pred_label = p.p{i})" for i in range(4))
     return f"""SELECT {k}any_value(t) AS n_spots, max(h) / any_value(t) AS best_match_accuracy FROM (SELECT {k}p0, p1, p2, p3, count(*) AS t, count(CASE WHEN {hit} THEN 1 END) AS h
-FROM doc_states, (VALUES {_PERMS}) p(p0, p1, p2, p3) GROUP BY {k}p0, p1, p2, p3) {'GROUP BY ' + keys if keys else ''}"""
+FROM {table}, (VALUES {_PERMS}) p(p0, p1, p2, p3) GROUP BY {k}p0, p1, p2, p3) {'GROUP BY ' + keys if keys else ''}"""
 
 
 @query("K4_best_match_accuracy", _match_sql("grp"), "best_match_accuracy")
@@ -306,22 +306,67 @@ JOIN (SELECT name, avg(t) AS m, CASE WHEN stddev_pop(t) < 1e-6 THEN 1.0 ELSE std
 
 @query(
     "K1_state_vectors",
-    """SELECT sample_id, spot_id, t[1] AS t0, t[4] AS t3, p[1] AS p0, len(t) AS n
+    """SELECT sample_id, spot_id, t[1] AS t0, t[2] AS t1, t[3] AS t2, t[4] AS t3, p[1] AS p0, p[2] AS p1, p[3] AS p2, p[4] AS p3, len(t) AS n
 FROM (SELECT sample_id, spot_id, list(t ORDER BY name) AS t, list(p ORDER BY name) AS p FROM state_z GROUP BY ALL)""",
-    "t0 t3 p0",
+    "t0 t1 t2 t3 p0 p1 p2 p3",
 )
 def _(v: Views):
     d = states.vectors(_z(v), "name")
-    at = lambda c, i: F.col(c)[i]
-    return d.select("sample_id", "spot_id", at("true_z", 0).alias("t0"), at("true_z", 3).alias("t3"), at("pred_z", 0).alias("p0"), F.size("true_z").cast("long").alias("n"))
+    entries = [F.col(f"{side}_z")[i].alias(f"{side[0]}{i}") for side in ("true", "pred") for i in range(4)]
+    return d.select("sample_id", "spot_id", *entries, F.size("true_z").cast("long").alias("n"))
 
 
-@query("K2_kmeans_states")
+ROUNDS = 6
+
+
+def _lloyd_sql() -> str:
+    """Lloyd's rounds written out: centres c0, c1, … from the rows with the lowest hashes, and the labels of the last."""
+    m = ["m1", "m2", "m3", "m4"]
+    near = lambda side, c: f"(SELECT sample_id, spot_id, t, arg_min(label, ({' + '.join(f'({side}[{i}] - {x})^2' for i, x in enumerate(m, 1))}, label)) AS label FROM v, {c} GROUP BY ALL)"
+    out = [
+        "v AS MATERIALIZED (SELECT sample_id, spot_id, list(t ORDER BY name) AS t, list(p ORDER BY name) AS p FROM state_z GROUP BY ALL)",
+        "c0 AS MATERIALIZED (SELECT cast(row_number() OVER (ORDER BY h, sample_id, spot_id) - 1 AS int) AS label, "
+        + ", ".join(f"t[{i}] AS {x}" for i, x in enumerate(m, 1))
+        + " FROM (SELECT *, sha1('2026|' || sample_id || '|' || spot_id) AS h FROM v ORDER BY h, sample_id, spot_id LIMIT 4))",
+    ]
+    for r in range(ROUNDS):
+        means = ", ".join(f"coalesce(avg(t[{i}]), any_value({x})) AS {x}" for i, x in enumerate(m, 1))
+        out.append(f"c{r + 1} AS MATERIALIZED (SELECT c.label, {means} FROM c{r} c LEFT JOIN {near('t', f'c{r}')} a USING (label) GROUP BY c.label)")
+    return "WITH " + ", ".join(out) + f"""
+SELECT a.sample_id, a.spot_id, a.label AS true_label, b.label AS pred_label FROM {near('t', f'c{ROUNDS}')} a JOIN {near('p', f'c{ROUNDS}')} b USING (sample_id, spot_id)"""
+
+
+define("lloyd_labels", _lloyd_sql())
+
+
+def _lloyd(v: Views):
+    if not hasattr(v, "_lloyd"):
+        vecs = materialise(states.vectors(_z(v), "name"))
+        v._lloyd = materialise(states.assign_states(vecs, states.fit_centres(vecs, 4, max_iter=ROUNDS, tol=-1.0)))
+    return v._lloyd
+
+
+@query(
+    "K2_kmeans_states",
+    f"SELECT a.n_spots, adjusted_rand, normalized_mutual_info, best_match_accuracy FROM ({agreement_sql('lloyd_labels')}) a, ({_match_sql('', 'lloyd_labels')}) b",
+    "adjusted_rand normalized_mutual_info best_match_accuracy",
+)
 def _(v: Views):
-    """Fitted centres depend on the start, so rows only; tests compare the fit with a plain Lloyd iteration."""
-    vecs = materialise(states.vectors(_z(v), "name"))
-    labels = states.assign_states(vecs, states.fit_centres(vecs, 4))
-    return states.state_fidelity(labels, 4)
+    return states.state_fidelity(_lloyd(v), 4)
+
+
+for _level in ("sample_id", "organ", "cohort"):
+    define(f"lloyd_by_{_level}", f"SELECT l.*, {'l' if _level == 'sample_id' else 's'}.{_level} AS grp FROM lloyd_labels l JOIN samples s USING (sample_id)")
+
+    @query(
+        f"K5_states_by_{_level}",
+        f"""SELECT a.grp AS {_level}, a.n_spots, adjusted_rand, normalized_mutual_info, best_match_accuracy FROM {agreement_sql(f'lloyd_by_{_level}', 'grp')} a
+JOIN ({_match_sql('grp', f'lloyd_by_{_level}')}) b USING (grp)""",
+        "adjusted_rand normalized_mutual_info best_match_accuracy",
+    )
+    def _(v: Views, level: str = _level):
+        labels = _lloyd(v) if level == "sample_id" else _lloyd(v).join(v.samples.select("sample_id", level), "sample_id")
+        return states.state_fidelity(labels, 4, [level])
 
 
 FIXED_CENTRES = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, -0.5], [-0.5, -0.5, 0.5, 0.5], [0.0, 0.0, -1.0, 0.5]]

@@ -83,7 +83,7 @@ def _(v: Views):
 FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS s FROM documents)""",
 )
 def _(v: Views):
-    return v.table("documents").select("doc_id", fx.bounded_name(fx.slugify(F.col("text"), 1 << 20), 40).alias("name")).withColumn(
+    return v.table("documents").select("doc_id", fx.bounded_name(fx.slugify(F.col("text"), None), 40).alias("name")).withColumn(
         "name", F.when(F.col("name") == "all", "").otherwise(F.col("name"))
     )
 

@@ -56,14 +56,14 @@ def _(v: Views):
 @query(
     "S4_validation_report",
     """WITH f AS (SELECT sample_id, count(*) AS n FROM features GROUP BY 1), c AS (SELECT sample_id, count(DISTINCT spot_id) AS n FROM counts GROUP BY 1),
-p AS (SELECT sample_id, count(*) AS n FROM spots WHERE spot_id < 64 GROUP BY 1),
+p AS (SELECT sample_id, count(*) AS n FROM spots GROUP BY 1),
 j AS (SELECT s.sample_id, coalesce(f.n, 0) AS features_rows, coalesce(c.n, 0) AS counts_rows, coalesce(p.n, 0) AS coords_rows FROM samples s
   LEFT JOIN f USING (sample_id) LEFT JOIN c USING (sample_id) LEFT JOIN p USING (sample_id))
 SELECT *, concat_ws(';', CASE WHEN features_rows = 0 THEN 'features' END, CASE WHEN counts_rows = 0 THEN 'counts' END, CASE WHEN coords_rows = 0 THEN 'coords' END) AS missing,
   CASE WHEN least(features_rows, counts_rows, coords_rows) = 0 THEN 'missing_required' WHEN features_rows <> counts_rows OR features_rows <> coords_rows THEN 'shape_mismatch' ELSE 'ok' END AS status FROM j""",
 )
 def _(v: Views):
-    return assets.validation_report(v.features, v.counts, v.spots.filter("spot_id < 64"), v.samples)
+    return assets.validation_report(v.features, v.counts, v.spots, v.samples)
 
 
 @query("S5_gene_list_source", "SELECT gene, cast(row_number() OVER (ORDER BY gene_index) - 1 AS int) AS gene_index FROM genes")
@@ -119,8 +119,9 @@ def _(v: Views):
     m = v.counts.join(v.genes, "gene").groupBy("sample_id", "spot_id").agg(
         F.map_from_entries(F.collect_list(F.struct("gene_index", "count"))).alias("m")
     )
-    width = 25  # the panel of the driver tables
-    dense = m.select("sample_id", "spot_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0))).alias("values"))
+    last = v.genes.agg(F.max("gene_index").alias("last"))  # one row
+    cells = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    dense = m.crossJoin(last).select("sample_id", "spot_id", cells.alias("values"))
     return tables.counts_to_long(dense, v.genes)
 
 
@@ -132,7 +133,7 @@ def _(v: Views):
 
 
 _CONV = """WITH tot AS (SELECT cast(c_nationkey AS varchar) AS sample_id, c_custkey AS barcode, cast(floor(sum(o_totalprice)) AS bigint) AS total, count(*) AS nnz
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY ALL),
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 j AS (SELECT coalesce(s.sample_id, p.sample_id) AS sample_id, s.barcode AS sb, p.barcode AS pb FROM st_barcodes s FULL JOIN patch_barcodes p ON s.sample_id = p.sample_id AND s.barcode = p.barcode),
 n AS (SELECT sample_id, count(sb) AS st_n, count(pb) AS patch_n, count(sb + pb) AS kept_n FROM j GROUP BY 1),
 k AS (SELECT j.sample_id, coalesce(total, 0) AS total, coalesce(nnz, 0) AS nnz FROM j LEFT JOIN tot t ON t.sample_id = j.sample_id AND t.barcode = j.sb WHERE sb IS NOT NULL AND pb IS NOT NULL),
@@ -148,7 +149,7 @@ SELECT sample_id, status, st_n, patch_n, kept_n, patch_coverage_of_st, """ + ",
 
 @query("S12_conversion_report", _CONV, "patch_coverage_of_st sf_min sf_mean_all_spots sf_mean_valid_spots sf_max")
 def _(v: Views):
-    o = v.table("orders").filter("o_orderstatus = 'F'").join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = v.table("orders").join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
     totals = o.groupBy(F.col("c_nationkey").cast("string").alias("sample_id"), F.col("c_custkey").alias("barcode")).agg(
         F.floor(F.sum("o_totalprice")).cast("bigint").alias("total"), F.count(F.lit(1)).alias("nnz")
     )

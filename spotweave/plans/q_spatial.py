@@ -185,12 +185,22 @@ def _(v: Views):
     "L10_spot_layers",
     """SELECT sample_id, spot_id, 'log1p_total_counts' AS layer, x, y, ln(1 + total) AS value FROM sf_t
 UNION ALL SELECT sample_id, spot_id, 'true_log_sf', x, y, log_sf FROM sf_t
-UNION ALL SELECT c.sample_id, c.spot_id, gene || '_log1p_count', x, y, ln(1 + count) FROM counts c JOIN spots s USING (sample_id, spot_id) WHERE gene IN ('Brand#3', 'Brand#17')""",
+UNION ALL SELECT s.sample_id, s.spot_id, g.gene || '_log1p_count', x, y, ln(1 + coalesce(c.count, 0)) FROM spots s JOIN sample_genes g USING (sample_id)
+LEFT JOIN counts c ON c.sample_id = s.sample_id AND c.spot_id = s.spot_id AND c.gene = g.gene WHERE g.gene IN ('Brand#3', 'Brand#17')""",
     "x y value",
 )
 def _(v: Views):
     genes = v.spark.createDataFrame([("Brand#3",), ("Brand#17",), ("Brand#99",)], "gene string")
-    return op.spot_layers(v.sf, v.counts, genes)
+    return op.spot_layers(v.sf, v.counts, genes, v.sample_genes)
+
+
+@query(
+    "L10_missing_genes",
+    "SELECT w.gene FROM (VALUES ('Brand#3'), ('Brand#17'), ('Brand#99')) w(gene) WHERE w.gene NOT IN (SELECT gene FROM sample_genes)",
+)
+def _(v: Views):
+    genes = v.spark.createDataFrame([("Brand#3",), ("Brand#17",), ("Brand#99",)], "gene string")
+    return op.missing_genes(genes, v.sample_genes)
 
 
 @query(

@@ -100,23 +100,20 @@ def _(v: Views):
     return op.task_samples(v.samples.select("sample_id", "organ", "cohort"), split_rows(v))
 
 
-_POISSON = " ".join(
-    f"WHEN u < exp(-m) * ({' + '.join(f'm^{i}/{__import__('math').factorial(i)}' for i in range(k + 1))}) THEN {k}" for k in range(13)
-)
-
-
 @query(
     "G8_balanced_draws",
-    f"""WITH w AS (SELECT sample_id, spot_id, 1.0 / count(*) OVER (PARTITION BY sample_id) AS weight FROM sf_t WHERE valid),
-p AS (SELECT *, (SELECT count(*) FROM w) * weight / (SELECT sum(weight) FROM w) AS m,
-  cast('0x' || substring(sha1('2026|' || sample_id || '|' || spot_id), 1, 8) AS bigint) / 4294967296.0::double AS u FROM w)
-SELECT sample_id, spot_id, weight, cast(CASE {_POISSON} END AS bigint) AS draws FROM p""",
+    """WITH w AS (SELECT sample_id, spot_id, 1.0 / count(*) OVER (PARTITION BY sample_id) AS weight,
+  row_number() OVER (PARTITION BY sample_id ORDER BY spot_id) AS r, count(*) OVER (PARTITION BY sample_id) AS n FROM sf_t WHERE valid),
+s AS (SELECT sample_id, n, row_number() OVER (ORDER BY sample_id) AS no, count(*) OVER () AS k FROM (SELECT DISTINCT sample_id, n FROM w)),
+u AS (SELECT cast('0x' || substring(sha1('2026|sample|' || i), 1, 8) AS bigint) / 4294967296.0::double AS u,
+  cast('0x' || substring(sha1('2026|row|' || i), 1, 8) AS bigint) / 4294967296.0::double AS v FROM range((SELECT count(*) FROM w)) t(i)),
+d AS (SELECT sample_id, cast(floor(v * n) AS bigint) + 1 AS r, count(*) AS draws FROM u JOIN s ON no = cast(floor(u * k) AS bigint) + 1 GROUP BY ALL)
+SELECT sample_id, spot_id, weight, coalesce(draws, 0) AS draws FROM w LEFT JOIN d USING (sample_id, r)""",
     "weight",
 )
 def _(v: Views):
     w = op.balanced_weights(v.sf.filter("valid").select("sample_id", "spot_id"))
-    n = w.count()
-    return op.draw_with_replacement(w, ["sample_id", "spot_id"], n)
+    return op.balanced_draws(w, ["spot_id"], w.count())
 
 
 @query(

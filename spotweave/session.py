@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spotweave.checks import InputError
+
 _OWN_DIRS: dict[str, str] = {}
 
 
@@ -28,11 +30,15 @@ def build_session(app_name: str = "spotweave", master: str | None = None, **conf
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir` when the cluster names one.
 
-    Only where that setting is absent (tests, a laptop) a local folder is made, once per application.
+    Only on a local master, where driver and executors are one process, a local folder is made where that setting is absent, once per
+    application. On a cluster that would scatter the files over machines, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise InputError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
