@@ -1,7 +1,8 @@
 """Operator 7: exact deduplication by an extendible-hash index on shared files.
 
 Texts that are equal after deleting white space form a group. The index has one entry per distinct text: its 64-bit hash, which
-addresses a bucket, and its SHA-256 digest and length, which are compared byte by byte along the chain of entries with one hash.
+addresses a bucket, and its SHA-256 digest and length, which tell apart the entries chained under one hash. Entries of several rows are
+checked on the texts themselves: their normalised bytes are compared, and the job stops should a digest ever stand for two texts.
 Copies fold into their entry before anything is shuffled by hash, so a group of any size is one entry per task.
 
 A directory maps the leading bits of the hash to buckets. It starts with one bucket; a bucket with more than `capacity` entries is
@@ -16,9 +17,11 @@ Only DataFrame functions are used.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from spotweave.checks import InputError
 from spotweave.llm.common import delete_spaces, text_of
 from spotweave.session import materialise, shared_dir
 
@@ -26,11 +29,31 @@ CAPACITY = 50_000
 DEEPEST = 16  # a directory of at most 65,536 slots; deeper levels would only make buckets smaller
 
 
-def text_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, chars, hash, digest, bytes) per row. A null text counts as empty."""
+def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t"))
-    d = d.select("doc_id", F.length("_t").cast("long").alias("chars"), delete_spaces(F.col("_t")).alias("_n"))
-    return d.select("doc_id", "chars", F.xxhash64("_n").alias("hash"), F.sha2("_n", 256).alias("digest"), F.octet_length("_n").alias("bytes"))
+    return d.select("doc_id", F.length("_t").cast("long").alias("chars"), delete_spaces(F.col("_t")).alias("norm"))
+
+
+def text_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """(doc_id, chars, hash, digest, bytes) per row. A null text counts as empty."""
+    n = F.col("norm")
+    return _normalised(docs, id_col, text_col).select(
+        "doc_id", "chars", hash_of(n).cast("long").alias("hash"), F.sha2(n, 256).alias("digest"), F.octet_length(n).alias("bytes")
+    )
+
+
+def compare_bytes(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[Column], Column] = F.xxhash64) -> None:
+    """Compare the normalised bytes of all rows that share an entry; an error if two texts differ.
+
+    Equal texts fold inside each task before the shuffle, so a group of copies arrives as a few rows.
+    """
+    several = index.filter("group_size > 1").select("hash").distinct()
+    n = F.col("norm")
+    texts = _normalised(docs, id_col, text_col).select(hash_of(n).cast("long").alias("hash"), "norm")
+    texts = texts.join(several, "hash", "left_semi").groupBy("hash", "norm").count()
+    twice = texts.groupBy("hash", F.sha2(n, 256).alias("digest")).count().filter("count > 1")
+    if twice.limit(1).count():
+        raise InputError("two different texts have one digest")
 
 
 def entries(keys: DataFrame) -> DataFrame:
@@ -71,14 +94,17 @@ def build_index(keys: DataFrame, capacity: int = CAPACITY, path: str | None = No
     return spark.read.parquet(path)
 
 
-def dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(
+    docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[Column], Column] = F.xxhash64,
+) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, link for every row of `docs`.
 
     Of equal texts the row with the most code points stays, then the smallest id; rows alike in both (repeated rows) are all marked
     kept. Null ids come last and count as ids of their own. Other columns of `docs` do not take part. No row is dropped.
     """
-    keys = materialise(text_keys(docs, id_col, text_col))
+    keys = materialise(text_keys(docs, id_col, text_col, hash_of))
     index = build_index(keys, capacity)
+    compare_bytes(docs, index, id_col, text_col, hash_of)
     best = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     found = keys.join(index.select("hash", "digest", "bytes", "keep_id", "group_size", "link"), ["hash", "digest", "bytes"])
     return found.select("doc_id", "keep_id", "group_size", best.alias("kept"), F.col("digest").alias("text_sha256"), F.col("link").alias("chain_link"))

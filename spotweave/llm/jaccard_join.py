@@ -30,7 +30,8 @@ from spotweave.session import materialise
 
 WORDS = 5
 PERCENT = 75
-SHARD_BYTES = 8 << 20  # text bytes that fill one shard, about a million tokens
+SHARD_BYTES = 16 << 20  # text bytes that fill one shard, about two million tokens
+BLOCK_TOKENS = 1_000_000  # tokens that a scan task holds at a time
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # seeds of the hash orders
 _LOW = (1 << 48) - 1
 _SCHEMA = "shard int, pack int, docs binary, tokens binary, refs binary"
@@ -66,15 +67,49 @@ def shingles(text: str, hashes: dict, words: int = WORDS) -> np.ndarray:
     return np.unique(_mix(h))
 
 
+_ROW = [("id", "<i8"), ("ok", "?"), ("d1", "<i8"), ("d2", "<i8"), ("n", "<i8")]
+
+
+def _blocks(sets: list, shards: int) -> list[tuple]:
+    """Tokens of some sets (handle, tokens), cut by shard: (shard, pack, handles, tokens, references to the handles)."""
+    tokens = np.concatenate([h for _, h in sets])
+    refs = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(h) for _, h in sets])
+    order = np.argsort(tokens)
+    tokens, refs = tokens[order], refs[order]
+    del order
+    shard = ((tokens >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)  # rises with the tokens
+    cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+    handles = np.array([a for a, _ in sets], dtype=np.int64)
+    low = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    out = []
+    for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
+        a, b = cuts[s], cuts[s + 1]
+        used, local = np.unique(refs[a:b], return_inverse=True)
+        out.append((int(s), 1, handles[used].tobytes(), low[a:b].tobytes(), local.astype(np.uint16).tobytes()))
+    return out
+
+
 def _pack(shards: int, words: int):
-    """Batches of (doc_id, text) to blocks of tokens per shard, and one block of document rows."""
+    """Batches of (doc_id, text) to blocks of tokens per shard, and blocks of document rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
+        rows: list[tuple] = []
+        sets: list[tuple] = []
+        seen: set = set()
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = np.array(rows, dtype=_ROW)
+            out = [(-1 - int(abs(int(table["d1"][0])) % shards), 0, table.tobytes(), b"", b"")] + (_blocks(sets, shards) if sets else [])
+            cols = list(zip(*out))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]],
+                names=["shard", "pack", "docs", "tokens", "refs"],
+            )
+
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            rows, sets, seen = [], [], set()
-            for i, t in zip(ids, texts):
+            for i, t in zip(batch.column(0), batch.column(1)):
                 h = shingles(t.as_py(), hashes, words)
                 d = xxhash.xxh3_128_digest(h.tobytes())
                 a, b = np.frombuffer(d, dtype=np.int64)
@@ -82,37 +117,12 @@ def _pack(shards: int, words: int):
                 if len(h) and d not in seen:
                     seen.add(d)
                     sets.append((a, h))
-            if not rows:
-                continue
-            table = np.array(rows, dtype=[("id", "<i8"), ("ok", "?"), ("d1", "<i8"), ("d2", "<i8"), ("n", "<i8")])
-            out = [(-1 - int(abs(int(table["d1"][0])) % shards), 0, table.tobytes(), b"", b"")]
-            # at most 65,536 documents and about four million tokens in a block
-            at = 0
-            while at < len(sets):
-                size, end = 0, at
-                while end < len(sets) and end - at < 65_536 and (end == at or size + len(sets[end][1]) <= 4_000_000):
-                    size, end = size + len(sets[end][1]), end + 1
-                part, at = sets[at:end], end
-                tokens = np.concatenate([h for _, h in part])
-                refs = np.repeat(np.arange(len(part), dtype=np.uint16), [len(h) for _, h in part])
-                shard = ((tokens >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-                order = np.argsort(tokens, kind="stable")  # shards rise with the tokens
-                tokens, refs, shard = tokens[order], refs[order], shard[order]
-                cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-                handles = np.array([a for a, _ in part], dtype=np.int64)
-                low = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                for s in range(shards):
-                    a, b = cuts[s], cuts[s + 1]
-                    if a < b:
-                        used, local = np.unique(refs[a:b], return_inverse=True)
-                        out.append((s, 1, handles[used].tobytes(), low[a:b].tobytes(), local.astype(np.uint16).tobytes()))
-            # few large blocks: hand them on in steps
-            for k in range(0, len(out), 256):
-                cols = list(zip(*out[k : k + 256]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]],
-                    names=["shard", "pack", "docs", "tokens", "refs"],
-                )
+                    size += len(h)
+                if size >= BLOCK_TOKENS or len(sets) >= 65_000 or len(rows) >= 200_000:
+                    yield from flush()
+                    rows, sets, seen, size = [], [], set(), 0
+        if rows:
+            yield from flush()
 
     return run
 
@@ -123,7 +133,7 @@ _FOUND = "kind int, doc_id long, d1 long, d2 long, n long, token long, df int"
 def _count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """A shard: the tokens of two or more documents with their document counts. Blocks of document rows are unpacked."""
     if key[0] < 0:
-        t = np.concatenate([np.frombuffer(x, dtype=[("id", "<i8"), ("ok", "?"), ("d1", "<i8"), ("d2", "<i8"), ("n", "<i8")]) for x in frame["docs"]])
+        t = np.concatenate([np.frombuffer(x, dtype=_ROW) for x in frame["docs"]])
         ids = pd.array(t["id"], dtype="Int64")
         ids[~t["ok"]] = pd.NA
         return pd.DataFrame({"kind": 0, "doc_id": ids, "d1": t["d1"], "d2": t["d2"], "n": t["n"], "token": 0, "df": 0})

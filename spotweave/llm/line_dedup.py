@@ -88,6 +88,7 @@ class _Runs:
 def _stream(least: int, keep_first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _Runs(least, keep_first)
+        previous: dict | None = None
 
         def flush() -> Iterator[pa.RecordBatch]:
             if runs.out:
@@ -101,6 +102,17 @@ def _stream(least: int, keep_first: bool):
             if not n:
                 continue
             cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _FIELDS}
+            if previous is not None:
+                cols = {c: np.concatenate([previous[c], v]) for c, v in cols.items()}
+            # repeated rows bring the same line of the same document again: once is enough
+            new = np.ones(len(cols["pos"]), dtype=bool)
+            new[1:] = np.any([v[1:] != v[:-1] for v in cols.values()], axis=0)
+            new[0] = previous is None
+            previous = {c: v[-1:] for c, v in cols.items()}
+            cols = {c: v[new] for c, v in cols.items()}
+            n = len(cols["pos"])
+            if not n:
+                continue
             edge = np.ones(n, dtype=bool)
             edge[1:] = (cols["h1"][1:] != cols["h1"][:-1]) | (cols["h2"][1:] != cols["h2"][:-1])
             starts = np.flatnonzero(edge)
