@@ -41,6 +41,16 @@ def two_hashes(*cols: Column) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *parts) for seed in (17, 91)]
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that an operator's own names cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
+def unpacked(df: DataFrame, columns: list[str], added: list[str]) -> DataFrame:
+    """The columns of the struct, except those that share a name with an added one, and the added ones."""
+    return df.select(*[F.col("_row")[c].alias(c) for c in columns if c not in added], *added)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """`df` without columns that an operator is about to add under the same names."""
     return df.drop(*[n for n in names if n in df.columns])

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from spotweave.llm.common import two_hashes, without
+from spotweave.llm.common import packed, two_hashes, unpacked
 from spotweave.session import materialise
 
 MOST_BLOCKS = 1_000_000
@@ -70,11 +70,19 @@ def mix(
     dropped or repeated. Null sources are one source; repeated rows and rows with equal ids get places of their own; input columns of
     the three names are replaced. An empty table gives an empty result.
     """
-    new = ["mix_block", "mix_slot", "mix_position"]
-    d = without(docs, [*new, "_s", "_h", "_b", "_r", "_x"])
+    d = mix_rows(docs, weights, alpha, default_weight, most_blocks, least_rows, source_col, id_col, seed_cols)
+    return unpacked(d, docs.columns, ["mix_block", "mix_slot", "mix_position"])
+
+
+def mix_rows(
+    docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, default_weight: float = 1.0, most_blocks: int = MOST_BLOCKS,
+    least_rows: int = 64, source_col: str = "source", id_col: str = "doc_id", seed_cols: list[str] | None = None,
+) -> DataFrame:
+    """As `mix`, with the input row as a struct `_row`."""
+    seeds = seed_cols or [id_col]
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))  # null differs from every name
-    h = two_hashes(*[F.col(c) for c in (seed_cols or [id_col])])[0]
-    d = d.withColumn("_s", source).withColumn("_h", h).withColumn("_b", F.pmod(F.col("_h"), F.lit(BUCKETS)))
+    h = two_hashes(*[F.col(c) for c in seeds])[0]
+    d = docs.select(packed(docs), source.alias("_s"), h.alias("_h"), F.pmod(h, F.lit(BUCKETS)).alias("_b"))
     sizes = d.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("n"))  # at most BUCKETS rows a source
     sizes = materialise(sizes)
     before = W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -107,8 +115,8 @@ def mix(
             yield pd.DataFrame(out, columns=["_s", "mix_block", "mix_slot", "_start"])
 
     slots = materialise(sources.repartition(1).mapInPandas(plan, "_s string, mix_block long, mix_slot long, _start long"))
-    inside = W.partitionBy("_s", "_b").orderBy("_h", *(seed_cols or [id_col]))
+    inside = W.partitionBy("_s", "_b").orderBy("_h", *[F.col("_row")[c] for c in seeds])
     d = d.withColumn("_r", F.row_number().over(inside) - 1).join(offsets, ["_s", "_b"])
     d = d.withColumn("_r", F.col("_r") + F.col("_x")).withColumn("mix_block", F.floor(F.col("_r") / block_rows).cast("long"))
     d = d.join(slots, ["_s", "mix_block"])
-    return d.withColumn("mix_position", F.col("_start") + F.col("_r") - F.col("mix_block") * block_rows).drop("_s", "_b", "_h", "_r", "_x", "_start")
+    return d.select("_row", "mix_block", "mix_slot", (F.col("_start") + F.col("_r") - F.col("mix_block") * block_rows).alias("mix_position"))

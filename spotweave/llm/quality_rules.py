@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from spotweave.llm.common import SPACES, text_of, without
+from spotweave.llm.common import SPACES, packed, text_of, unpacked
 from spotweave.session import materialise
 
 WINDOW = 8
@@ -99,12 +99,6 @@ def upper_bound(rejected: int, n: int, error: float) -> float:
     return high
 
 
-def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the features as columns; columns of the same names are replaced. A null text has no words."""
-    d = without(docs, [*NAMES, "_f"]).withColumn("_f", quality_features(text_of(text_col)))
-    return d.select("*", *[F.col("_f")[n].alias(n) for n in NAMES]).drop("_f")
-
-
 def base_failed() -> Column:
     return F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
 
@@ -121,7 +115,7 @@ def fit_cutoffs(featured: DataFrame, good: DataFrame, stratum: str, rules: list[
     """
     counts = [F.count(F.when(_beyond(r, F.lit(float(c))), 1)).alias(f"k_{r.name}_{i}") for r in rules for i, c in enumerate(r.cutoffs)]
     held = featured.join(good.select(id_col).distinct(), id_col, "left_semi").filter(~base_failed())
-    table = held.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("n"), *counts)
+    table = held.groupBy(F.col(stratum).cast("string").alias("_stratum")).agg(F.count(F.lit(1)).alias("n"), *counts)
     total = table.agg(F.count(F.lit(1)).alias("_strata"))
     tests = sum(len(r.cutoffs) for r in rules)
     schema = "_stratum string, " + ", ".join(f"c_{r.name} double" for r in rules)
@@ -130,7 +124,7 @@ def fit_cutoffs(featured: DataFrame, good: DataFrame, stratum: str, rules: list[
         for df in frames:
             out = []
             for row in df.itertuples(index=False):
-                error = delta / (tests * row._asdict().get("_strata", 1) if "_strata" in df else tests)
+                error = delta / (tests * row[-1])
                 picked = []
                 for r in rules:
                     ok = [c for i, c in enumerate(r.cutoffs) if upper_bound(int(getattr(row, f"k_{r.name}_{i}")), int(row.n), error) <= alpha]
@@ -138,8 +132,7 @@ def fit_cutoffs(featured: DataFrame, good: DataFrame, stratum: str, rules: list[
                 out.append((row[0], *picked))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
-    renamed = table.withColumn("_stratum", F.col("_stratum").cast("string")).crossJoin(total)  # one row on the right
-    return renamed.mapInPandas(choose, schema)
+    return table.crossJoin(total).mapInPandas(choose, schema)  # one row on the right
 
 
 def judge(
@@ -150,11 +143,21 @@ def judge(
     Good documents are those labelled quality = 1. Null or empty texts have no words and fail the base rule. Null strata are a
     stratum of their own; repeated rows are judged alike and all returned; without labels no rule is on and kept = not base_failed.
     """
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias(id_col))
-    small = with_features(docs.select(id_col, stratum, text_col), text_col).drop(text_col)
-    cutoffs = materialise(fit_cutoffs(small, good, stratum, rules, alpha, delta, id_col))
-    d = with_features(docs, text_col)
-    d = d.join(cutoffs, F.col(stratum).cast("string").eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
+    added = [*NAMES, "base_failed", "rejected_by", "kept"]
+    return unpacked(judge_rows(docs, labels, stratum, rules, alpha, delta, id_col, text_col), docs.columns, added)
+
+
+def judge_rows(
+    docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: list[Rule] = RULES, alpha: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """As `judge`, with the input row as a struct `_row`."""
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_id"))
+    f = quality_features(text_of(text_col)).alias("_f")
+    flat = [F.col("_f")[n].alias(n) for n in NAMES]
+    small = docs.select(F.col(id_col).alias("_id"), F.col(stratum).cast("string").alias("_stratum"), f).select("_id", "_stratum", *flat)
+    cutoffs = materialise(fit_cutoffs(small, good, "_stratum", rules, alpha, delta, "_id"))
+    d = docs.select(packed(docs), F.col(stratum).cast("string").alias("_own"), f).select("_row", "_own", *flat)
+    d = d.join(cutoffs, F.col("_own").eqNullSafe(F.col("_stratum")), "left")
     hit = F.concat_ws(",", *[F.when(_beyond(r, F.col(f"c_{r.name}")), F.lit(r.name)) for r in rules])
-    d = without(d, ["base_failed", "rejected_by", "kept"]).withColumn("base_failed", base_failed()).withColumn("rejected_by", hit)
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == "")).drop(*[f"c_{r.name}" for r in rules])
+    d = d.select("_row", *NAMES, base_failed().alias("base_failed"), hit.alias("rejected_by"))
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))

@@ -79,7 +79,7 @@ def _strength(units: DataFrame, least: float, most: float) -> DataFrame:
     return units.agg((1 / r - 1).alias("strength"))
 
 
-def reputation(pages: DataFrame, labels: DataFrame, long_suffixes: list[str] | None = None, least: float = 1.0, most: float = 1000.0) -> DataFrame:
+def reputation(pages: DataFrame, labels: DataFrame, long_suffixes: list[str] | None = None, least: float = 2.0, most: float = 1000.0) -> DataFrame:
     """(host, n, bad, alpha, beta): posterior of the rate of bad pages for every host in `pages` (columns host, page_id).
 
     `labels` has doc_id and bad (0/1, null rows ignored); repeated labels of a page count once each. All counts are sums that are
@@ -159,19 +159,19 @@ WITH u AS (
 ), sp AS (
   SELECT s.*, (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) FROM s) AS prior FROM s
 ), sk AS (
-  SELECT greatest(least(coalesce(sum(pow(bad - n * prior, 2) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0), 1 / 2.0::DOUBLE), 1 / 1001.0::DOUBLE) AS r FROM sp
+  SELECT greatest(least(coalesce(sum(pow(bad - n * prior, 2) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0), 1 / 3.0::DOUBLE), 1 / 1001.0::DOUBLE) AS r FROM sp
 ), sq AS (
   SELECT suffix, ((1 / r - 1) * prior + bad) / ((1 / r - 1) + n) AS prior FROM sp, sk
 ), dp AS (
   SELECT d.*, sq.prior FROM d JOIN sq USING (suffix)
 ), dk AS (
-  SELECT greatest(least(coalesce(sum(pow(bad - n * prior, 2) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0), 1 / 2.0::DOUBLE), 1 / 1001.0::DOUBLE) AS r FROM dp
+  SELECT greatest(least(coalesce(sum(pow(bad - n * prior, 2) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0), 1 / 3.0::DOUBLE), 1 / 1001.0::DOUBLE) AS r FROM dp
 ), dq AS (
   SELECT suffix, domain, ((1 / r - 1) * prior + bad) / ((1 / r - 1) + n) AS prior FROM dp, dk
 ), hp AS (
   SELECT h.*, dq.prior FROM h JOIN dq USING (suffix, domain)
 ), hk AS (
-  SELECT greatest(least(coalesce(sum(pow(bad - n * prior, 2) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0), 1 / 2.0::DOUBLE), 1 / 1001.0::DOUBLE) AS r FROM hp
+  SELECT greatest(least(coalesce(sum(pow(bad - n * prior, 2) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0), 1 / 3.0::DOUBLE), 1 / 1001.0::DOUBLE) AS r FROM hp
 ), hq AS (
   SELECT host, (1 / r - 1) * prior + bad AS a, (1 / r - 1) * (1 - prior) + n - bad AS b FROM hp, hk
 ), b AS (

@@ -46,12 +46,12 @@ def test_rules_and_parts(spark):
 
 def test_reputation_shrinks_towards_the_levels_above(spark):
     urls = [f"http://bad.evil.org/{i}" for i in range(40)] + [f"http://ok.fine.org/{i}" for i in range(40)] + ["http://new.evil.org/", "http://new.fine.org/", "http://one.other.org/"]
-    lab = [(i, 0, 0) for i in range(40)] + [(40 + i, 1, 0) for i in range(40)] + [(82, 0, 0), (82, 0, 0)]
+    lab = [(i, 0, 0) for i in range(40)] + [(40 + i, 1, 0) for i in range(40)] + [(82, 0, 0)]
     d = url_reputation.filter_urls(pages(spark, urls), url_reputation.bad_labels(spark.createDataFrame(lab, "doc_id long, quality int, toxic int")))
     got = {r.host: r for r in d.collect()}
     assert got["bad.evil.org"].verdict == "block" and got["ok.fine.org"].verdict == "allow"
     assert got["new.evil.org"].bad_rate_bound > got["new.fine.org"].bad_rate_bound
-    assert got["one.other.org"].verdict == "allow"  # two bad labels are not proof enough
+    assert got["one.other.org"].verdict == "allow"  # one bad label is not proof enough
 
 
 def test_url_query_matches_sql(spark):
