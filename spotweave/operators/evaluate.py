@@ -48,6 +48,10 @@ def gene_metrics(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return sum_pairs(pairs, keys).select(*keys, *metric_columns("n_obs", detected=True))
 
 
+def gene_metrics_of_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
+    return sums.select(*keys, *metric_columns("n_obs", detected=True))
+
+
 def gene_summary(per_gene: DataFrame, keys: list[str] | None = None, metric: str = "pearson") -> DataFrame:
     """Mean, median and number of defined correlations; one value per gene, so the groups are as small as the panel."""
     return per_gene.groupBy(*(keys or [])).agg(
@@ -182,6 +186,11 @@ def extended_metrics(pairs: DataFrame, keys: list[str], moments: bool = False) -
     return base.join(rho, keys, "left") if keys else base.crossJoin(F.broadcast(rho))
 
 
+def r2_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """R² per group, from sums alone."""
+    return sum_pairs(pairs, keys).filter("n > 0").select(*keys, r2_of_sums().alias("r2"))
+
+
 def matrix_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Metrics of all cells of a group, its size, and mean and median of its gene correlations."""
     flat = extended_metrics(pairs, keys)

@@ -1,28 +1,54 @@
 """Exact k nearest neighbours within groups, by a grid that grows where it has to.
 
-Points are binned into square cells; a point meets the candidates of its 3×3 block. Anything closer than one cell
-width is certain to be in the block, so a point is done once its k-th neighbour is that close. The others go on with
-cells twice as wide. Cell widths start at the mean density of the group. Groups of a few points skip the grid: their
-points are compared inside one expression.
+Points are binned into square cells; a point meets the candidates of its 3×3 block. Anything closer than one cell width is certain
+to be in the block, so a point is done once its k-th neighbour is that close. The others go on with wider cells.
 
-Points at the same place are folded first: whoever looks at a place needs at most the k + 1 lowest ids there, so a
-pile of coincident points costs no more than a few.
+The first width follows the density the points of a group live in, not their bounding box: the widest of a ladder of widths at which
+the cell of an average point holds few places. Far outliers therefore do not widen the cells of a dense clump. Once few points are
+left, they are compared with their whole group in one pass, each task keeping its k nearest only. In later rounds the candidates of a
+crowded cell are dealt over salts, so no cell is a hot key.
+
+Groups of a few points skip the grid: their points are compared inside one expression. Points at the same place are folded first:
+whoever looks at a place needs at most the k + 1 lowest ids there, so a pile of coincident points costs no more than a few.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from spotweave.checks import InputError
 from spotweave.operators.sizefactor import with_group_stats
 from spotweave.session import materialise
 
 SMALL = 16
-MAX_ROUNDS = 60
+LADDER = 20  # widths from the span of the group down by factors of four
+GROWTH = [1, 2, 4] + [4**i for i in range(2, LADDER + 2)]  # of the first width, by round; the last covers any group
+FEW = 256  # points that may be broadcast and compared with their whole group
+SALTS = 8
+
+
+def invalid_points(points: DataFrame, keys: list[str]) -> DataFrame:
+    """How many points per group have no finite place; `knn` leaves them out."""
+    bad = ~(_finite("x") & _finite("y"))
+    return points.groupBy(*keys).agg(F.count(F.when(bad, 1)).alias("n_invalid"))
+
+
+def _finite(c: str) -> Column:
+    v = F.col(c).cast("double")
+    return F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
 
 
-def _nearest_of_block(queries: DataFrame, places: DataFrame, reps: DataFrame, keys: list[str], need: int) -> DataFrame:
+def _nearest_of_all(queries: DataFrame, reps: DataFrame, keys: list[str], need: int) -> DataFrame:
+    """As `_nearest_of_block` for at most FEW places, against all representatives of their groups."""
+    cand = reps.select(*keys, F.col("_x").alias("_nx"), F.col("_y").alias("_ny"), "_rep")
+    d2 = (F.col("_x") - F.col("_nx")) * (F.col("_x") - F.col("_nx")) + (F.col("_y") - F.col("_ny")) * (F.col("_y") - F.col("_ny"))
+    met = cand.join(F.broadcast(queries.select(*keys, "_x", "_y")), keys).select(*keys, "_x", "_y", "_rep", d2.alias("_d2"))
+    order = W.partitionBy(*keys, "_x", "_y").orderBy("_d2", "_rep")
+    top = met.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= need)  # Spark applies the limit before the shuffle too
+    return top.groupBy(*keys, "_x", "_y").agg(F.array_sort(F.collect_list(F.struct("_d2", "_rep"))).alias("_near"))
+
+
+def _nearest_of_block(queries: DataFrame, places: DataFrame, reps: DataFrame, keys: list[str], need: int, salts: int) -> DataFrame:
     """The `need` nearest representatives for every query place that its block holds, with the block's guarantee."""
     def cell(c: str, lo: str):
         return F.floor((F.col(c) - F.col(lo)) / F.col("_w")).cast("long")
@@ -35,8 +61,12 @@ def _nearest_of_block(queries: DataFrame, places: DataFrame, reps: DataFrame, ke
     cand = places.join(reps, [*keys, "_x", "_y"]).select(
         *keys, F.col("_x").alias("_nx"), F.col("_y").alias("_ny"), "_rep", cell("_x", "_x0").alias("_cx"), cell("_y", "_y0").alias("_cy")
     )
+    on = [*keys, "_cx", "_cy"]
+    if salts > 1:
+        cand = cand.withColumn("_salt", F.pmod(F.xxhash64("_nx", "_ny"), F.lit(salts)).cast("int"))
+        q, on = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "_salt"]
     d2 = (F.col("_x") - F.col("_nx")) * (F.col("_x") - F.col("_nx")) + (F.col("_y") - F.col("_ny")) * (F.col("_y") - F.col("_ny"))
-    met = q.join(cand, [*keys, "_cx", "_cy"]).select(*keys, "_x", "_y", "_w", "_covers", "_rep", d2.alias("_d2"))
+    met = q.join(cand, on).select(*keys, "_x", "_y", "_w", "_covers", "_rep", d2.alias("_d2"))
     order = W.partitionBy(*keys, "_x", "_y").orderBy("_d2", "_rep")
     top = met.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= need)
     packed = top.groupBy(*keys, "_x", "_y").agg(
@@ -50,13 +80,13 @@ def _nearest_of_block(queries: DataFrame, places: DataFrame, reps: DataFrame, ke
 def knn(points: DataFrame, keys: list[str], k: int, point_id: str = "spot_id", small: int | None = None) -> DataFrame:
     """Edges (keys, id, neighbor_id, d2, rank): the k nearest other points of the group, fewer in smaller groups.
 
-    Ties are broken by id. `d2` is the squared distance.
+    Ties are broken by id. `d2` is the squared distance. Points without a finite place are left out.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     small = SMALL * (k + 1) if small is None else small
     pts = points.select(*keys, F.col(point_id).alias("_id"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
-    pts = pts.filter("_x IS NOT NULL AND _y IS NOT NULL AND NOT isnan(_x) AND NOT isnan(_y)")
+    pts = pts.filter(_finite("_x") & _finite("_y"))
     pts = materialise(with_group_stats(pts, keys, F.count(F.lit(1)).alias("_n")))
     near = _compare_all(pts.filter(F.col("_n") <= small), keys, k)
     large = pts.filter(F.col("_n") > small).drop("_n")
@@ -92,24 +122,33 @@ def _search_grid(pts: DataFrame, keys: list[str], k: int) -> DataFrame:
     reps = materialise(reps.select(*keys, "_x", "_y", F.col("_id").alias("_rep")))
     places = reps.select(*keys, "_x", "_y").distinct()
     span = F.greatest(F.col("_sx"), F.col("_sy"))
-    dense = F.sqrt(F.lit(2.0 * need / math.pi) * F.col("_sx") * F.col("_sy") / F.col("_n"))
-    width = F.greatest(dense, F.lit(2.0 * need) * span / F.col("_n"))
     box = places.groupBy(*keys).agg(
-        F.min("_x").alias("_x0"), F.min("_y").alias("_y0"), (F.max("_x") - F.min("_x")).alias("_sx"),
-        (F.max("_y") - F.min("_y")).alias("_sy"), F.count(F.lit(1)).alias("_n"),
-    ).select(*keys, "_x0", "_y0", span.alias("_span"), F.when(width > 0, width).otherwise(F.lit(1.0)).alias("_w0"))
-    places = materialise(places.join(box, keys))
+        F.min("_x").alias("_x0"), F.min("_y").alias("_y0"), (F.max("_x") - F.min("_x")).alias("_sx"), (F.max("_y") - F.min("_y")).alias("_sy"),
+    ).select(*keys, "_x0", "_y0", F.when(span > 0, span).otherwise(F.lit(1.0)).alias("_span"))
+    boxed = places.join(box, keys)
+    steps = boxed.select("*", F.explode(F.sequence(F.lit(0), F.lit(LADDER - 1))).alias("_j"))
+    cells = [F.floor((F.col(c) - F.col(lo)) / (F.col("_span") / F.pow(F.lit(4.0), F.col("_j")))).alias(n) for c, lo, n in (("_x", "_x0", "_cx"), ("_y", "_y0", "_cy"))]
+    held = steps.groupBy(*keys, "_j", *cells).agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    felt = held.groupBy(*keys, "_j").agg((F.sum(F.col("_c") * F.col("_c")) / F.sum("_c")).alias("_felt"))
+    first = felt.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_felt") <= 2 * need, F.col("_j"))), F.lit(LADDER - 1)).alias("_j"))
+    places = materialise(boxed.join(first, keys).withColumn("_w0", F.col("_span") / F.pow(F.lit(4.0), F.col("_j"))).drop("_j"))
     found, pending = None, places
-    for r in range(MAX_ROUNDS):
-        w = F.col("_w0") * F.lit(float(2**r))
+    for r, grown in enumerate(GROWTH):
+        w = F.col("_w0") * F.lit(float(grown))
         grid = places.withColumn("_w", w)
         queries = pending.withColumn("_w", w).withColumn("_covers", F.col("_w") >= F.col("_span"))
-        near = materialise(_nearest_of_block(queries, grid, reps, keys, need))
+        near = materialise(_nearest_of_block(queries, grid, reps, keys, need, 1 if r < 2 else SALTS))
         done = near.filter("_done").drop("_done")
         found = done if found is None else found.unionByName(done)
         left = near.filter("NOT _done").select(*keys, "_x", "_y")
-        if left.isEmpty():
+        waiting = left.count()
+        if waiting == 0:
+            break
+        if waiting <= FEW:
+            found = found.unionByName(_nearest_of_all(left, reps, keys, need))
             break
         pending = places.join(left, [*keys, "_x", "_y"], "left_semi")
+    else:
+        raise InputError(f"{waiting} points without their neighbours")  # the last width covers every group
     others = F.filter("_near", lambda s: s["_rep"] != F.col("_id"))
     return pts.join(found, [*keys, "_x", "_y"]).select(*keys, "_id", F.slice(others, 1, k).alias("_near"))

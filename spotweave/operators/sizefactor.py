@@ -75,6 +75,16 @@ def normalise_predicted(
     return d.withColumn(out, value).drop("_sf", "_mean")
 
 
+def normalised_variants(df: DataFrame, log_sf: str = "pred_log_sf_raw") -> DataFrame:
+    """The three variants of `normalise_predicted` side by side, from one mean per sample."""
+    d = with_group_stats(df.withColumn("_sf", F.exp(F.col(log_sf))), [SAMPLE], F.avg("_sf").alias("_mean"))
+    usable = finite(F.col("_mean")) & (F.col("_mean") > 0)
+    return d.select(
+        "*", (F.col("_sf") / F.when(F.col("_mean") > 0, F.col("_mean"))).alias("plain"), (F.col("_sf") / (F.col("_mean") + F.lit(1.0e-8))).alias("eps"),
+        F.when(usable, F.col("_sf") / F.col("_mean")).otherwise(F.col("_sf")).alias("guarded"),
+    ).drop("_sf", "_mean")
+
+
 def mean_one_log(df: DataFrame, log_sf: str, out: str) -> DataFrame:
     """Mean-one per sample and back to logs."""
     d = normalise_predicted(df, log_sf, variant="eps", out="_one")

@@ -129,6 +129,15 @@ def _(v: Views):
     return op.level_metrics(op.ablation_sums(v.ablation_cells, ["sample_id", "gene"]), v.samples, ["method"])
 
 
+@query(
+    "E12_ablation_genes",
+    f"SELECT gene, method, {metrics('n_obs', True)} FROM (SELECT gene, method, {sums()} FROM ablations GROUP BY gene, method)",
+    METRIC_DOUBLES + " detected_fraction",
+)
+def _(v: Views):
+    return op.gene_metrics_of_sums(op.ablation_sums(v.ablation_cells, ["gene"]), ["gene", "method"])
+
+
 @query("E15_pearson", f"SELECT sample_id, n AS n_obs, {PEARSON} AS pearson FROM (SELECT sample_id, {sums()} FROM pairs_count GROUP BY sample_id)", "pearson")
 def _(v: Views):
     return pair_metrics(op.pairs_of_kind(v.eval_cells, "count"), ["sample_id"]).select("sample_id", "n_obs", "pearson")
@@ -150,7 +159,7 @@ def _(v: Views):
 
 @query("E17_r2", f"SELECT sample_id, {R2} AS r2 FROM (SELECT sample_id, {sums()} FROM pairs_count GROUP BY sample_id)", "r2")
 def _(v: Views):
-    return op.extended_metrics(op.pairs_of_kind(v.eval_cells, "count"), ["sample_id"]).select("sample_id", "r2")
+    return op.r2_metrics(op.pairs_of_kind(v.eval_cells, "count"), ["sample_id"])
 
 
 def _extended(keys: str, moments: bool = False) -> str:

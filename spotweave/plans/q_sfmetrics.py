@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotweave.operators import sfmetrics as op
+from spotweave.operators.sizefactor import normalise_predicted
 from spotweave.plans.base_sql import PEARSON, define, sums
 from spotweave.plans.registry import query
 from spotweave.sources.views import Views
@@ -172,13 +173,24 @@ def _(v: Views):
 
 @query(
     "S14_sf_prediction_table",
-    """SELECT p.sample_id, p.spot_id, s.x, s.y, pred_log_sf_raw AS pred_log_sf, pred_sf, p.sf AS true_sf
-FROM pred_sf p JOIN spots s USING (sample_id, spot_id)""",
+    """SELECT sample_id, spot_id, x, y, raw AS pred_log_sf, exp(raw) / (avg(exp(raw)) OVER (PARTITION BY sample_id) + 1e-8) AS pred_sf, true_sf
+FROM (SELECT s.sample_id, s.spot_id, s.x, s.y, ln(1 + coalesce(price, 0) / 1000) AS raw, CASE WHEN t.valid THEN t.sf END AS true_sf
+  FROM spots s LEFT JOIN (SELECT sample_id, spot_id, sum(price) AS price FROM measured_cells GROUP BY ALL) m USING (sample_id, spot_id)
+  LEFT JOIN sf_t t USING (sample_id, spot_id))""",
     "x y pred_log_sf pred_sf true_sf",
 )
 def _(v: Views):
-    d = v.pred_sf.join(v.spots, ["sample_id", "spot_id"])
-    return d.select("sample_id", "spot_id", "x", "y", F.col("pred_log_sf_raw").alias("pred_log_sf"), "pred_sf", F.col("sf").alias("true_sf"))
+    """All spots of a slide have a prediction, and all of them make its mean; only valid ones have a measured factor."""
+    priced = v.measured_cells.groupBy("sample_id", "spot_id").agg(F.sum("price").alias("price"))
+    d = v.spots.join(priced, ["sample_id", "spot_id"], "left").withColumn("pred_log_sf", F.log1p(F.coalesce("price", F.lit(0.0)) / 1000))
+    d = normalise_predicted(d, "pred_log_sf")
+    true = v.sf.select("sample_id", "spot_id", F.when(F.col("valid"), F.col("sf")).alias("true_sf"))
+    return d.join(true, ["sample_id", "spot_id"], "left").select("sample_id", "spot_id", "x", "y", "pred_log_sf", "pred_sf", "true_sf")
+
+
+@query("E12_sf_by_sample", sf_sql("sample_id", "sf_spots"), SF)
+def _(v: Views):
+    return op.sf_metrics(v.sf_spots, ["sample_id"])
 
 
 @query(

@@ -77,6 +77,21 @@ def _(v: Views):
     return knn(v.spots, ["sample_id"], 6, small=0)
 
 
+_OUT = "SELECT cast(p_size % 5 AS varchar) AS sample_id, p_partkey AS spot_id, CASE WHEN p_partkey % 500 = 0 THEN p_retailprice * 1e6 ELSE p_retailprice END AS x, cast(p_partkey % 89 AS double) AS y FROM part"
+define("price_points", _OUT)
+
+
+@query("J10_neighbors_with_outliers", f"SELECT sample_id, spot_id, neighbor_id, d2, cast(rank AS int) AS rank FROM ({knn_sql('price_points', 'sample_id', 6)})", "d2")
+def _(v: Views):
+    """Hundreds of points a group in a dense band, with points a million times as far out."""
+    x = F.col("p_retailprice")
+    p = v.table("part").select(
+        (F.col("p_size") % 5).cast("string").alias("sample_id"), F.col("p_partkey").alias("spot_id"),
+        F.when(F.col("p_partkey") % 500 == 0, x * 1e6).otherwise(x).alias("x"), (F.col("p_partkey") % 89).cast("double").alias("y"),
+    )
+    return knn(p, ["sample_id"], 6)
+
+
 @query("L1_group_zscores", f"SELECT {G}, spot_id, zt AS z_true, zp AS z_pred FROM score_z", "z_true z_pred")
 def _(v: Views):
     return op.group_zscores(op.usable(_scores(v)), op.GROUP, ["true", "pred"]).select(*op.GROUP, "spot_id", "z_true", "z_pred")

@@ -38,10 +38,7 @@ FROM (SELECT *, exp(pred_log_sf_raw) AS e, avg(exp(pred_log_sf_raw)) OVER (PARTI
     "plain eps guarded",
 )
 def _(v: Views):
-    d = v.pred_log_sf
-    for variant in ("plain", "eps", "guarded"):
-        d = op.normalise_predicted(d, variant=variant, out=variant)
-    return d.select("sample_id", "spot_id", "plain", "eps", "guarded")
+    return op.normalised_variants(v.pred_log_sf).select("sample_id", "spot_id", "plain", "eps", "guarded")
 
 
 @query(
