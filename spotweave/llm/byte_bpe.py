@@ -1,8 +1,8 @@
 """Operator 6: byte-level BPE encoding and decoding.
 
 The merge of the lowest rank goes first, the leftmost one among equals. Pairs wait in a queue with one bucket of positions per rank; a
-hierarchy of 64-bit words has a bit for every non-empty bucket, and finding the first set bit from the top word down gives the next
-rank in a few steps, whatever the length of the pre-token. The pieces form a linked list; entries whose pair has changed since are
+hierarchy of bitmap words has a bit for every non-empty bucket, and finding the first set bit from the top word down gives the next
+rank in two steps, whatever the length of the pre-token. The pieces form a linked list; entries whose pair has changed since are
 skipped when they come up. So a pre-token of n bytes costs O(n) queue steps.
 
 Texts are split by the pre-token pattern; distinct pre-tokens are encoded once per worker and remembered in a table of fixed size.
@@ -15,58 +15,60 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
+import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from spotweave.llm.common import text_of, without
+from spotweave.llm.common import bounded_batches, text_of, without
 
 REMEMBERED = 400_000
 
 
 class RankQueue:
-    """Min-queue of (rank, position): buckets per rank under a three-level bitmap of 64-bit words."""
+    """Min-queue of (rank, position): buckets per rank under a bitmap of two levels, words of 256 bits below one word on top.
+
+    The top word has a bit per lower word with any bit set. A bucket holds one position as a number, several as a heap.
+    """
 
     def __init__(self, ranks: int) -> None:
-        self.levels: list[list[int]] = []
-        n = ranks
-        while True:
-            n = (n + 63) // 64
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
+        self.words = [0] * ((ranks + 255) >> 8)
+        self.top = 0
+        self.buckets: dict = {}
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
+        if bucket is None:
+            self.buckets[rank] = position
+            word = rank >> 8
+            if not self.words[word]:
+                self.top |= 1 << word
+            self.words[word] |= 1 << (rank & 255)
+        elif type(bucket) is int:
+            self.buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
+        else:
             heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word, bit = rank >> 6, rank & 63
-            old = level[word]
-            level[word] = old | (1 << bit)
-            if old:
-                return
-            rank = word
 
     def pop(self) -> tuple[int, int] | None:
         """The lowest rank and the leftmost position in its bucket."""
-        word = 0
-        for level in reversed(self.levels):
-            bits = level[word]
+        top = self.top
+        if not top:
+            return None
+        word = (top & -top).bit_length() - 1
+        bits = self.words[word]
+        low = bits & -bits
+        rank = (word << 8) + low.bit_length() - 1
+        bucket = self.buckets[rank]
+        if type(bucket) is int:
+            del self.buckets[rank]
+            self.words[word] = bits = bits ^ low
             if not bits:
-                return None
-            word = (word << 6) | ((bits & -bits).bit_length() - 1)
-        bucket = self.buckets[word]
-        found = word, heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[word]
-            for level in self.levels:
-                word, bit = word >> 6, word & 63
-                level[word] &= ~(1 << bit)
-                if level[word]:
-                    break
-        return found
+                self.top = top & (top - 1)
+            return rank, bucket
+        position = heapq.heappop(bucket)
+        if len(bucket) == 1:
+            self.buckets[rank] = bucket[0]
+        return rank, position
 
 
 class Encoder:
@@ -139,33 +141,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+_CODECS: dict = {}
+
+
+def worker_codec(key: int, table: Broadcast, pattern: str) -> tuple:
+    """(splitter, pre-token table, token bytes), kept by the worker process from task to task for one vocabulary at a time."""
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = regex.compile(pattern).findall, _Remembered(Encoder(table.value)), {i: b for b, i in table.value.items()}
+    return _CODECS[key]
+
+
 def codec(spark: SparkSession, ranks: dict[bytes, int], pattern: str):
     """(encode, decode): column functions text -> binary ids (32-bit little-endian) and back to bytes.
 
     The table goes to the workers as one broadcast; its size is that of the vocabulary, not of the data.
     """
-    import regex
-
     table = spark.sparkContext.broadcast(ranks)
-    state: dict = {}
-
-    def encoder() -> tuple:
-        if not state:
-            state["split"], state["seen"] = regex.compile(pattern).findall, _Remembered(Encoder(table.value))
-        return state["split"], state["seen"]
-
-    def decoder() -> list[bytes]:
-        if "bytes" not in state:
-            state["bytes"] = {i: b for b, i in table.value.items()}
-        return state["bytes"]
+    key = xxhash.xxh3_64_intdigest(repr((sorted(ranks.items()), pattern)))
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        split, seen = encoder()
+        split, seen, _ = worker_codec(key, table, pattern)
         for texts in batches:
             yield texts.map(lambda t: b"".join(map(seen.__getitem__, split(t))))
 
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = decoder()
+        words = worker_codec(key, table, pattern)[2]
         for ids in batches:
             yield ids.map(lambda x: b"".join(map(words.__getitem__, memoryview(x).cast("I"))))
 
@@ -177,7 +178,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
 
     A null text is the empty text: no ids, no bytes. All rows are returned; input columns of these names are replaced.
     """
-    encode, decode = codec(docs.sparkSession, ranks, pattern)
+    encode, decode = codec(bounded_batches(docs).sparkSession, ranks, pattern)
     return without(docs, ["ids", "decoded"]).withColumn("ids", encode(text_of(text_col))).withColumn("decoded", decode(F.col("ids")))
 
 

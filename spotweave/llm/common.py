@@ -16,6 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000, size: str = "4m") -> DataFrame:
+    """`df`, with the batches that go to Python workers bounded in rows and bytes, unless the session sets its own bounds.
+
+    Texts are long: the default of 10,000 rows a batch is tens of MB of text, held several times over.
+    """
+    for key, default, value in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", None, size),
+    ):
+        if df.sparkSession.conf.get(key, None) in (None, default):
+            df.sparkSession.conf.set(key, value)
+    return df
+
+
 def text_of(column: str) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -41,9 +55,9 @@ def two_hashes(*cols: Column) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *parts) for seed in (17, 91)]
 
 
-def packed(df: DataFrame) -> Column:
-    """All columns of a row as one struct, so that an operator's own names cannot clash with them."""
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+def packed(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """All columns of a row (or some) as one struct, so that an operator's own names cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]).alias("_row")
 
 
 def unpacked(df: DataFrame, columns: list[str], added: list[str]) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from spotweave.llm.common import text_of
+from spotweave.llm.common import bounded_batches, text_of
 from spotweave.llm.url_reputation import url_parts
 from spotweave.session import materialise
 
@@ -313,7 +313,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     columns do not take part. A host with a single page has a wrapper of that page alone.
     """
     host, _ = url_parts(F.col(url_col))
-    d = pages.select("page_id", F.col(url_col).alias("url"), host.alias("host"), text_of(html_col).alias("html"))
+    d = bounded_batches(pages).select("page_id", F.col(url_col).alias("url"), host.alias("host"), text_of(html_col).alias("html"))
     known = materialise(wrappers(d.select("host", "html"))).select("host", "main", "template")
 
     @F.pandas_udf(T.StringType())

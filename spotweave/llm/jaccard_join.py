@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spotweave.llm.common import text_of
+from spotweave.llm.common import bounded_batches, text_of
 from spotweave.session import materialise
 
 WORDS = 5
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     set and no links. Rows with one id are one document (their sets share its component); rows with a null id form a document per set
     that links with nothing else, with a null component. Other columns do not take part; empty tables give empty results.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_t"))
+    d = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_t"))
     total = d.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0]
     shards = max(64, -(-total // SHARD_BYTES))
     packed = d.mapInArrow(_pack(int(shards), words), _SCHEMA)

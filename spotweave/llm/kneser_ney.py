@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spotweave.llm.common import text_of
+from spotweave.llm.common import bounded_batches, text_of
 from spotweave.session import materialise
 
 ORDER = 4
@@ -28,6 +28,7 @@ PIECE = 500_000  # characters handled at a time
 CHUNK_BYTES = 16 << 20  # text bytes of a chunk
 BROADCAST_IDS = 2_000_000  # trusted ids that may be broadcast (16 MB); beyond, the join shuffles
 START = "\x01"
+LEAST_DISCOUNT = 0.05  # keeps something for what was never seen
 
 
 def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -106,7 +107,7 @@ def train(texts: DataFrame) -> DataFrame:
         n = [F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
         y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
         # usual discounts; where a count of counts is missing, half the count
-        d = [F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(float(i)), i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")))), F.lit(i / 2)).alias(f"d{i}") for i in (1, 2, 3)]
+        d = [F.coalesce(F.greatest(F.lit(LEAST_DISCOUNT), F.least(F.lit(float(i)), i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")))), F.lit(i / 2)).alias(f"d{i}") for i in (1, 2, 3)]
         off = tables[k].groupBy("lang").agg(*n).select("lang", *d)  # one row per language
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         t = t.join(off, "lang").withColumn("cut", cut)
@@ -194,7 +195,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, z: floa
     above the limit beyond doubt: mean log loss - z standard errors > log(limit). Documents without characters, and languages without
     trusted texts, have a null perplexity and are kept. A null language is the language ''. Repeated rows are scored each.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), text_of(text_col).alias("text"))
+    d = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), text_of(text_col).alias("text"))
     trusted = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
     trusted = materialise(trusted)
     ids = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted  # a checked size; the same rows either way

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from spotweave.llm.common import lower_ascii, packed, strip_spaces, text_of, two_hashes, unpacked
+from spotweave.llm.common import bounded_batches, lower_ascii, packed, strip_spaces, text_of, two_hashes, unpacked
 from spotweave.session import materialise
 
 DROP, OPEN, COUNT, FIRST = 0, 1, 2, 3
@@ -202,7 +202,7 @@ def dedup_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, kee
 
 def dedup_rows(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As `dedup_lines`, with the input row as a struct `_row`."""
-    maps = keep_bitmaps(docs, least_docs, least_chars, keep_first, id_col, text_col)
+    maps = keep_bitmaps(bounded_batches(docs), least_docs, least_chars, keep_first, id_col, text_col)
     d = docs.select(packed(docs), *_doc_key(id_col, text_col)).join(maps, ["d1", "d2"], "left")
     text = F.coalesce(F.col("_row")[text_col].cast("string"), F.lit(""))
     return d.select("_row", _applied(text, F.col("keep")).alias("line_dedup"))

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from spotweave.llm.common import SPACES, packed, text_of, unpacked
+from spotweave.llm.common import SPACES, bounded_batches, packed, text_of, unpacked
 from spotweave.session import materialise
 
 WINDOW = 8
@@ -149,14 +149,18 @@ def judge(
 
 def judge_rows(
     docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: list[Rule] = RULES, alpha: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text",
+    carried: list[str] | None = None,
 ) -> DataFrame:
-    """As `judge`, with the input row as a struct `_row`."""
+    """As `judge`, with the input row (or the columns `carried`) as a struct `_row`.
+
+    Features are computed once and stored with what is carried; the cutoffs are fitted on the stored table.
+    """
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("_id"))
     f = quality_features(text_of(text_col)).alias("_f")
     flat = [F.col("_f")[n].alias(n) for n in NAMES]
-    small = docs.select(F.col(id_col).alias("_id"), F.col(stratum).cast("string").alias("_stratum"), f).select("_id", "_stratum", *flat)
-    cutoffs = materialise(fit_cutoffs(small, good, "_stratum", rules, alpha, delta, "_id"))
-    d = docs.select(packed(docs), F.col(stratum).cast("string").alias("_own"), f).select("_row", "_own", *flat)
+    d = bounded_batches(docs).select(packed(docs, carried), F.col(id_col).alias("_id"), F.col(stratum).cast("string").alias("_own"), f)
+    d = materialise(d.select("_row", "_id", "_own", *flat))
+    cutoffs = materialise(fit_cutoffs(d, good, "_own", rules, alpha, delta, "_id"))
     d = d.join(cutoffs, F.col("_own").eqNullSafe(F.col("_stratum")), "left")
     hit = F.concat_ws(",", *[F.when(_beyond(r, F.col(f"c_{r.name}")), F.lit(r.name)) for r in rules])
     d = d.select("_row", *NAMES, base_failed().alias("base_failed"), hit.alias("rejected_by"))

@@ -24,9 +24,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", *quality_rules.NAMES, "base_failed", "kept", "rejected_by")
+    judged = quality_rules.judge_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carried=["doc_id"])
+    return judged.select("_row.doc_id", *quality_rules.NAMES, "base_failed", "kept", "rejected_by")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

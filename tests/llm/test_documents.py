@@ -277,7 +277,7 @@ def plain_kneser_ney(texts: list[str], order: int = kneser_ney.ORDER):
         ds = []
         for i in (1, 2, 3):
             ok = n[1] + 2 * n[2] > 0 and n[i] > 0
-            ds.append(max(0.0, min(float(i), i - (i + 1) * n[1] / (n[1] + 2 * n[2]) * n[i + 1] / n[i])) if ok else i / 2)
+            ds.append(max(kneser_ney.LEAST_DISCOUNT, min(float(i), i - (i + 1) * n[1] / (n[1] + 2 * n[2]) * n[i + 1] / n[i])) if ok else i / 2)
         discounts[k] = ds
         c = defaultdict(list)
         for g, x in level[k].items():
