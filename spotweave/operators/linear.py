@@ -1,8 +1,8 @@
 """Ridge regression from sufficient statistics.
 
-Everything a ridge fit needs is the matrix of cross products of [1, features, targets]. Tasks reduce it from the rows
-batch by batch, the parts are added up by Spark, and only the small solve per model runs on one row. Leaving a group
-out is a subtraction of matrices, so the data is read once however many models are fitted.
+Everything a ridge fit needs is the matrix of cross products of [1, features] and, per target, the products with it. Tasks reduce
+them from the rows batch by batch, the parts are added up by Spark, and only the small solve per model runs on one row. Leaving a
+group out is a subtraction of matrices, so the data is read once however many models are fitted.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spotweave.functions.moments import metric_columns, sum_pairs
+from spotweave.functions.moments import metric_columns, pearson_of_sums, sum_pairs
 from spotweave.functions.scalars import dot
 from spotweave.operators.evaluate import gene_summary
 from spotweave.operators.sfmetrics import METRICS, sf_metrics
@@ -32,7 +32,7 @@ def cross_products(df: DataFrame, key: str, features: str = "features", targets:
         for b in batches:
             if b.empty:
                 continue
-            z = np.hstack([np.ones((len(b), 1)), np.vstack(b["x"].to_numpy()), np.vstack(b["y"].to_numpy())]).astype(np.float64)
+            z = np.hstack([np.ones((len(b), 1)), np.vstack(b["x"].to_numpy()), np.vstack(b["y"].to_numpy()).reshape(len(b), -1)]).astype(np.float64)
             codes, names = pd.factorize(b["key"])
             for i, name in enumerate(names):
                 part = z[codes == i]
@@ -58,7 +58,7 @@ def total_products(grams: DataFrame) -> DataFrame:
 
 def left_out(grams: DataFrame, key: str) -> DataFrame:
     """For every key the products of all other keys."""
-    j = grams.crossJoin(F.broadcast(total_products(grams)))
+    j = grams.crossJoin(total_products(grams))  # one row on the right
     return j.select(key, F.zip_with("total", "gram", lambda t, g: t - g).alias("gram"))
 
 
@@ -96,7 +96,7 @@ def solve_ridge(grams: DataFrame, key: str, n_targets: int = 1, alpha: float = 1
 def score(df: DataFrame, models: DataFrame, keys: list[str], out: str = "prediction", features: str = "features") -> DataFrame:
     """Linear scores; each row takes the models of its key (all models without keys). Models are a row per target."""
     value: Column = F.col("intercept") + dot(F.col(features), F.col("weights"))
-    j = df.join(models, keys) if keys else df.crossJoin(F.broadcast(models))
+    j = df.join(models, keys) if keys else df.crossJoin(models)
     return j.withColumn(out, value).drop("intercept", "weights", "n_train")
 
 
@@ -119,39 +119,129 @@ def baseline_table(train: DataFrame, test: DataFrame, y: str = "y", alpha: float
     return constant_baseline(test, y).unionByName(ridge_baseline(train, test, y, alpha))
 
 
-def leave_group_out_scores(df: DataFrame, group: str, targets: list[str], alpha: float = 10.0) -> DataFrame:
-    """Every row scored by the model fitted on all other groups; long, one row per target."""
-    base = df.withColumn("targets", F.array(*[F.col(t).cast("double") for t in targets]))
-    grams = materialise(cross_products(base, group))
-    models = materialise(solve_ridge(left_out(grams, group), group, len(targets), alpha))
-    scored = score(base, models, [group])
-    return scored.withColumn("truth", F.get("targets", F.col("target"))).withColumn(
-        "target_name", F.get(F.array(*[F.lit(t) for t in targets]), F.col("target"))
-    ).drop("targets")
+TARGET_PARTS = 16  # parts the targets of a group are dealt over
 
 
-def generalization_rows(df: DataFrame, group: str, sf_target: str, gene_targets: list[str], alpha: float = 10.0) -> DataFrame:
+def feature_products(df: DataFrame, key: str, features: str = "features") -> DataFrame:
+    """(key, gram): sums of products of [1, features…] per key, (1 + d)² numbers whatever the number of targets."""
+    return cross_products(df.withColumn("_none", F.array().cast("array<double>")), key, features, "_none")
+
+
+def target_products(rows: DataFrame, key: str) -> DataFrame:
+    """(key, target, v): sums of y·[1, features…] and of y² from rows (key, target, y, features). Rows with y = 0 may be left out."""
+    d = rows.select(F.col(key).cast("string").alias("key"), "target", F.col("y").cast("double").alias("y"), F.col("features").alias("x"))
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if b.empty:
+                continue
+            y = b["y"].to_numpy(np.float64)[:, None]
+            z = np.hstack([y, np.vstack(b["x"].to_numpy()).astype(np.float64) * y, y * y])
+            sums = pd.DataFrame(z).groupby([b["key"].to_numpy(), b["target"].to_numpy()]).sum()
+            yield pd.DataFrame({"key": sums.index.get_level_values(0), "target": sums.index.get_level_values(1), "v": list(sums.to_numpy())})
+
+    parts = d.mapInPandas(reduce, "key string, target string, v array<double>")
+    return _added(parts, ["key", "target"]).withColumnRenamed("key", key)
+
+
+def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
+    cells = parts.select(*keys, F.posexplode("v").alias("i", "c")).groupBy(*keys, "i").agg(F.sum("c").alias("c"))
+    return cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("p")).select(*keys, F.col("p.c").alias("v"))
+
+
+def _fit(gram: np.ndarray, v: np.ndarray, alpha: float) -> np.ndarray | None:
+    """Rows (intercept, weights…) per target for one matrix of training products and rows of target products."""
+    n = gram[0, 0]
+    if n < 2:
+        return None
+    mean = gram[0, 1:] / n
+    cov = gram[1:, 1:] - n * np.outer(mean, mean)
+    std = np.sqrt(np.maximum(np.diag(cov) / n, 0.0))
+    std[std < 1.0e-12] = 1.0
+    a = cov / np.outer(std, std) + alpha * np.eye(len(std))
+    level = v[:, 0] / n
+    w = np.linalg.solve(a, ((v[:, 1:-1] - np.outer(v[:, 0], mean)) / std).T).T / std
+    return np.hstack([(level - w @ mean)[:, None], w])
+
+
+def leave_group_out_models(df: DataFrame, targets: DataFrame, group: str, alpha: float = 10.0) -> DataFrame:
+    """A model per group and target, fitted on all other groups, with the sums of its predictions on the group left out.
+
+    `df` has the group, SPOT and features; `targets` has SPOT, target and y, where rows with y = 0 may be missing. One pass reads the
+    features and one the targets; a model is total minus group. The products of features and those with targets are separate, so the
+    work per target is one row. Columns: group, target, intercept, weights, n_train and n, sp, st, spp, stt, spt on the group. A
+    group without training rows has none. The result has groups × targets rows by its nature.
+    """
+    x = materialise(feature_products(df, group))
+    y = materialise(target_products(df.select(*dict.fromkeys([group, *SPOT, "features"])).join(targets, SPOT), group))
+    whole = _added(y.select("target", "v"), ["target"]).withColumnRenamed("v", "total")
+    every = x.select(F.col(group).alias("_g")).crossJoin(whole)
+    rows = every.join(y.withColumnRenamed(group, "_g"), ["_g", "target"], "left").withColumn("part", F.pmod(F.xxhash64("target"), F.lit(TARGET_PARTS)).cast("int"))
+    both = x.select(group, F.col("gram").alias("own")).join(left_out(x, group), group)
+    both = both.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TARGET_PARTS - 1))))
+    schema = f"{group} string, target string, intercept double, weights array<double>, n_train bigint, n bigint, sp double, st double, spp double, stt double, spt double"
+
+    def fit(key: tuple, grams: pd.DataFrame, targets_: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({c.split()[0]: pd.Series(dtype=object) for c in schema.split(", ")})
+        if grams.empty or targets_.empty:
+            return none
+        m = int(round(np.sqrt(len(grams["gram"].iloc[0]))))
+        train, own = (np.asarray(grams[c].iloc[0], dtype=np.float64).reshape(m, m) for c in ("gram", "own"))
+        total = np.vstack(targets_["total"].to_numpy()).astype(np.float64)
+        mine = np.vstack([np.zeros(m + 1) if v is None else np.asarray(v, dtype=np.float64) for v in targets_["v"]])
+        b = _fit(train, total - mine, alpha)
+        if b is None:
+            return none
+        xy = mine[:, :-1]
+        return pd.DataFrame({
+            group: key[0], "target": targets_["target"], "intercept": b[:, 0], "weights": list(b[:, 1:]), "n_train": int(round(train[0, 0])),
+            "n": int(round(own[0, 0])), "sp": b @ own[0], "st": xy[:, 0], "spp": np.einsum("ij,jk,ik->i", b, own, b), "stt": mine[:, -1], "spt": (b * xy).sum(1),
+        })
+
+    return both.groupBy(group, "part").cogroup(rows.groupBy("_g", "part")).applyInPandas(fit, schema)
+
+
+def leave_group_out_scores(df: DataFrame, targets: DataFrame, group: str, alpha: float = 10.0) -> DataFrame:
+    """Every row scored by the models of its group, which were fitted on all other groups: SPOT, group, target, prediction, truth."""
+    models = materialise(leave_group_out_models(df, targets, group, alpha)).select(group, "target", "intercept", "weights", "n_train")
+    keyed = df.select(*dict.fromkeys([group, *SPOT, "features"])).withColumn(group, F.col(group).cast("string"))
+    scored = score(keyed, models, [group]).drop("features")
+    return scored.join(targets.select(*SPOT, "target", F.col("y").alias("truth")), [*SPOT, "target"], "left").withColumn("truth", F.coalesce("truth", F.lit(0.0)))
+
+
+SF_TARGET = ""  # the name of the size-factor target beside the genes
+
+
+def generalization_rows(df: DataFrame, group: str, genes: DataFrame, alpha: float = 10.0) -> DataFrame:
     """Leave-group-out results as (heldout, stage, status, metric, value) for the stages sf, expression and combined.
 
-    `gene_targets` hold log1p rates. The combined stage multiplies predicted rates with the predicted, mean-one size
-    factor and compares counts. A group without training rows gets a status row.
+    `df` has the group, SPOT, features and log_sf; `genes` has SPOT, target and y, the log1p rates that are not 0. Expression metrics
+    come from sums. The combined stage multiplies predicted rates, cut at 0, with the predicted, mean-one size factor and compares
+    counts; it is the only one that scores every row for every gene. A group without training rows gets a status row.
     """
-    scores = materialise(leave_group_out_scores(df, group, [sf_target, *gene_targets], alpha))
-    sf = scores.filter(F.col("target") == 0).select(group, *[c for c in SPOT if c != group], F.col("prediction").alias("pred_log_sf"), F.col("truth").alias("true_log_sf"))
-    m = sf_metrics(sf, [group]).select(group, F.lit("sf").alias("stage"), F.lit("log_sf_pearson").alias("metric"), F.col("log_sf_pearson").alias("value"))
-    genes = scores.filter(F.col("target") > 0).withColumnsRenamed({"prediction": "pred", "truth": "true"})
-
-    def by_task(d: DataFrame, stage: str, metric: str) -> DataFrame:
-        per_gene = sum_pairs(d, [group, "target"]).select(group, "target", *metric_columns())
-        return gene_summary(per_gene, [group]).select(group, F.lit(stage).alias("stage"), F.lit(metric).alias("metric"), F.col("mean_gene_pearson").alias("value"))
-
-    one = normalise_predicted(sf, "pred_log_sf", scope=[group])
-    ids = list(dict.fromkeys([group, *SPOT]))
-    counts = genes.join(one.select(*ids, "pred_sf", F.exp("true_log_sf").alias("_sf")), ids).select(
-        group, "target", (F.greatest(F.expm1("pred"), F.lit(0.0)) * F.col("pred_sf")).alias("pred"), (F.expm1("true") * F.col("_sf")).alias("true")
+    sf_rows = df.select(*SPOT, F.lit(SF_TARGET).alias("target"), F.col("log_sf").cast("double").alias("y"))
+    targets = materialise(sf_rows.unionByName(genes.select(*SPOT, "target", F.col("y").cast("double").alias("y"))))
+    models = materialise(leave_group_out_models(df, targets, group, alpha))
+    keyed = materialise(df.select(*dict.fromkeys([group, *SPOT, "features", "log_sf"])).withColumn("_group", F.col(group).cast("string")))
+    one_model = models.select(F.col(group).alias("_group"), "target", "intercept", "weights", "n_train")
+    sf = score(keyed, one_model.filter(F.col("target") == SF_TARGET).drop("target"), ["_group"], "pred_log_sf").select(
+        "_group", *SPOT, "pred_log_sf", F.col("log_sf").cast("double").alias("true_log_sf")
+    )
+    sf = materialise(sf)
+    held = lambda d, stage, metric, value: d.select(F.col("_group").alias("heldout"), F.lit(stage).alias("stage"), F.lit(metric).alias("metric"), F.col(value).alias("value"))
+    m = held(sf_metrics(sf, ["_group"]), "sf", "log_sf_pearson", "log_sf_pearson")
+    by_gene = models.filter(F.col("target") != SF_TARGET).select(F.col(group).alias("_group"), pearson_of_sums().alias("pearson"))
+    e = held(gene_summary(by_gene, ["_group"]), "expression", "mean_gene_pearson", "mean_gene_pearson")
+    one = normalise_predicted(sf, "pred_log_sf", scope=["_group"]).select("_group", *SPOT, "pred_sf", F.exp("true_log_sf").alias("_sf"))
+    dense = score(keyed.select("_group", *SPOT, "features"), one_model.filter(F.col("target") != SF_TARGET), ["_group"], "pred").drop("features")
+    counts = dense.join(one, ["_group", *SPOT]).join(genes.select(*SPOT, "target", "y"), [*SPOT, "target"], "left")
+    counts = counts.select(
+        "_group", "target", (F.greatest(F.expm1("pred"), F.lit(0.0)) * F.col("pred_sf")).alias("pred"), (F.expm1(F.coalesce("y", F.lit(0.0))) * F.col("_sf")).alias("true"),
     )
-    rows = m.unionByName(by_task(genes, "expression", "mean_gene_pearson")).unionByName(by_task(counts, "combined", "count_pred_sf_mean_gene_pearson"))
-    stages = F.explode(F.array(*[F.lit(s) for s in ("sf", "expression", "combined")])).alias("stage")
-    tasks = df.select(group).distinct().select(group, stages)
-    out = tasks.join(rows, [group, "stage"], "left")
-    return out.select(F.col(group).alias("heldout"), "stage", F.when(F.col("metric").isNull(), "missing_model").otherwise("ok").alias("status"), "metric", "value")
+    per_gene = sum_pairs(counts, ["_group", "target"]).select("_group", *metric_columns())
+    c = held(gene_summary(per_gene, ["_group"]), "combined", "count_pred_sf_mean_gene_pearson", "mean_gene_pearson")
+    rows = m.unionByName(e).unionByName(c)
+    stages = F.explode(F.array(*[F.lit(x) for x in ("sf", "expression", "combined")])).alias("stage")
+    tasks = keyed.select(F.col("_group").alias("heldout")).distinct().select("heldout", stages)
+    out = tasks.join(rows, ["heldout", "stage"], "left")
+    return out.select("heldout", "stage", F.when(F.col("metric").isNull(), "missing_model").otherwise("ok").alias("status"), "metric", "value")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from spotweave.operators import linear, pixels, stratify
 from spotweave.operators.genesets import scores_of_kind
 from spotweave.operators.splits import group_folds
-from spotweave.plans.base_sql import METRIC_DOUBLES, define, metrics, sums
+from spotweave.plans.base_sql import METRIC_DOUBLES, PEARSON, define, metrics, sums
 from spotweave.plans.q_evaluate import GENE_DOUBLES
+from spotweave.plans.q_sfmetrics import SF, sf_sql
 from spotweave.plans.registry import query
 from spotweave.session import materialise
 from spotweave.sources.views import Views
@@ -132,19 +133,54 @@ def _(v: Views):
     return pixels.patch_descriptors(v.pixels)
 
 
-# --- linear models: fits have no SQL twin; tests recompute them with numpy -----------------------------------------------
+# --- linear models: two features, so that SQL can write the solution out; tests compare more features with numpy ----------
+
+ALPHA = 10.0
+
+
+def _sums(y: str = "y") -> str:
+    return f"count(*) AS n, sum(x1) AS a, sum(x2) AS b, sum({y}) AS y, sum(x1*x1) AS aa, sum(x2*x2) AS bb, sum(x1*x2) AS ab, sum(x1*{y}) AS ay, sum(x2*{y}) AS by_"
+
+
+def _solved(keys: str, source: str) -> str:
+    """Intercept and weights from training sums, standardised features, intercept not penalised."""
+    return f"""(SELECT {keys}, y/n - w1*a/n - w2*b/n AS w0, w1, w2 FROM (SELECT *, (p*c1-q*c2)/(p*p-q*q)/s1 AS w1, (p*c2-q*c1)/(p*p-q*q)/s2 AS w2 FROM
+(SELECT *, n + {ALPHA} AS p, (ab - a*b/n)/(s1*s2) AS q, (ay - a*y/n)/s1 AS c1, (by_ - b*y/n)/s2 AS c2 FROM
+(SELECT *, sqrt(aa/n - (a/n)^2) AS s1, sqrt(bb/n - (b/n)^2) AS s2 FROM {source} WHERE n >= 2))))"""
+
+
+def _two(v: Views):
+    """The regression rows with their first two features."""
+    return v.regression.withColumn("features", F.slice("features", 1, 2))
 
 
 def _train_test(v: Views):
-    d = v.regression.withColumn("fold", F.col("spot_id") % 5)
+    d = _two(v).withColumn("fold", F.col("spot_id") % 5)
     return d.filter("fold < 4"), d.filter("fold = 4")
 
 
-@query("M1_ridge_baseline")
+define(
+    "two_features",
+    """SELECT sample_id, spot_id, features[1]::double AS x1, features[2]::double AS x2,
+  features[1]::double * 2.0 - features[2]::double * 1.5 + features[3]::double * 0.5 + 0.01::double * (spot_id % 17) AS y FROM features""",
+)
+define("ridge_fit", f"SELECT * FROM {_solved('1 AS one', f'(SELECT {_sums()} FROM two_features WHERE spot_id % 5 < 4)')}")
+define("ridge_scored", "SELECT 'ridge' AS baseline, w0 + w1*x1 + w2*x2 AS pred_log_sf, y AS true_log_sf FROM two_features, ridge_fit WHERE spot_id % 5 = 4")
+define("constant_scored", "SELECT 'constant' AS baseline, 0.0::double AS pred_log_sf, y AS true_log_sf FROM two_features WHERE spot_id % 5 = 4")
+_RIDGE_SQL = f"SELECT *, cast({ALPHA} AS double) AS alpha FROM ({sf_sql('baseline', 'ridge_scored')})"
+
+
+@query("M1_ridge_baseline", _RIDGE_SQL, SF)
 def _(v: Views):
     return linear.ridge_baseline(*_train_test(v))
 
 
+@query("M1_ridge_all_features")
+def _(v: Views):
+    d = v.regression.withColumn("fold", F.col("spot_id") % 5)
+    return linear.ridge_baseline(d.filter("fold < 4"), d.filter("fold = 4"))
+
+
 WEIGHTS = [0.5, -0.25, 2.0, 1.0] + [0.0] * 60
 
 
@@ -158,31 +194,92 @@ def _(v: Views):
     return linear.score(v.features, model, []).select("sample_id", "spot_id", "prediction")
 
 
-@query("M3_baseline_table")
+@query("M3_baseline_table", f"{_RIDGE_SQL} UNION ALL SELECT *, NULL FROM ({sf_sql('baseline', 'constant_scored')})", SF)
 def _(v: Views):
     return linear.baseline_table(*_train_test(v))
 
 
-@query("M4_leave_group_out")
-def _(v: Views):
-    """Vectors stand for spots of the sample of their label; genes measured in all of those samples are targets."""
-    f = v.features.withColumn("_id", F.col("spot_id")).withColumn("spot_id", F.col("spot_id") % 72)
-    d = f.join(v.sf.filter("valid").select("sample_id", "spot_id", "sf", "log_sf"), ["sample_id", "spot_id"])
+def _gene_rows(v: Views):
+    """Vectors stand for spots of the sample of their label, several per spot (see FIXTURES.md); all genes that every one of those
+    samples measured are targets."""
+    f = _two(v).withColumn("cell", F.col("spot_id") % 72).drop("y", "x", "y")
+    sf = v.sf.filter("valid").select("sample_id", F.col("spot_id").alias("cell"), "sf", "log_sf")
+    d = materialise(f.join(sf, ["sample_id", "cell"]).join(v.samples.select("sample_id", "organ", "cohort"), "sample_id"))
     have = d.select("sample_id").distinct()
-    n = have.count()
-    common = v.sample_genes.join(have, "sample_id").groupBy("gene").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == n)
-    genes = [r.gene for r in common.orderBy("gene").limit(4).collect()]  # names of at most four target columns
-    for i, g in enumerate(genes):
-        c = v.counts.filter(F.col("gene") == g).select("sample_id", "spot_id", F.col("count").alias("_c"))
-        d = d.join(c, ["sample_id", "spot_id"], "left").withColumn(f"g{i}", F.log1p(F.coalesce("_c", F.lit(0)) / F.greatest("sf", F.lit(1e-6)))).drop("_c")
-    d = d.withColumn("spot_id", F.col("_id"))
-    return linear.generalization_rows(d, "sample_id", "log_sf", [f"g{i}" for i in range(len(genes))])
+    n = have.agg(F.count(F.lit(1)).alias("_n"))
+    common = v.sample_genes.join(have, "sample_id").groupBy("gene").agg(F.count(F.lit(1)).alias("c")).crossJoin(n).filter("c = _n").select("gene")
+    c = v.counts.join(common, "gene", "left_semi").withColumnRenamed("spot_id", "cell")
+    y = F.log1p(F.col("count") / F.greatest("sf", F.lit(1e-6)))
+    return d, materialise(d.join(c, ["sample_id", "cell"]).select("sample_id", "spot_id", F.col("gene").alias("target"), y.alias("y")))
 
 
-@query("M5_crossfit_predictions")
+define("gene_base", "SELECT t.sample_id, t.spot_id, x1, x2, s.spot_id AS cell, sf, log_sf, organ, cohort FROM two_features t JOIN sf_t s ON s.sample_id = t.sample_id AND s.spot_id = t.spot_id % 72 AND s.valid JOIN samples p ON p.sample_id = t.sample_id")
+define("gene_common", "SELECT gene FROM sample_genes WHERE sample_id IN (SELECT sample_id FROM gene_base) GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT sample_id) FROM gene_base)")
+define(
+    "gene_long",
+    """SELECT b.*, '' AS gene, log_sf AS y FROM gene_base b UNION ALL
+SELECT b.*, g.gene, ln(1 + coalesce(c.count, 0) / greatest(sf, 1e-6)) FROM gene_base b CROSS JOIN gene_common g
+LEFT JOIN counts c ON c.sample_id = b.sample_id AND c.spot_id = b.cell AND c.gene = g.gene""",
+)
+
+
+def _loo_sql(key: str, table: str, target: str) -> str:
+    parts = ("n", "a", "b", "y", "aa", "bb", "ab", "ay", "by_")
+    less = ", ".join(f"t.{c} - o.{c} AS {c}" for c in parts)
+    own = f"(SELECT {key}, {target}, {_sums()} FROM {table} GROUP BY ALL)"
+    whole = f"(SELECT {target}, {', '.join(f'sum({c}) AS {c}' for c in parts)} FROM {own} GROUP BY ALL)"
+    train = f"(SELECT o.{key}, o.{target}, {less} FROM {own} o JOIN {whole} t USING ({target}))"
+    return f"SELECT l.*, w0 + w1*x1 + w2*x2 AS prediction FROM {table} l JOIN {_solved(f'{key}, {target}', train)} USING ({key}, {target})"
+
+
+for _name, _key in (("group", "sample_id"), ("organ", "organ"), ("cohort", "cohort")):
+    define(f"loo_{_key}", _loo_sql(_key, "gene_long", "gene"))
+    define(f"loo_sf_{_key}", f"SELECT {_key}, spot_id, sample_id, prediction AS pred_log_sf, y AS true_log_sf FROM loo_{_key} WHERE gene = ''")
+    define(
+        f"loo_count_{_key}",
+        f"""SELECT l.{_key}, l.gene, greatest(exp(l.prediction) - 1, 0) * e AS pred, (exp(l.y) - 1) * exp(l.log_sf) AS true_ FROM loo_{_key} l
+JOIN (SELECT sample_id, spot_id, exp(pred_log_sf) / (avg(exp(pred_log_sf)) OVER (PARTITION BY {_key}) + 1e-8) AS e FROM loo_sf_{_key}) USING (sample_id, spot_id) WHERE gene <> ''""",
+    )
+    _mean = lambda source, p, t: f"SELECT k, avg({PEARSON}) AS v FROM (SELECT {_key} AS k, gene, {sums(p, t)} FROM {source} WHERE gene <> '' GROUP BY ALL) GROUP BY k"
+
+    @query(
+        f"M4_leave_{_name}_out",
+        f"""WITH r AS (SELECT {_key} AS k, 'sf' AS stage, 'log_sf_pearson' AS metric, log_sf_pearson AS v FROM ({sf_sql(_key, f'loo_sf_{_key}')})
+UNION ALL SELECT k, 'expression', 'mean_gene_pearson', v FROM ({_mean(f'loo_{_key}', 'prediction', 'y')})
+UNION ALL SELECT k, 'combined', 'count_pred_sf_mean_gene_pearson', v FROM ({_mean(f'loo_count_{_key}', 'pred', 'true_')}))
+SELECT h AS heldout, s AS stage, CASE WHEN metric IS NULL THEN 'missing_model' ELSE 'ok' END AS status, metric, v AS value
+FROM (SELECT DISTINCT {_key} AS h FROM gene_base) CROSS JOIN (VALUES ('sf'), ('expression'), ('combined')) t(s) LEFT JOIN r ON k = h AND stage = s""",
+        "value",
+    )
+    def _(v: Views, key: str = _key):
+        return linear.generalization_rows(*_gene_args(v, key))
+
+
+def _gene_args(v: Views, key: str):
+    d, genes = _gene_rows(v)
+    return d, key, genes
+
+
+_FOLD_ROWS = ("SELECT f.*, cast(fold AS varchar) AS fold FROM two_features f JOIN feature_folds USING (sample_id)")
+define(
+    "feature_folds",
+    """SELECT sample_id, CASE WHEN (i // 4) % 2 = 0 THEN i % 4 ELSE 3 - i % 4 END AS fold
+FROM (SELECT sample_id, row_number() OVER (ORDER BY count(*) DESC, sample_id) - 1 AS i FROM features GROUP BY sample_id)""",
+)
+
+
+define("fold_rows", _FOLD_ROWS)
+
+
+@query(
+    "M5_crossfit_predictions",
+    f"SELECT sample_id, spot_id, fold, prediction, y AS truth FROM ({_loo_sql('fold', '(SELECT *, 1 AS one FROM fold_rows)', 'one')})",
+    "prediction truth",
+)
 def _(v: Views):
-    folds = group_folds(v.regression, "sample_id", 4).withColumn("fold", F.col("fold").cast("string"))
-    return linear.leave_group_out_scores(folds, "fold", ["y"]).select("sample_id", "spot_id", "fold", "prediction", "truth")
+    folds = group_folds(_two(v), "sample_id", 4).withColumn("fold", F.col("fold").cast("string"))
+    targets = folds.select("sample_id", "spot_id", F.lit("y").alias("target"), "y")
+    return linear.leave_group_out_scores(folds, targets, "fold").select("sample_id", "spot_id", "fold", "prediction", "truth")
 
 
 # --- streams -----------------------------------------------------------------------------------------------------------
