@@ -10,20 +10,21 @@ a document with more of them than its prefix is long has no partner at all and l
 2. Identical sets are one class. A class keeps its shared tokens, in which every overlap can be counted.
 3. Classes meet in the buckets of their prefix tokens of the first order. In rounds, one hub per bucket meets one member of every
    other component in it; links found merge components, so large groups of near copies cost one comparison each and not all pairs.
-   When no round finds a link, the pairs of a bucket that still lie in different components are compared, all of them. Every pair
+   When a round finds few links, the pairs of a bucket that still lie in different components are compared, all of them. Every pair
    first passes the size filter, then the prefix filters of the other orders, then the exact count.
-4. Components are found by passing minima along links.
+4. Components are found by shrinking the graph of links, label by label.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from spotweave.llm.common import bounded_batches, text_of
 from spotweave.session import materialise
@@ -33,7 +34,7 @@ PERCENT = 75
 SHARD_BYTES = 16 << 20  # text bytes that fill one shard, about two million tokens
 BLOCK_TOKENS = 1_000_000  # tokens that a scan task holds at a time
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # seeds of the hash orders
-_LOW = (1 << 48) - 1
+MOSTLY = 10  # rounds of hubs go on while more than one pair in ten is a link
 _SCHEMA = "shard int, pack int, docs binary, tokens binary, refs binary"
 
 
@@ -205,23 +206,39 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that hold."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").mapInPandas(_verify(percent), "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").mapInPandas(_verify(percent), "a long, b long")
+
+
+def _stored(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """The stored table and how many rows it has (or `what` added up), counted while it is written."""
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    counted = F.count(F.lit(1)) if what is None else F.sum(what)
+    out = materialise(df.observe(seen, F.coalesce(counted, F.lit(0)).alias("n")))
+    return out, int(seen.get["n"])
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node reachable. `links` has a and b; labels move by minima over links and jump to their label's label."""
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = materialise(edges.union(edges.select("v", "u")).distinct())
-    labels = materialise(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp")).select("node", F.least("node", "comp").alias("comp")))
+    """(node, comp): the smallest node reachable; `links` has a and b.
+
+    In each step every node takes the smallest node next to it as its label, and the graph shrinks to the links between labels. The
+    smallest node of a component never changes its label, so it is the last one left.
+    """
+    edges = materialise(links.select(*_ordered(F.col("a"), F.col("b"))).filter("a < b").distinct())
+    labels: DataFrame | None = None
     while True:
-        near = edges.join(labels, edges.v == labels.node).groupBy("u").agg(F.min("comp").alias("m"))
-        stepped = labels.join(near, labels.node == near.u).select("node", "comp", F.least("comp", "m").alias("c"))
-        up = labels.select(F.col("node").alias("c"), F.col("comp").alias("cc"))
-        new = materialise(stepped.join(up, "c", "left").select("node", F.col("comp").alias("old"), F.least("c", F.coalesce("cc", "c")).alias("comp")))
-        if not new.filter("comp <> old").limit(1).count():
+        both = edges.union(edges.select("b", "a"))
+        step = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
+        if labels is None:
+            labels = step
+        else:
+            further = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            labels = materialise(labels.join(further, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
+        x, y = (step.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
+        shrunk = edges.join(x, "a").join(y, "b").select(*_ordered(F.col("a_to"), F.col("b_to"))).filter("a < b").distinct()
+        edges, left = _stored(shrunk)
+        if not left:
             break
-        labels = new.select("node", "comp")
-    return nodes.join(new.select("node", "comp"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    return nodes.join(labels, "node", "left").select("node", F.coalesce("to", "node").alias("comp"))
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -229,16 +246,16 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 
 
 def similar_sets(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, comp) for the nodes of `sets` (node, n, tokens). `buckets` has token, node, n, shared: rows per prefix token.
+    """(node, comp) for the nodes of `sets` (node, n, tokens). `buckets` has token, node, n, rest: rows per prefix token.
 
+    `rest` is how many tokens of the node come from this one on: no pair can have more in common if this is the first it shares.
     Every pair of a bucket ends in one component or has been compared.
     """
     nodes = materialise(sets.select("node").distinct())
-    links: DataFrame | None = None
     compared: DataFrame | None = None
     comp = nodes.withColumn("comp", F.col("node"))
     size = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    enough = lambda x, y: F.least(F.col(f"{x}.shared"), F.col(f"{y}.shared")) * (100 + percent) >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+    enough = lambda x, y: F.least(F.col(f"{x}.rest"), F.col(f"{y}.rest")) * (100 + percent) >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))
     exhaustive = False
     while True:
         placed = buckets.join(comp, "node")
@@ -250,23 +267,23 @@ def similar_sets(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & size(F.col("x.n"), F.col("y.n")) & enough("x", "y")
             pairs = x.join(y, on).select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
         else:
-            member = placed.groupBy("token", "comp").agg(F.min(F.struct("n", "node", "shared")).alias("m"))
-            hubs = member.groupBy("token").agg(F.min(F.struct("m.n", "m.node", "comp", "m.shared")).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+            member = placed.groupBy("token", "comp").agg(F.min(F.struct("n", "node", "rest")).alias("m"))
+            hubs = member.groupBy("token").agg(F.min(F.struct("m.n", "m.node", "comp", "m.rest")).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
             met = member.join(hubs, "token").filter("comp <> hub.comp").select(F.col("m").alias("x"), F.col("hub").alias("y"))
             met = met.filter(size(F.col("x.n"), F.col("y.n")) & enough("x", "y"))
             pairs = met.select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
+        pairs, tried = _stored(pairs)  # distinct first: a pair meets in many tokens
         if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
+            pairs, tried = _stored(pairs.join(compared, ["a", "b"], "left_anti"))
         compared = pairs if compared is None else compared.union(pairs)
-        found = materialise(_links(pairs, sets, percent))
-        any_ = found.limit(1).count() > 0
-        if any_:
-            links = found if links is None else links.union(found)
-            comp = materialise(components(nodes, links))
+        found, held = _stored(_links(pairs, sets, percent)) if tried else (None, 0)
+        if held:
+            ca, cb = (comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
+            joined = components(comp.select(F.col("comp").alias("node")).distinct(), found.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            comp = materialise(comp.withColumnRenamed("comp", "old").join(joined.select(F.col("node").alias("old"), "comp"), "old").select("node", "comp"))
         if exhaustive:
             return comp
-        exhaustive = not any_
+        exhaustive = held * MOSTLY < tried or not held
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,15 +304,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     full = classes.join(shared, "d1").select("node", "n", F.expr("transform(t, x -> x.token)").alias("tokens"))
     long_ = (prefix_length(F.col("n"), percent) - (F.col("n") - F.size("tokens"))).cast("int")
     sets = materialise(full.withColumn("p", long_).filter("p > 0"))
-    buckets = sets.select(F.explode(F.expr("slice(tokens, 1, p)")).alias("token"), "node", "n", F.size("tokens").cast("long").alias("shared"))
+    size = F.size("tokens")
+    buckets = sets.select(F.posexplode(F.expr("slice(tokens, 1, p)")).alias("at", "token"), "node", "n", size.alias("size"))
+    buckets = buckets.select("token", "node", "n", (F.col("size") - F.col("at")).cast("long").alias("rest"))
     met = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
     buckets = materialise(buckets.join(met, "token", "left_semi"))
     comp = similar_sets(buckets, sets.select("node", "n", "tokens"), percent)
-    # an id may stand for several sets, so the sets of one id are one document
-    same = classes.join(rows.filter("doc_id IS NOT NULL AND n > 0").select("doc_id", "d1", "d2", "n").distinct(), ["d1", "d2", "n"])
-    named = same.select("doc_id", "node")
-    several = named.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    if several.limit(1).count():
+    # an id may stand for several sets; they are one document then
+    key = F.struct("d1", "d2", "n")
+    several = rows.filter("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo <> hi")
+    several, ids = _stored(several.select("doc_id"))
+    if ids:
+        named = classes.join(rows.filter("doc_id IS NOT NULL").select("doc_id", "d1", "d2", "n").distinct(), ["d1", "d2", "n"]).select("doc_id", "node")
         extra = named.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
         more = comp.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
         everyone = named.select(F.col("doc_id").alias("node")).union(named.select("node")).distinct()
