@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from spotweave.llm.common import bounded_batches, text_of, without
 
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 class RankQueue:
@@ -153,7 +153,7 @@ def worker_codec(key: int, table: Broadcast, pattern: str) -> tuple:
 
 
 def codec(spark: SparkSession, ranks: dict[bytes, int], pattern: str):
-    """(encode, decode): column functions text -> binary ids (32-bit little-endian) and back to bytes.
+    """(encode, decode, both): column functions text -> binary ids (32-bit little-endian), ids -> bytes, and text -> struct of both.
 
     The table goes to the workers as one broadcast; its size is that of the vocabulary, not of the data.
     """
@@ -170,7 +170,13 @@ def codec(spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         for ids in batches:
             yield ids.map(lambda x: b"".join(map(words.__getitem__, memoryview(x).cast("I"))))
 
-    return F.pandas_udf(encode, T.BinaryType()), F.pandas_udf(decode, T.BinaryType())
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            ids = next(encode(iter([texts])))
+            yield pd.DataFrame({"ids": ids, "decoded": next(decode(iter([ids])))})
+
+    pair = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    return F.pandas_udf(encode, T.BinaryType()), F.pandas_udf(decode, T.BinaryType()), F.pandas_udf(both, pair)
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
@@ -178,8 +184,9 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
 
     A null text is the empty text: no ids, no bytes. All rows are returned; input columns of these names are replaced.
     """
-    encode, decode = codec(bounded_batches(docs).sparkSession, ranks, pattern)
-    return without(docs, ["ids", "decoded"]).withColumn("ids", encode(text_of(text_col))).withColumn("decoded", decode(F.col("ids")))
+    _, _, both = codec(bounded_batches(docs).sparkSession, ranks, pattern)
+    d = without(docs, ["ids", "decoded", "_bpe"]).withColumn("_bpe", both(text_of(text_col)))
+    return d.select("*", "_bpe.ids", "_bpe.decoded").drop("_bpe")
 
 
 def digest() -> list:

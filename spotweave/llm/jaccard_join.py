@@ -32,7 +32,7 @@ from spotweave.session import materialise
 WORDS = 5
 PERCENT = 75
 SHARD_BYTES = 16 << 20  # text bytes that fill one shard, about two million tokens
-BLOCK_TOKENS = 1_000_000  # tokens that a scan task holds at a time
+BLOCK_TOKENS = 500_000  # tokens that a scan task holds at a time
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # seeds of the hash orders
 MOSTLY = 10  # rounds of hubs go on while more than one pair in ten is a link
 _SCHEMA = "shard int, pack int, docs binary, tokens binary, refs binary"
@@ -47,7 +47,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h
         return h

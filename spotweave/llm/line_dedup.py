@@ -202,7 +202,8 @@ def dedup_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, kee
 
 def dedup_rows(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As `dedup_lines`, with the input row as a struct `_row`."""
-    maps = keep_bitmaps(bounded_batches(docs), least_docs, least_chars, keep_first, id_col, text_col)
+    # stored, so that no task runs the workers of both steps at a time
+    maps = materialise(keep_bitmaps(bounded_batches(docs), least_docs, least_chars, keep_first, id_col, text_col))
     d = docs.select(packed(docs), *_doc_key(id_col, text_col)).join(maps, ["d1", "d2"], "left")
     text = F.coalesce(F.col("_row")[text_col].cast("string"), F.lit(""))
     return d.select("_row", _applied(text, F.col("keep")).alias("line_dedup"))
