@@ -285,10 +285,10 @@ def state_mart(overall: DataFrame, by_organ: DataFrame, annotations: DataFrame,
     return a.unionByName(b).unionByName(c)
 
 
-def claim(rows: DataFrame, name: str, status: str | Column, evidence: Column, limitation: str | Column = "") -> DataFrame:
-    """One audit row read off a mart: (claim, status, evidence, limitation)."""
+def claim(rows: DataFrame, name: str, status: str | Column, evidence: Column, limitation: str | Column = "", source: str = "") -> DataFrame:
+    """One audit row read off a mart: (claim, status, evidence, limitation, source_path)."""
     as_col = lambda c: F.lit(c) if isinstance(c, str) else c
-    return rows.select(F.lit(name).alias("claim"), as_col(status).alias("status"), evidence.alias("evidence"), as_col(limitation).alias("limitation"))
+    return rows.select(F.lit(name).alias("claim"), as_col(status).alias("status"), evidence.alias("evidence"), as_col(limitation).alias("limitation"), F.lit(source).alias("source_path"))
 
 
 def claim_table(claims: list[DataFrame]) -> DataFrame:

@@ -408,6 +408,10 @@ def _(v: Views):
     qm.FS,
 )
 def _(v: Views):
+    return stratification_mart(v)
+
+
+def stratification_mart(v: Views):
     o = qm._profiles(v).agg(F.countDistinct("sample_id").alias("n_slides"), F.countDistinct("signature").alias("n_signatures"))
     return op.with_overall(qm.field_summary(v), o, ["n_slides", "n_signatures"])
 
@@ -451,15 +455,26 @@ define(
     f"""WITH b AS (SELECT max(mean_gene_pearson) FILTER (method = 'count_pred_sf') AS p, max(mean_gene_pearson) FILTER (method = 'count_no_sf') AS n, max(mean_gene_pearson) FILTER (method = 'count_oracle_sf') AS o,
   max(mean_gene_pearson) FILTER (method = 'rate') AS r, max(mean_gene_pearson) FILTER (method = 'organ_sf_only_count_pred_sf') AS s,
   count(*) FILTER (evidence_level = 'formal_external_trained') AS nt, count(*) FILTER (evidence_level = 'formal_external_pilot') AS np FROM benchmark_table)
-SELECT 'predicted_size_factors_improve_counts' AS claim, 'supported' AS status, 'count_pred_sf ' || {_f4('p')} || ' vs count_no_sf ' || {_f4('n')} || ', delta ' || {_f4('p - n')} AS evidence, 'oracle upper bound ' || {_f4('o')} AS limitation FROM b
-UNION ALL SELECT 'model_exceeds_statistical_baseline', 'supported', 'count_pred_sf ' || {_f4('p')} || ' vs organ baseline ' || {_f4('s')}, '' FROM b
-UNION ALL SELECT 'broad_gene_panel', 'supported', (SELECT count(DISTINCT gene) FROM eval_cells) || ' genes over ' || (SELECT count(*) FROM sf_spots) || ' spots; rate mean ' || {_f4('r')}, '' FROM b
-UNION ALL (SELECT 'gene_set_structure', 'supported_first_pass', 'best ' || signature || ' ' || {_f4('rate_pearson')} || ' of ' || (SELECT count(*) FROM biology_mart), 'gene-set fidelity only' FROM biology_mart ORDER BY rate_pearson DESC NULLS LAST, signature LIMIT 1)
-UNION ALL (SELECT 'spatial_structure', 'supported_first_pass_spatial', 'best ' || signature || ' ' || {_f4('mean_spatial_lag_pearson')} || '; overall lag ' || printf('%.4f', (SELECT avg(spatial_lag_pearson) FROM spatial_rows)), 'nearest-neighbour based'
+SELECT 'predicted_size_factors_improve_counts' AS claim, 'supported' AS status, 'count_pred_sf ' || {_f4('p')} || ' vs count_no_sf ' || {_f4('n')} || ', delta ' || {_f4('p - n')} AS evidence, 'oracle upper bound ' || {_f4('o')} AS limitation, 'benchmark_table' AS source_path FROM b
+UNION ALL SELECT 'model_exceeds_statistical_baseline', 'supported', 'count_pred_sf ' || {_f4('p')} || ' vs organ baseline ' || {_f4('s')}, '', 'statistical_baselines' FROM b
+UNION ALL SELECT 'broad_gene_panel', 'supported', (SELECT count(DISTINCT gene) FROM eval_cells) || ' genes over ' || (SELECT count(*) FROM sf_spots) || ' spots; rate mean ' || {_f4('r')}, '', 'evaluation' FROM b
+UNION ALL (SELECT 'gene_set_structure', 'supported_first_pass', 'best ' || signature || ' ' || {_f4('rate_pearson')} || ' of ' || (SELECT count(*) FROM biology_mart), 'gene-set fidelity only', 'biology_mart' FROM biology_mart ORDER BY rate_pearson DESC NULLS LAST, signature LIMIT 1)
+UNION ALL (SELECT 'spatial_structure', 'supported_first_pass_spatial', 'best ' || signature || ' ' || {_f4('mean_spatial_lag_pearson')} || '; overall lag ' || printf('%.4f', (SELECT avg(spatial_lag_pearson) FROM spatial_rows)), 'nearest-neighbour based', 'spatial_summary'
   FROM spatial_summary ORDER BY mean_spatial_lag_pearson DESC NULLS LAST, signature LIMIT 1)
-UNION ALL SELECT 'generalization', CASE WHEN bool_and(status = 'run') THEN 'supported_ready_set' ELSE 'prepared_not_final' END, string_agg(item || ':' || status, ', ' ORDER BY item), CASE WHEN bool_and(status = 'run') THEN 'ready set only' ELSE 'incomplete' END FROM completion
-UNION ALL SELECT 'tasks_inspected', 'supported_inspected_heterogeneous', string_agg(split_type || '/' || stage || ' ' || {_f4('mean_primary_metric')} || ' worst ' || worst_heldout, '; ' ORDER BY split_type, stage), 'bounded to finished tasks' FROM inspection
-UNION ALL SELECT 'external_benchmarks', CASE WHEN nt > 0 THEN 'supported_trained_pilot' WHEN np > 0 THEN 'supported_pilot' ELSE 'not_supported_yet' END, nt || ' trained and ' || np || ' pilot rows', 'not tuned' FROM b""",
+UNION ALL SELECT 'generalization', CASE WHEN bool_and(status = 'run') THEN 'supported_ready_set' ELSE 'prepared_not_final' END, string_agg(item || ':' || status, ', ' ORDER BY item), CASE WHEN bool_and(status = 'run') THEN 'ready set only' ELSE 'incomplete' END, 'completion' FROM completion
+UNION ALL SELECT 'tasks_inspected', 'supported_inspected_heterogeneous', string_agg(split_type || '/' || stage || ' ' || {_f4('mean_primary_metric')} || ' worst ' || worst_heldout, '; ' ORDER BY split_type, stage), 'bounded to finished tasks', 'inspection' FROM inspection
+UNION ALL SELECT 'external_benchmarks', CASE WHEN nt > 0 THEN 'supported_trained_pilot' WHEN np > 0 THEN 'supported_pilot' ELSE 'not_supported_yet' END, nt || ' trained and ' || np || ' pilot rows', 'not tuned', 'benchmark_table' FROM b
+UNION ALL (SELECT 'pathway_modules', 'supported_first_pass_pathway', (SELECT count(*) FROM module_mart) || ' modules over ' || n_spots || ' spots; best ' || module || ' ' || {_f4('rate_pearson')}
+  || ', median ' || printf('%.4f', (SELECT quantile_cont(rate_pearson, 0.5) FROM module_mart)), 'gene-set fidelity, no enrichment', 'module_mart' FROM module_mart ORDER BY rate_pearson DESC NULLS LAST, module LIMIT 1)
+UNION ALL (SELECT 'cell_composition', 'supported_first_pass_cell_composition', (SELECT count(*) FROM fraction_metrics) || ' types over ' || a.n_spots || ' spots; spot fractions '
+  || printf('%.4f', (SELECT avg(spot_fraction_pearson) FROM fraction_metrics)) || ', slide fractions ' || printf('%.4f', (SELECT avg(slide_fraction_pearson) FROM fraction_metrics))
+  || '; dominant accuracy ' || {_f4('accuracy')} || ', macro F1 ' || {_f4('macro_f1')} || '; best ' || cell_type || ' ' || {_f4('spot_fraction_pearson')}, 'marker proxy', 'composition_mart'
+  FROM fraction_metrics m, dominant_agreement a ORDER BY spot_fraction_pearson DESC NULLS LAST, cell_type LIMIT 1)
+UNION ALL SELECT 'tissue_states', 'supported_first_pass_partial', '4 states; adjusted Rand ' || {_f4('adjusted_rand')} || ', mutual information ' || {_f4('normalized_mutual_info')} || ', best match '
+  || printf('%.4f', (SELECT best_match_accuracy FROM state_match WHERE organ IS NULL)), 'states come from gene sets', 'state_mart' FROM {qg.agreement_sql('state_labels')}
+UNION ALL (SELECT 'metadata_stratification', 'supported_first_pass_metadata', (SELECT count(*) FROM field_summary) || ' fields over ' || (SELECT count(DISTINCT sample_id) FROM slide_profiles) || ' slides and '
+  || (SELECT count(DISTINCT signature) FROM slide_profiles) || ' signatures; best ' || label_field || ' ' || {_f4('eta_pearson')} || '; top-group match ' || {_f4('top_group_match_rate')}, 'slide labels only', 'stratification_mart'
+  FROM field_summary ORDER BY eta_pearson DESC NULLS LAST, label_field LIMIT 1)""",
 )
 
 
@@ -484,18 +499,35 @@ def claims(v: Views):
     insp = op.inspection(op.task_metrics(formal_rows(v))).withColumn(
         "_line", F.format_string("%s/%s %.4f worst %s", *c("split_type", "stage", "mean_primary_metric", "worst_heldout"))
     ).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split_type", "stage", "_line"))), lambda s: s["_line"]), "; ").alias("e"))
+    top = lambda d, by, name: d.orderBy(F.desc_nulls_last(by), name).limit(1).crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("k"))))  # noqa: E731  one row each
+    mods = materialise(module_mart(v))
+    best_mod = top(mods, "rate_pearson", "module").crossJoin(F.broadcast(mods.agg(F.percentile("rate_pearson", 0.5).alias("median"))))
+    best_type = top(materialise(composition_mart(v)), "spot_fraction_pearson", "cell_type")
+    best_field = top(materialise(stratification_mart(v)), "eta_pearson", "label_field")
     return op.claim_table([
         op.claim(one, "predicted_size_factors_improve_counts", "supported",
-                 F.format_string("count_pred_sf %.4f vs count_no_sf %.4f, delta %.4f", F.col("p"), F.col("n"), F.col("p") - F.col("n")), F.format_string("oracle upper bound %.4f", *c("o"))),
-        op.claim(one, "model_exceeds_statistical_baseline", "supported", F.format_string("count_pred_sf %.4f vs organ baseline %.4f", *c("p", "s"))),
-        op.claim(size.crossJoin(F.broadcast(one)), "broad_gene_panel", "supported", F.format_string("%d genes over %d spots; rate mean %.4f", *c("ng", "ns", "r"))),
-        op.claim(best_bio, "gene_set_structure", "supported_first_pass", F.format_string("best %s %.4f of %d", *c("signature", "rate_pearson", "k")), "gene-set fidelity only"),
+                 F.format_string("count_pred_sf %.4f vs count_no_sf %.4f, delta %.4f", F.col("p"), F.col("n"), F.col("p") - F.col("n")), F.format_string("oracle upper bound %.4f", *c("o")), "benchmark_table"),
+        op.claim(one, "model_exceeds_statistical_baseline", "supported", F.format_string("count_pred_sf %.4f vs organ baseline %.4f", *c("p", "s")), "", "statistical_baselines"),
+        op.claim(size.crossJoin(F.broadcast(one)), "broad_gene_panel", "supported", F.format_string("%d genes over %d spots; rate mean %.4f", *c("ng", "ns", "r")), "", "evaluation"),
+        op.claim(best_bio, "gene_set_structure", "supported_first_pass", F.format_string("best %s %.4f of %d", *c("signature", "rate_pearson", "k")), "gene-set fidelity only", "biology_mart"),
         op.claim(sp, "spatial_structure", "supported_first_pass_spatial",
-                 F.format_string("best %s %.4f; overall lag %.4f", *c("signature", "mean_spatial_lag_pearson", "overall_mean_spatial_lag_pearson")), "nearest-neighbour based"),
-        op.claim(gen, "generalization", F.when(F.col("all"), "supported_ready_set").otherwise("prepared_not_final"), F.col("e"), F.when(F.col("all"), "ready set only").otherwise("incomplete")),
-        op.claim(insp, "tasks_inspected", "supported_inspected_heterogeneous", F.col("e"), "bounded to finished tasks"),
+                 F.format_string("best %s %.4f; overall lag %.4f", *c("signature", "mean_spatial_lag_pearson", "overall_mean_spatial_lag_pearson")), "nearest-neighbour based", "spatial_summary"),
+        op.claim(gen, "generalization", F.when(F.col("all"), "supported_ready_set").otherwise("prepared_not_final"), F.col("e"), F.when(F.col("all"), "ready set only").otherwise("incomplete"), "completion"),
+        op.claim(insp, "tasks_inspected", "supported_inspected_heterogeneous", F.col("e"), "bounded to finished tasks", "inspection"),
         op.claim(one, "external_benchmarks", F.when(F.col("nt") > 0, "supported_trained_pilot").when(F.col("np") > 0, "supported_pilot").otherwise("not_supported_yet"),
-                 F.format_string("%d trained and %d pilot rows", *c("nt", "np")), "not tuned"),
+                 F.format_string("%d trained and %d pilot rows", *c("nt", "np")), "not tuned", "benchmark_table"),
+        op.claim(best_mod, "pathway_modules", "supported_first_pass_pathway",
+                 F.format_string("%d modules over %d spots; best %s %.4f, median %.4f", *c("k", "n_spots", "module", "rate_pearson", "median")), "gene-set fidelity, no enrichment", "module_mart"),
+        op.claim(best_type, "cell_composition", "supported_first_pass_cell_composition",
+                 F.format_string("%d types over %d spots; spot fractions %.4f, slide fractions %.4f; dominant accuracy %.4f, macro F1 %.4f; best %s %.4f", *c(
+                     "k", "overall_n_spots", "overall_mean_spot_fraction_pearson", "overall_mean_slide_fraction_pearson", "overall_dominant_accuracy",
+                     "overall_dominant_macro_f1", "cell_type", "spot_fraction_pearson")), "marker proxy", "composition_mart"),
+        op.claim(states.state_fidelity(qg._labels(v), 4), "tissue_states", "supported_first_pass_partial",
+                 F.format_string("4 states; adjusted Rand %.4f, mutual information %.4f, best match %.4f", *c("adjusted_rand", "normalized_mutual_info", "best_match_accuracy")),
+                 "states come from gene sets", "state_mart"),
+        op.claim(best_field, "metadata_stratification", "supported_first_pass_metadata",
+                 F.format_string("%d fields over %d slides and %d signatures; best %s %.4f; top-group match %.4f", *c(
+                     "k", "overall_n_slides", "overall_n_signatures", "label_field", "eta_pearson", "top_group_match_rate")), "slide labels only", "stratification_mart"),
     ])
 
 

@@ -76,6 +76,28 @@ def _(v: Views):
     return tables.selected_genes(v.spark, names_path=path)
 
 
+@query("S5_gene_index_list", "SELECT cast(gene_index AS bigint) AS gene_index, cast(row_number() OVER (ORDER BY gene_index DESC) - 1 AS int) AS position FROM genes")
+def _(v: Views):
+    """A list of panel positions from the last to the first, with blank lines between."""
+    path = tables.scratch_path(v.spark, "indices")
+    packed = v.genes.agg(F.array_sort(F.collect_list(-F.col("gene_index"))).alias("a"))
+    packed.select(F.array_join(F.transform("a", lambda i: (-i).cast("string")), "\n \n").alias("value")).coalesce(1).write.text(path)
+    return tables.selected_genes(v.spark, indices_path=path)
+
+
+_DEFAULT = ", ".join(f"('{s}', '{g}', {i})" for s, genes in tables.DEFAULT_GENE_SETS.items() for i, g in enumerate(genes))
+
+
+@query(
+    "S7_default_gene_sets",
+    f"""SELECT d.signature, d.gene, d.position, g.gene IS NOT NULL AS on_panel FROM (VALUES {_DEFAULT}) d(signature, gene, position) LEFT JOIN genes g USING (gene)""",
+)
+def _(v: Views):
+    sets = tables.read_gene_sets(v.spark)
+    panel = v.genes.select("gene", F.lit(True).alias("on_panel"))
+    return sets.join(panel, "gene", "left").select("signature", "gene", "position", F.coalesce("on_panel", F.lit(False)).alias("on_panel"))
+
+
 @query(
     "S6_slide_gene_keys",
     """SELECT sample_id, gene, CASE WHEN gene_index % 5 = 0 THEN gene WHEN gene_index % 7 = 0 THEN NULL ELSE 'SYM' || gene_index END AS gene_key FROM sample_genes""",

@@ -68,13 +68,22 @@ def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
     return packed.select(F.posexplode("g").alias("gene_index", "s")).select(F.col("s.gene").alias("gene"), "gene_index")
 
 
+def read_gene_indices(spark: SparkSession, path: str) -> DataFrame:
+    """(gene_index, position), one whole number per line in list order; blank lines count for nothing, other text is an error."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    lines = lines.withColumn("value", F.trim("value")).filter("value <> ''").withColumn("gene_index", F.col("value").try_cast("bigint"))
+    require_none(lines.filter("gene_index IS NULL").select("value"), f"{path} has lines that are no numbers")
+    packed = lines.agg(F.array_sort(F.collect_list(F.struct("line", "gene_index"))).alias("g"))  # one file of bounded size
+    return packed.select(F.posexplode("g").alias("position", "s")).select("s.gene_index", "position")
+
+
 def selected_genes(spark: SparkSession, names_path: str | None = None, indices_path: str | None = None) -> DataFrame | None:
     if names_path and indices_path:
         raise InputError("give gene names or gene indices, not both")
     if names_path:
         return read_gene_list(spark, names_path)
     if indices_path:
-        return spark.read.text(indices_path).select(F.trim("value").try_cast("bigint").alias("gene_index")).filter("gene_index IS NOT NULL")
+        return read_gene_indices(spark, indices_path)
     return None
 
 
