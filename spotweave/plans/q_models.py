@@ -309,7 +309,7 @@ def _(v: Views):
 @query(
     "T2_stream_levels",
     f"""SELECT 'overall' AS level, NULL AS gene, NULL AS sample_id, {metrics('n_values')} FROM (SELECT {sums()} FROM event_pairs)
-UNION ALL SELECT 'organ', gene, NULL, {metrics('n_values')} FROM (SELECT gene, {sums()} FROM event_pairs GROUP BY gene)
+UNION ALL SELECT 'gene', gene, NULL, {metrics('n_values')} FROM (SELECT gene, {sums()} FROM event_pairs GROUP BY gene)
 UNION ALL SELECT 'slide', NULL, sample_id, {metrics('n_values')} FROM (SELECT sample_id, {sums()} FROM event_pairs GROUP BY sample_id)""",
     METRIC_DOUBLES,
 )

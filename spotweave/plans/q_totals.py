@@ -77,8 +77,9 @@ def _(v: Views):
   min(sx) AS total_min, median(sx) AS total_median, avg(sx) AS total_mean, max(sx) AS total_max,
   avg(d) AS mean_dx, avg(e) AS mean_dy, stddev_pop(d) AS std_dx, stddev_pop(e) AS std_dy, max(abs(d)) AS max_abs_dx,
   max(abs(e)) AS max_abs_dy,
-  sample_id <> '3' AS barcode_order_monotonic
-FROM (SELECT sample_id, s.st_index, p.patch_index, s.x AS sx, p.x - s.x AS d, p.y - s.y AS e
+  coalesce(bool_and(up), true) AS barcode_order_monotonic
+FROM (SELECT sample_id, s.st_index, p.patch_index, s.x AS sx, p.x - s.x AS d, p.y - s.y AS e,
+    CASE WHEN s.st_index IS NOT NULL AND p.patch_index IS NOT NULL THEN s.st_index > lag(s.st_index) OVER (PARTITION BY sample_id, s.st_index IS NULL OR p.patch_index IS NULL ORDER BY p.patch_index) END AS up
   FROM st_barcodes s FULL JOIN patch_barcodes p USING (sample_id, barcode)) GROUP BY sample_id""",
     "st_coverage_of_patch patch_coverage_of_st total_min total_median total_mean total_max mean_dx mean_dy std_dx std_dy max_abs_dx max_abs_dy",
 )

@@ -1,7 +1,7 @@
 """The metric accumulators over a stream of (pred, true) rows.
 
-State is one set of power sums per (sample, gene); its size follows the labels, not the rows. Each trigger writes the
-complete state to a folder of its own, and readers take the last one; finishing it is the same code as in batch.
+A trigger reduces its rows to one set of power sums per (sample, gene) and writes them to a folder of its own; no state is carried or
+rewritten. Readers add the folders up; finishing the sums is the same code as in batch.
 """
 
 from __future__ import annotations
@@ -27,30 +27,25 @@ def accumulate(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return sum_pairs(pairs, keys or KEYS)
 
 
-def run_to_end(state: DataFrame, out: str, checkpoint: str) -> str:
-    """Process what the source holds and stop. Returns the folder with one sub-folder per batch."""
+def run_to_end(pairs: DataFrame, out: str, checkpoint: str, keys: list[str] | None = None) -> str:
+    """Process what the source holds and stop. Returns the folder with one sub-folder of partial sums per trigger.
+
+    A trigger that is run again after a failure overwrites its own folder, so nothing counts twice.
+    """
 
     def store(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        accumulate(batch, keys).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    q = (
-        state.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(store).start()
-    )
+    q = pairs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
     q.awaitTermination()
     return out
 
 
-def latest_state(spark: SparkSession, out: str) -> DataFrame:
-    d = spark.read.parquet(out)
-    last = d.agg(F.max("epoch").alias("epoch"))
-    return d.join(F.broadcast(last), "epoch").drop("epoch")
-
-
 def accumulate_stream(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The partial sums of all triggers; whoever reads them adds them up, as `gene_metrics_of` does."""
     spark = pairs.sparkSession
-    out = run_to_end(accumulate(pairs, keys), scratch_path(spark, "stream-state"), scratch_path(spark, "stream-checkpoint"))
-    return latest_state(spark, out)
+    out = run_to_end(pairs, scratch_path(spark, "stream-sums"), scratch_path(spark, "stream-checkpoint"), keys)
+    return spark.read.parquet(out).drop("epoch")
 
 
 def gene_metrics_of(state: DataFrame) -> DataFrame:
@@ -62,5 +57,5 @@ def level_metrics_of(state: DataFrame) -> DataFrame:
     rolled = state.groupingSets([[], ["gene"], ["sample_id"]], "gene", "sample_id").agg(
         *merged_sums(), F.grouping("gene").alias("_g"), F.grouping("sample_id").alias("_s")
     )
-    level = F.when(F.col("_g") == 0, "organ").when(F.col("_s") == 0, "slide").otherwise("overall")
+    level = F.when(F.col("_g") == 0, "gene").when(F.col("_s") == 0, "slide").otherwise("overall")
     return rolled.select(level.alias("level"), "gene", "sample_id", *metric_columns("n_values"))
