@@ -207,3 +207,17 @@ def dedup_rows(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, keep
     d = docs.select(packed(docs), *_doc_key(id_col, text_col)).join(maps, ["d1", "d2"], "left")
     text = F.coalesce(F.col("_row")[text_col].cast("string"), F.lit(""))
     return d.select("_row", _applied(text, F.col("keep")).alias("line_dedup"))
+
+
+ORACLE = """
+WITH l AS (
+  SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+), common AS (
+  SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+), marked AS (
+  SELECT l.*, c.key IS NULL AS stays FROM l LEFT JOIN common c USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""

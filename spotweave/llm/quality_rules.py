@@ -2,9 +2,10 @@
 
 Every document gets a few features. A rule rejects documents whose feature lies beyond a cutoff. Cutoffs are chosen per stratum (the
 language) on a labelled holdout: for each rule, the strictest cutoff of a fixed grid whose rate of rejected good documents is provably
-small, that is, whose exact (Clopper-Pearson) upper bound is at most `alpha`. The error probability `delta` is shared over all
-strata, rules and cutoffs (Bonferroni), so with probability 1 - delta every chosen cutoff keeps its promise. A rule without such a
-cutoff is off in that stratum; strata without labels have no rules on.
+small, that is, whose exact (Clopper-Pearson) upper bound is at most an equal share of `alpha`. So all rules together reject at most
+`alpha` of the good documents of a stratum. The error probability `delta` is shared over all strata, rules and cutoffs (Bonferroni),
+so with probability 1 - delta every chosen cutoff keeps its promise. A rule without such a cutoff is off in that stratum; strata
+without labels have no rules on.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def _beyond(rule: Rule, cutoff: Column) -> Column:
     return F.expr(rule.value) > cutoff if rule.above else F.expr(rule.value) < cutoff
 
 
-def fit_cutoffs(featured: DataFrame, good: DataFrame, stratum: str, rules: list[Rule] = RULES, alpha: float = 0.02, delta: float = 0.05, id_col: str = "doc_id") -> DataFrame:
+def fit_cutoffs(featured: DataFrame, good: DataFrame, stratum: str, rules: list[Rule] = RULES, alpha: float = 0.05, delta: float = 0.05, id_col: str = "doc_id") -> DataFrame:
     """(stratum, c_<rule>...) with the chosen cutoffs, null where a rule is off.
 
     `good` lists the ids of the labelled good documents (all of them are the holdout: nothing else is fitted on them). Counts are
@@ -127,7 +128,7 @@ def fit_cutoffs(featured: DataFrame, good: DataFrame, stratum: str, rules: list[
                 error = delta / (tests * row[-1])
                 picked = []
                 for r in rules:
-                    ok = [c for i, c in enumerate(r.cutoffs) if upper_bound(int(getattr(row, f"k_{r.name}_{i}")), int(row.n), error) <= alpha]
+                    ok = [c for i, c in enumerate(r.cutoffs) if upper_bound(int(getattr(row, f"k_{r.name}_{i}")), int(row.n), error) <= alpha / len(rules)]
                     picked.append(float(ok[0]) if ok else None)
                 out.append((row[0], *picked))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
@@ -136,7 +137,7 @@ def fit_cutoffs(featured: DataFrame, good: DataFrame, stratum: str, rules: list[
 
 
 def judge(
-    docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: list[Rule] = RULES, alpha: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: list[Rule] = RULES, alpha: float = 0.05, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """`docs` with the features, base_failed, rejected_by (names of the rules that reject, comma-joined) and kept.
 
@@ -148,7 +149,7 @@ def judge(
 
 
 def judge_rows(
-    docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: list[Rule] = RULES, alpha: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: list[Rule] = RULES, alpha: float = 0.05, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text",
     carried: list[str] | None = None,
 ) -> DataFrame:
     """As `judge`, with the input row (or the columns `carried`) as a struct `_row`.

@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_extraction, op9_jaccard_join, op10_source_mixing, pipeline,
     )
 }
-ORACLES: dict[str, str] = {"op1_url_reputation": url_reputation.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_url_reputation": url_reputation.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
