@@ -166,7 +166,8 @@ class Views:
 
     @cached_property
     def eval_cells(self) -> DataFrame:
-        return evaluate.evaluation_cells(self.predictions, self.sf, self.counts, self.sample_genes)
+        """Predictions joined with counts and factors, once: most evaluation queries start here."""
+        return materialise(evaluate.evaluation_cells(self.predictions, self.sf, self.counts, self.sample_genes))
 
     @cached_property
     def pred_log_sf(self) -> DataFrame:
