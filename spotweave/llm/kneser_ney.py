@@ -25,7 +25,7 @@ from spotweave.session import materialise
 ORDER = 4
 BITS = 16
 PIECE = 500_000  # characters handled at a time
-CHUNK_BYTES = 16 << 20  # text bytes of a chunk
+CHUNK_BYTES = 32 << 20  # text bytes of a chunk
 BROADCAST_IDS = 2_000_000  # trusted ids that may be broadcast (16 MB); beyond, the join shuffles
 START = "\x01"
 LEAST_DISCOUNT = 0.05  # keeps something for what was never seen
