@@ -10,7 +10,7 @@ a document with more of them than its prefix is long has no partner at all and l
 2. Identical sets are one class. A class keeps its shared tokens, in which every overlap can be counted.
 3. Classes meet in the buckets of their prefix tokens of the first order. In rounds, one hub per bucket meets one member of every
    other component in it; links found merge components, so large groups of near copies cost one comparison each and not all pairs.
-   When a round finds few links, the pairs of a bucket that still lie in different components are compared, all of them. Every pair
+   When a round finds no link, the pairs of a bucket that still lie in different components are compared, all of them. Every pair
    first passes the size filter, then the prefix filters of the other orders, then the exact count.
 4. Components are found by shrinking the graph of links, label by label.
 """
@@ -34,7 +34,6 @@ PERCENT = 75
 SHARD_BYTES = 16 << 20  # text bytes that fill one shard, about two million tokens
 BLOCK_TOKENS = 500_000  # tokens that a scan task holds at a time
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # seeds of the hash orders
-MOSTLY = 10  # rounds of hubs go on while more than one pair in ten is a link
 _SCHEMA = "shard int, pack int, docs binary, tokens binary, refs binary"
 
 
@@ -283,7 +282,7 @@ def similar_sets(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             comp = materialise(comp.withColumnRenamed("comp", "old").join(joined.select(F.col("node").alias("old"), "comp"), "old").select("node", "comp"))
         if exhaustive:
             return comp
-        exhaustive = held * MOSTLY < tried or not held
+        exhaustive = not held
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
