@@ -1,11 +1,12 @@
 """Operator 4: quality rules with risk-controlled thresholds.
 
 Every document gets a few features. A rule rejects documents whose feature lies beyond a cutoff. Cutoffs are chosen per stratum (the
-language) on a labelled holdout: for each rule, the strictest cutoff of a fixed grid whose rate of rejected good documents is provably
-small, that is, whose exact (Clopper-Pearson) upper bound is at most an equal share of `alpha`. So all rules together reject at most
-`alpha` of the good documents of a stratum. The error probability `delta` is shared over all strata, rules and cutoffs (Bonferroni),
-so with probability 1 - delta every chosen cutoff keeps its promise. A rule without such a cutoff is off in that stratum; strata
-without labels have no rules on.
+language) on a labelled holdout. The rule sets form one nested sequence, fixed in advance: it starts with no rule and every step
+tightens one rule by one cutoff, from mild to strict, all rules at the same pace. In this order the share of good documents that a set
+rejects (by any of its rules) is tested: a set passes if the exact (Clopper-Pearson) upper bound of its share is at most `alpha`. The
+first set that fails ends the sequence and the one before it is taken. Tests in a fixed order need no correction over rules and cutoffs;
+the error probability `delta` is shared over the strata only, so with probability 1 - delta every stratum loses at most `alpha` of its
+good documents. Strata without labels, or with too few for the mildest set, have no rules on.
 """
 
 from __future__ import annotations
@@ -108,28 +109,43 @@ def _beyond(rule: Rule, cutoff: Column) -> Column:
     return F.expr(rule.value) > cutoff if rule.above else F.expr(rule.value) < cutoff
 
 
+def sequence(rules: list[Rule]) -> list[tuple[int, int]]:
+    """The steps of the nested sequence, as (rule, cutoff) positions: mild cutoffs first, every rule at the same share of its grid."""
+    steps = [((len(r.cutoffs) - i) / len(r.cutoffs), k, i) for k, r in enumerate(rules) for i in range(len(r.cutoffs))]
+    return [(k, i) for _, k, i in sorted(steps)]
+
+
+def steps_passed(rejected: list[int], n: int, error: float, alpha: float) -> int:
+    """How many sets of the sequence pass before the first that fails; `rejected` are their rejected good documents."""
+    for step, k in enumerate(rejected):
+        if upper_bound(k, n, error) > alpha:
+            return step
+    return len(rejected)
+
+
 def fit_cutoffs(featured: DataFrame, good: DataFrame, stratum: str, rules: list[Rule] = RULES, alpha: float = 0.05, delta: float = 0.05, id_col: str = "doc_id") -> DataFrame:
     """(stratum, c_<rule>...) with the chosen cutoffs, null where a rule is off.
 
     `good` lists the ids of the labelled good documents (all of them are the holdout: nothing else is fitted on them). Counts are
     summed before any shuffle, so one row per stratum reaches the bounds, however many documents a language has.
     """
-    counts = [F.count(F.when(_beyond(r, F.lit(float(c))), 1)).alias(f"k_{r.name}_{i}") for r in rules for i, c in enumerate(r.cutoffs)]
+    steps = sequence(rules)
+    # the sets are nested: a document rejected by one is rejected by all later ones
+    first = F.least(F.lit(len(steps)), F.lit(len(steps)), *[F.when(_beyond(rules[k], F.lit(float(rules[k].cutoffs[i]))), F.lit(j)) for j, (k, i) in enumerate(steps)])
+    counts = [F.count(F.when(F.col("_first") <= j, 1)).alias(f"k_{j}") for j in range(len(steps))]
     held = featured.join(good.select(id_col).distinct(), id_col, "left_semi").filter(~base_failed())
-    table = held.groupBy(F.col(stratum).cast("string").alias("_stratum")).agg(F.count(F.lit(1)).alias("n"), *counts)
+    table = held.select(F.col(stratum).cast("string").alias("_stratum"), first.alias("_first")).groupBy("_stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
     total = table.agg(F.count(F.lit(1)).alias("_strata"))
-    tests = sum(len(r.cutoffs) for r in rules)
     schema = "_stratum string, " + ", ".join(f"c_{r.name} double" for r in rules)
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             out = []
             for row in df.itertuples(index=False):
-                error = delta / (tests * row[-1])
-                picked = []
-                for r in rules:
-                    ok = [c for i, c in enumerate(r.cutoffs) if upper_bound(int(getattr(row, f"k_{r.name}_{i}")), int(row.n), error) <= alpha / len(rules)]
-                    picked.append(float(ok[0]) if ok else None)
+                passed = steps_passed([int(getattr(row, f"k_{j}")) for j in range(len(steps))], int(row.n), delta / row[-1], alpha)
+                picked: list = [None] * len(rules)
+                for k, i in steps[:passed]:
+                    picked[k] = float(rules[k].cutoffs[i])
                 out.append((row[0], *picked))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 

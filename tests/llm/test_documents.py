@@ -108,6 +108,27 @@ def test_cutoffs_keep_their_promise(spark):
     assert cut == {"en": 10.0, "de": 10.0}
 
 
+def test_rules_are_on_with_ninety_good_labels(spark):
+    """Junk goes in a stratum of 90 good documents; a stratum of 60 has no rule; all rules together keep the promise."""
+    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    rows = [(i, lang, 100, 500, 0, 0, 0) for lang, a, n in (("de", 0, 90), ("es", 1000, 95), ("fr", 2000, 400), ("xx", 3000, 60)) for i in range(a, a + n)]
+    rows += [(2400 + i, "fr", 100, 500, *[(60, 0, 0), (0, 30, 0), (0, 0, 20)][i % 3]) for i in range(36)]  # three rules reject 12 of 436 each
+    cut = {r["_stratum"]: r for r in quality_rules.fit_cutoffs(spark.createDataFrame(rows, schema), spark.createDataFrame([(r[0],) for r in rows], "doc_id long"), "lang").collect()}
+    assert cut["de"].c_symbol_share == cut["es"].c_symbol_share == 2.0 and cut["de"].c_dup_line_share == 2.0
+    assert all(v is None for k, v in cut["xx"].asDict().items() if k.startswith("c_"))
+    c = cut["fr"]
+    lost = [r for r in rows if r[1] == "fr" and (100.0 * r[4] / r[3] > (c.c_symbol_share or 1e9) or r[5] > (c.c_dup_line_share or 1e9) or r[6] > (c.c_repeat_share or 1e9))]
+    assert quality_rules.upper_bound(len(lost), 436, 0.05 / 4) <= 0.05
+
+
+def test_sequence_is_nested_and_stops_at_the_first_failure():
+    steps = quality_rules.sequence(quality_rules.RULES)
+    assert sorted(steps) == [(k, i) for k, r in enumerate(quality_rules.RULES) for i in range(len(r.cutoffs))]
+    for k, r in enumerate(quality_rules.RULES):
+        assert [i for j, i in steps if j == k] == list(range(len(r.cutoffs)))[::-1]  # mild to strict
+    assert quality_rules.steps_passed([0, 0, 50, 50], 100, 0.05, 0.05) == 2 and quality_rules.steps_passed([0], 50, 0.0125, 0.05) == 0
+
+
 @pytest.mark.parametrize("least", [2, 10])
 def test_line_dedup(docs, rows, texts, least):
     got = line_dedup.dedup_lines(docs, least).collect()
