@@ -1,10 +1,10 @@
 """Operator 8: HTML extraction by wrappers inferred per host.
 
-A page becomes a stream of block tokens: start and end tags of block elements (with class and id) and text slots. Inline tags leave no
-token. Repeated groups fold into one (`(p #T /p)+`), so pages made from one template give nearly equal streams. Streams of a host are
-aligned one after the other: tokens that agree stay, mismatches become optional groups, slots with differing texts become text slots,
-and equal ones stay template text. The result is a union-free regular expression, the wrapper of the host. It names the main region
-(the article, or the block with the most changing text) and the blocks inside it that are not content; with these each page is read.
+A page becomes a stream of block tokens: start and end tags of block elements (with class and id) and text slots. Inline tags Repeated groups fold into one (`(p #T /p)+`), so pages made from one template give nearly equal streams. Streams of a host are
+aligned one after the other: tokens that agree stay, mismatches become optional groups, and a text slot keeps the texts that all its
+pages share. The result is a union-free regular expression, the wrapper of the host. Texts that enough different pages share at a slot
+are template text. The main region is the deepest block that holds all other text, inside an article or main where the host has one.
+Blocks marked as something else, by tag, role or class, are left out in any case. With these each page is read.
 
 Streams are reduced to distinct ones inside each task, and hosts are aligned in two steps, first over salted parts, so a host with
 a third of all pages is never in one task.
@@ -40,7 +40,6 @@ BLOCKED = re.compile(
     r"widget\w*|cookies?|consent|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|"
     r"comments?|comment-?list|commentlist|respond|replies|reply|disqus|related|recommended|pagination|pager|toolbar|skip-link)($|[-_\s])", re.I
 )
-CONTENT = re.compile(r"(^|[-_\s])(article|post|entry|content|story|main|body)($|[-_\s])", re.I)
 # an element that ends where the next of its kind starts
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCK_ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -114,37 +113,66 @@ def walk(page: str) -> Iterator[tuple[str, object]]:
         yield "close", stack.pop()
 
 
-def fold(tokens: list) -> list:
-    """Repeated neighbouring groups once, marked by + on their first token. Groups are whole elements, inner ones first."""
+def fold(tokens: list, values: list) -> tuple[list, list]:
+    """Repeated neighbouring groups once, marked by + on their first token. Groups are whole elements, inner ones first.
+
+    `values` has a list per token; tokens that fold into one join theirs.
+    """
     out: list = []
+    held: list = []
     starts: list[int] = []
-    for t in tokens:
+    for t, v in zip(tokens, values):
         if t[0] != "/":
             if t[0] != "#":
                 starts.append(len(out))
             elif out and out[-1][0] == "#":
+                held[-1].extend(v)
                 continue
             out.append(t)
+            held.append(v)
             continue
         out.append(t)
+        held.append(v)
         a = starts.pop() if starts else 0
         group = out[a:]
         k = len(group)
         if a >= k and out[a - k + 0].rstrip("+") == group[0].rstrip("+") and [x.rstrip("+") for x in out[a - k : a]] == [x.rstrip("+") for x in group]:
-            del out[a:]
+            for old, new in zip(held[a - k : a], held[a:]):
+                old.extend(new)
+            del out[a:], held[a:]
             out[a - k] = group[0].rstrip("+") + "+"
-    return out
+    return out, held
+
+
+def _key(label: str, text: str) -> int:
+    """Names a text of a block."""
+    return xxhash.xxh3_64_intdigest(f"{label}\0{text}") >> 1
 
 
 def stream(page: str) -> tuple[list, list, list]:
-    """Folded tokens of a page, and per token the hash and the length of its text (0 for tags)."""
-    tokens, current = [], []
+    """Folded tokens of a page, and two values per token, 0 for tags.
+
+    Of a text slot the first is [texts, pages, changed]: keys and lengths of its texts, a hash of the page's text, and whether its
+    texts differ between pages; the second is [length, labels, blocked]: the blocks around it (those of a main part end in " @") and
+    whether one of them is marked as no content.
+    """
+    tokens: list = []
+    values: list = []
+    around: list = []
+    path: list[Block] = []
+    current: list[str] = []
+    whole = xxhash.xxh3_64()
 
     def flush() -> None:
         text = " ".join("".join(current).split())
         current.clear()
         if text:
-            tokens.append(("#", text))
+            blocked = any(b.blocked and b.name not in ("html", "body") for b in path)
+            if not blocked:
+                whole.update(text + "\0")
+            labels = [b.label + " @" * b.main for b in path]
+            tokens.append("#")
+            values.append([(_key(path[-1].label if path else "", text), len(text), labels, blocked)])
 
     for kind, x in walk(page):
         if kind == "text":
@@ -154,42 +182,42 @@ def stream(page: str) -> tuple[list, list, list]:
             current.append(" ")
             continue
         flush()
-        tokens.append(((x.label if kind == "open" else "/" + x.name), ""))
-    flush()
-    names = fold([t for t, _ in tokens])
-    texts = [t for n, t in tokens if n == "#"]
-    if sum(n == "#" for n in names) == len(texts):
-        it = iter(texts)
-        values = [next(it) if n == "#" else "" for n in names]
-        return names, [xxhash.xxh3_64_intdigest(v) >> 1 if v else 0 for v in values], [len(v) for v in values]
-    # a slot of a repeated group stands for several texts: they change, and the first slot of a place has their length
-    size: dict = {}
-    for place, (name, text) in zip(_places(n for n, _ in tokens), tokens):
-        if name == "#":
-            size[place] = size.get(place, 0) + len(text)
-    lengths = [size.pop(place, 0) if n == "#" else 0 for place, n in zip(_places(names), names)]
-    return names, [-1 if n == "#" else 0 for n in names], lengths
-
-
-def _places(names) -> Iterator[tuple]:
-    path: list[str] = []
-    for n in names:
-        if n[0] == "/":
+        if kind == "open":
+            path.append(x)
+        elif path:
             path.pop()
-        elif n != "#":
-            path.append(n.rstrip("+"))
-        yield tuple(path)
+        tokens.append(x.label if kind == "open" else "/" + x.name)
+        values.append([])
+    flush()
+    names, held = fold(tokens, values)
+    own = whole.intdigest() >> 1
+    for v in held:
+        around.append([sum(x[1] for x in v), v[0][2], v[0][3]] if v else 0)
+    return names, [[[list(x) for x in {y[0]: y[:2] for y in v}.values()], [own], False] if v else 0 for v in held], around
+
+
+def _shared(a, b):
+    """The texts of two slots as one: -1 where they share none."""
+    if a == 0 or b == 0 or a == -1 or b == -1:
+        return -1 if -1 in (a, b) else 0
+    there = {x[0] for x in b[0]}
+    texts = [x for x in a[0] if x[0] in there]
+    return [texts, sorted({*a[1], *b[1]})[:SURE_PAGES], a[2] or b[2] or len(texts) < max(len(a[0]), len(b[0]))] if texts else -1
+
+
+def _around(a, b):
+    return [a[0] + b[0], [x for x in a[1] if x in b[1]], a[2] and b[2]] if a and b else 0
 
 
 def align(w: list, s: list) -> list:
-    """Two aligned expressions as one. Nodes: [token, optional, hash, length, pages]; hash -1: the text changes."""
+    """Two aligned expressions as one. Nodes: [token, optional, texts, around, pages], values as in `stream`; texts -1: none is shared."""
     a, b = [x[0].rstrip("+") for x in w], [x[0].rstrip("+") for x in s]
     out: list = []
     for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if op == "equal":
             for x, y in zip(w[i:j], s[k:m]):
                 token = x[0] if x[0].endswith("+") else y[0]
-                out.append([token, x[1] or y[1], x[2] if x[2] == y[2] else -1, x[3] + y[3], x[4] + y[4]])
+                out.append([token, x[1] or y[1], _shared(x[2], y[2]), _around(x[3], y[3]), x[4] + y[4]])
         else:
             out += [[x[0], True, *x[2:]] for x in w[i:j]] + [[y[0], True, *y[2:]] for y in s[k:m]]
     return out
@@ -204,73 +232,87 @@ def infer(parts: list[str]) -> str:
     return json.dumps(out)
 
 
-def regions(wrapper: list) -> tuple[str, list[str]]:
-    """The label of the main region and labels of template blocks, from a wrapper.
+LEAST_PAGES, SURE_PAGES = 3, 6
+
 
-    Without an article or main element, the main region is the block that directly or through plain children holds the most changing
-    text and is not itself marked as something else.
+def template_texts(slots: list) -> list[int]:
+    """Keys of the texts that the pages of a host repeat.
+
+    A text is one if at least LEAST_PAGES different pages, and half of all pages, have the slot and all of these have the text. Where
+    such texts are more than half of all text, the pages may be near copies of one another: SURE_PAGES different ones are asked for.
+    Pages count as different by their text, so copies are one page.
     """
-    path: list[str] = []
-    changing: dict[str, int] = {}
-    fixed: dict[str, bool] = {}
-    main = ""
-    for token, _, h, length, pages in wrapper:
-        token = token.rstrip("+")
-        if token[0] == "/":
-            if path:
-                path.pop()
-        elif token == "#":
-            for depth, label in enumerate(path):
-                if h == -1:
-                    changing[label] = changing.get(label, 0) + length * (depth + 1)
-                fixed[label] = fixed.get(label, True) and h != -1 and pages >= 3
-        else:
-            path.append(token)
-            if token.split(".")[0] in MAIN and not main:
-                main = token
-    if main:
-        return main, []
-    named = {k: v for k, v in changing.items() if CONTENT.search(" ".join(k.split(".")[1:])) and not BLOCKED.search(" ".join(k.split(".")[1:]))}
-    blocks = named or {k: v for k, v in changing.items() if k.split(".")[0] in ("div", "section", "td", "body")}
-    best = max(sorted(blocks), key=lambda k: blocks[k], default="")
-    return best, sorted(k for k, v in fixed.items() if v and k != best and k.split(".")[0] not in ("p", "html", "body"))
+    pages = max((n[4] for n in slots), default=0)
+    total = sum(n[3][0] for n in slots)
+
+    def repeated(least: int) -> list:
+        return [(n[4], x) for n in slots if n[2] != -1 and len(n[2][1]) >= least and 2 * n[4] >= pages for x in n[2][0]]
+
+    found = repeated(LEAST_PAGES)
+    if 2 * sum(k * x[1] for k, x in found) > total:
+        found = repeated(SURE_PAGES)
+    return sorted({x[0] for _, x in found})
+
+
+def regions(wrapper: list) -> tuple[str, list[int]]:
+    """The label of the main region and keys of template texts, from a wrapper.
+
+    The region is the deepest block around all text that is neither template text nor in a block marked as something else; where there
+    are articles or main elements, around all such text inside them, and itself one of them. An empty label: no single block does.
+    """
+    slots = [n for n in wrapper if n[0] == "#" and not n[3][2]]
+    template = template_texts(slots)
+    known = set(template)
+    named = [n for n in slots if any(x.endswith(" @") for x in n[3][1])]
+    told = [n for n in slots if n[2] == -1 or n[2][2] or any(x[0] not in known for x in n[2][0])]
+    if named:
+        told = [n for n in told if any(n is m for m in named)] or named
+    paths = [n[3][1] for n in told]
+    fits = (lambda x: x.endswith(" @")) if named else (lambda x: x.split(".")[0] in ("div", "section", "td", "body"))
+    around = [x for x in (paths[0] if paths else []) if fits(x) and all(x in p for p in paths[1:])]
+    return (around[-1].removesuffix(" @") if around else ""), template
 
 
 def read(page: str, main: str, template: frozenset) -> str:
-    """The text of the main region, blocks joined by one space. Pages that lack the region are read without it."""
-    for region in (main, ""):
-        inside = 0 if region else 1
+    """The text of the main region without template texts, blocks joined by one space.
+
+    Pages that lack the region are read by their articles and main elements, and those that lack these as a whole.
+    """
+    for hit in [*([lambda b: b.label == main] if main else []), lambda b: b.main, None]:
+        inside = 0 if hit else 1
         blocked = 0
-        had = not region
+        had = not hit
         current: list[str] = []
         blocks: list[str] = []
+        path: list[str] = []
 
         def flush() -> None:
-            text = " ".join(html.unescape("".join(current)).split())
+            raw = " ".join("".join(current).split())
             current.clear()
-            if text:
-                blocks.append(text)
+            if raw and _key(path[-1] if path else "", raw) not in template:
+                blocks.append(" ".join(html.unescape(raw).split()))
 
         for kind, x in walk(page):
-            if kind == "text":
+            if kind == "text" or kind == "break":
                 if inside and not blocked:
-                    current.append(x)
+                    current.append(x or " ")
                 continue
             if inside and not blocked:
                 flush()
-            if kind == "break":
-                continue
-            hit = bool(region) and (x.label == region or x.main)
-            no = x.blocked or x.label in template
             step = 1 if kind == "open" else -1
-            if hit:
+            if kind == "open":
+                path.append(x.label)
+            elif path:
+                path.pop()
+            if hit and hit(x):
                 inside += step
                 had = True
-            elif no and x.name not in ("html", "body"):
+            elif x.blocked and x.name not in ("html", "body"):
                 blocked += step
-        flush()
+        if inside and not blocked:
+            flush()
         if had:
-            return " ".join(blocks)
+            return " ".join(b for b in blocks if b)
     return ""
 
 
@@ -300,7 +342,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         main, template = regions(json.loads(w))
         return pd.DataFrame({"host": [key[0]], "wrapper": [w], "main": [main], "template": [template]})
 
-    return some.groupBy("host").applyInPandas(whole, "host string, wrapper string, main string, template array<string>")
+    return some.groupBy("host").applyInPandas(whole, "host string, wrapper string, main string, template array<long>")
 
 
 SALTS = 16

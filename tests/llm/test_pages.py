@@ -118,3 +118,22 @@ def test_one_host_in_many_parts(spark):
     a = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(rows, PAGES).repartition(13)).collect()}
     b = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(rows, PAGES).coalesce(1)).collect()}
     assert a == b and len(a) == 40
+
+
+def extracted(spark, htmls, host="h.com"):
+    d = spark.createDataFrame([(i, f"http://{host}/{i}", h, "", "", "", "") for i, h in enumerate(htmls)], PAGES)
+    return [r.text for r in sorted(html_wrapper.extract(d).collect(), key=lambda r: r.page_id)]
+
+
+def test_repeated_text_inside_the_article_goes(spark):
+    """A notice in a block of an unlisted class, and one among the paragraphs, on every page of a host."""
+    page = "<body><ul><li>a<li>b</ul><article><h1>T{i}</h1><div class=zq>Read our other news</div><p>First {i}</p><p>Second {i}</p><p>Follow us</p></article></body>"
+    assert extracted(spark, [page.format(i=i) for i in range(12)]) == [f"T{i} First {i} Second {i}" for i in range(12)]
+    two = [page.format(i=i) for i in range(2)]  # too few pages to tell
+    assert extracted(spark, two * 5) == [f"T{i} Read our other news First {i} Second {i} Follow us" for i in range(2)] * 5
+
+
+def test_region_comes_from_the_wrapper(spark):
+    """The article that holds the text is read, not cards of another label beside it that repeat."""
+    page = "<body><main><article class=post><p>Story {i}</p><p>More {i}</p></article><article class=card><h3>Always the same</h3></article></main></body>"
+    assert extracted(spark, [page.format(i=i) for i in range(8)]) == [f"Story {i} More {i}" for i in range(8)]
