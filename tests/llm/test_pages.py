@@ -137,3 +137,11 @@ def test_region_comes_from_the_wrapper(spark):
     """The article that holds the text is read, not cards of another label beside it that repeat."""
     page = "<body><main><article class=post><p>Story {i}</p><p>More {i}</p></article><article class=card><h3>Always the same</h3></article></main></body>"
     assert extracted(spark, [page.format(i=i) for i in range(8)]) == [f"Story {i} More {i}" for i in range(8)]
+
+
+def test_region_holds_all_text_that_changes(spark):
+    page = "<body><div class=page><div class=lead><p>" + "lead{i} " * 40 + "</p></div><div class=more><p>" + "rest{i} " * 10 + "</p></div></div></body>"
+    want = [" ".join([f"lead{i}"] * 40 + [f"rest{i}"] * 10) for i in range(6)]
+    assert extracted(spark, [page.format(i=i) for i in range(6)]) == want
+    page = "<body><div class=x0><p>Short {i}</p></div><div class=comments><div><p>" + "long comment {i} " * 50 + "</p></div></div></body>"
+    assert extracted(spark, [page.format(i=i) for i in range(6)]) == [f"Short {i}" for i in range(6)]
