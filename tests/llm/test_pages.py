@@ -7,7 +7,7 @@ from collections import Counter
 
 import brute
 import duckdb
-
+import pytest
 
 from spotweave.llm import html_wrapper, queries, url_reputation
 
@@ -145,3 +145,9 @@ def test_region_holds_all_text_that_changes(spark):
     assert extracted(spark, [page.format(i=i) for i in range(6)]) == want
     page = "<body><div class=x0><p>Short {i}</p></div><div class=comments><div><p>" + "long comment {i} " * 50 + "</p></div></div></body>"
     assert extracted(spark, [page.format(i=i) for i in range(6)]) == [f"Short {i}" for i in range(6)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_copies_are_read_alike(spark, n):
+    page = "<html><body><div class=box><h1>One title</h1><p>One paragraph</p></div></body></html>"
+    assert extracted(spark, [page] * n) == ["One title One paragraph"] * n
