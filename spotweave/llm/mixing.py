@@ -76,9 +76,12 @@ def mix(
 
 def mix_rows(
     docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, default_weight: float = 1.0, most_blocks: int = MOST_BLOCKS,
-    least_rows: int = 64, source_col: str = "source", id_col: str = "doc_id", seed_cols: list[str] | None = None,
+    least_rows: int = 64, source_col: str = "source", id_col: str = "doc_id", seed_cols: list[str] | None = None, tie_cols: tuple[str, ...] = (),
 ) -> DataFrame:
-    """As `mix`, with the input row as a struct `_row`."""
+    """As `mix`, with the input row as a struct `_row`.
+
+    Rows with equal seeds follow a hash of `tie_cols`; with these two calls over the same rows differ at most in rows alike in all of them.
+    """
     seeds = seed_cols or [id_col]
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))  # null differs from every name
     h = two_hashes(*[F.col(c) for c in seeds])[0]
@@ -115,7 +118,7 @@ def mix_rows(
             yield pd.DataFrame(out, columns=["_s", "mix_block", "mix_slot", "_start"])
 
     slots = materialise(sources.repartition(1).mapInPandas(plan, "_s string, mix_block long, mix_slot long, _start long"))
-    inside = W.partitionBy("_s", "_b").orderBy("_h", *[F.col("_row")[c] for c in seeds])
+    inside = W.partitionBy("_s", "_b").orderBy("_h", *[F.col("_row")[c] for c in seeds], *[F.xxhash64(F.col("_row")[c]) for c in tie_cols])
     d = d.withColumn("_r", F.row_number().over(inside) - 1).join(offsets, ["_s", "_b"])
     d = d.withColumn("_r", F.col("_r") + F.col("_x")).withColumn("mix_block", F.floor(F.col("_r") / block_rows).cast("long"))
     d = d.join(slots, ["_s", "mix_block"])

@@ -60,3 +60,20 @@ def test_mixed_rows_are_written_in_order(spark, tmp_path):
     place = {(r.doc_id, r.mix_position) for r in mixing.mix(docs).collect()}
     order = [r.doc_id for r in spark.read.parquet(str(tmp_path / "mixed")).coalesce(1).collect()]
     assert sorted(order) == sorted(i for i, _ in place)
+
+
+def test_the_place_in_the_mix_survives(spark, tmp_path):
+    """The last stage returns it, whatever order and files its input comes in; within equal ids the texts decide."""
+    rows = data.documents(8) + [(5000, f"other text {i} of one id", "en", "big", None, *data.EXTRA) for i in range(9)]
+    docs = spark.createDataFrame(rows, data.SCHEMA)
+    corpus_pipeline.mixed(spark, docs.repartition(7), "").write.parquet(str(tmp_path / "mixed"))
+    want = {r.doc_id: r.mix_position for r in mixing.mix(docs).collect() if [x[0] for x in rows].count(r.doc_id) == 1}
+    again = spark.read.parquet(str(tmp_path / "mixed"))
+    a, b = (corpus_pipeline.tokens(spark, d, "").collect() for d in (again, again.repartition(5, "text")))
+    assert sorted(r.mix_position for r in a) == list(range(len(rows)))
+    assert {r.doc_id: r.mix_position for r in a if r.doc_id in want} == want
+    assert {(r.mix_position, r.decoded_sha256) for r in a} == {(r.mix_position, r.decoded_sha256) for r in b}
+    # the order that the stage wrote is the order of these places
+    places = {(r.mix_position, r.decoded_sha256) for r in a}
+    written = corpus_pipeline.mixed(spark, docs, "").select("text").collect()
+    assert {(i, hashlib.sha256((r.text or "").encode()).hexdigest()) for i, r in enumerate(written)} == places
