@@ -3,15 +3,15 @@
 Base spans are regular expressions per kind. The method adds spans of high entropy: every run of token characters is a candidate;
 a window of fixed length slides over it, its Shannon entropy kept up to date by the counts of the character that leaves and the one
 that enters. The character class of a candidate (hexadecimal digits, letters and digits mixed, letters only) sets the window and the
-threshold. Windows above the threshold merge into one span, from the first to the last. Allow-listed candidates (UUIDs, alphabets,
-digits in order, repeated samples) and candidates that a base span covers add nothing.
+threshold; a candidate shorter than the window is one window, with a threshold as far below its largest entropy. Windows above the
+threshold merge into one span, from the first to the last. UUIDs and paths add nothing if they are the whole candidate. Alphabets,
+digits in order, words of samples, and base spans are cut out of a candidate, and what is left on either side is scanned by itself.
 
 All of it is Spark SQL: `regexp_extract_all` gives the matches and `split` the gaps between them, whose lengths give the positions.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,8 +26,12 @@ HEX = r"[0-9a-f]{24,}"  # a run of [0-9a-f]+ is maximal, so the runs of 24+ are
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|abcdefghijkl|0123456789|example|sample|placeholder|^/|//"
-
+WORD = r"(?:[A-Z]?+[a-z]++[0-9]{0,4}|[A-Z]++[0-9]{0,4}|[0-9]{1,4})"
+# A whole candidate that is no secret: a UUID, or a path of words. Quantifiers of groups are possessive: they do not recurse.
+WHOLE = rf"^(?:[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}|(?=[^/]*+/)/*+{WORD}(?:[/_-]++{WORD})*+[/_-]*+)$"
+# Parts of a candidate that are no secret.
+ALLOWED = r"(?i)abcdefghijkl|0123456789|example|sample|placeholder"
+LEAST = 20
 
 @dataclass(frozen=True)
 class CharClass:
@@ -65,12 +69,12 @@ def _xlogx(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
 
 
-def high_entropy_windows(s: Column, window: int, bits: float) -> Column:
+def high_entropy_windows(s: Column, window: int | Column, bits: float | Column) -> Column:
     """First and last start of the windows of `s` with at least `bits` of entropy, as a struct (both null if there is none).
 
     The state holds the count of each of the 128 ASCII codes in the window and the sum of c*log2(c); a step changes two counts.
     """
-    w = F.lit(window)
+    w, bits = F.lit(window), F.lit(bits)
     code = lambda i: F.ascii(F.substring(s, i, F.lit(1)))
 
     def changed(acc: Column, i: Column, by: int) -> Column:
@@ -82,7 +86,7 @@ def high_entropy_windows(s: Column, window: int, bits: float) -> Column:
 
     def noted(acc: Column, i: Column) -> Column:
         start = i - w
-        hit = (i >= w) & (F.log2(w) - acc["x"] / w >= F.lit(bits - 1e-9))
+        hit = (i >= w) & (F.log2(w) - acc["x"] / w >= bits - 1e-9)
         a, b = F.when(hit, F.coalesce(acc["a"], start)).otherwise(acc["a"]), F.when(hit, start).otherwise(acc["b"])
         return F.struct(acc["n"].alias("n"), acc["x"].alias("x"), a.alias("a"), b.alias("b"))
 
@@ -100,7 +104,7 @@ def _spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e")))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: str = ALLOWED, classes: list[CharClass] = CLASSES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: str = ALLOWED, classes: list[CharClass] = CLASSES, whole: str = WHOLE) -> DataFrame:
     """Per row of `docs`: the id and `base`, `added` (arrays of structs s, k, e: start, index of the kind, end).
 
     Spans are sorted by start, then kind. A null text is empty and has none; repeated rows and null ids are kept; other columns do
@@ -119,16 +123,43 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowe
     )
     base = F.array_sort(F.concat(_spans(F.col("_a"), "assign"), _spans(F.col("_k"), "access"), _spans(F.col("_h"), "hex")))
     t = t.withColumn("base", base)
-    covered = lambda x: F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    open_ = F.filter("_c", lambda x: ~covered(x) & ~x["m"].rlike(allowed))
+
+    def pieces(x: Column) -> Column:
+        """What is left of a candidate without base spans and allowed parts, as structs s, e, m, with one separator less beside a cut."""
+        base_cuts = F.transform(F.filter("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])), lambda b: F.struct((b["s"] - x["s"]).alias("s"), (b["e"] - x["s"]).alias("e")))
+        own = F.when(x["m"].rlike(allowed), _located(x["m"], allowed)).otherwise(none)
+        own = F.transform(own, lambda a: F.struct(a["s"].alias("s"), a["e"].alias("e")))
+        n = F.length(x["m"])
+        end = F.array(F.struct(n.alias("s"), n.alias("e")))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+
+        def step(acc: Column, cut: Column) -> Column:
+            gap = F.array(F.struct(acc["at"].alias("s"), cut["s"].alias("e")))
+            out = F.when(cut["s"] - acc["at"] >= LEAST, F.concat(acc["out"], gap)).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], cut["e"]).alias("at"), out.alias("out"))
+
+        gaps = F.aggregate(F.concat(F.array_sort(F.concat(base_cuts, own)), end), zero, step, lambda acc: acc["out"])
+
+        def trimmed(g: Column) -> Column:
+            part = F.substring(x["m"], g["s"] + 1, g["e"] - g["s"])
+            a = F.when((g["s"] > 0) & part.rlike("^[-_=/]"), 1).otherwise(0)
+            b = F.when((g["e"] < n) & part.rlike("[-_=/]$"), 1).otherwise(0)
+            s, e = g["s"] + a, g["e"] - b
+            return F.struct((x["s"] + s).alias("s"), (x["s"] + e).alias("e"), F.substring(x["m"], s + 1, e - s).alias("m"))
+
+        return F.filter(F.transform(gaps, trimmed), lambda p: p["e"] - p["s"] >= LEAST)
+
+    open_ = F.flatten(F.transform(F.filter("_c", lambda x: ~x["m"].rlike(whole)), pieces))
 
     def window_of(x: Column) -> Column:
         out = F.struct(F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"), F.lit(0).alias("w"))
         for c in reversed(classes):
+            width = F.least(F.lit(c.window), F.length(x["m"]))
+            bits = F.lit(c.bits) - F.log2(F.lit(float(c.window)) / width)
             # a window cannot have more entropy than the distinct characters of its candidate allow
-            able = F.size(F.array_distinct(F.split(x["m"], ""))) >= math.ceil(2**c.bits)
-            hit = F.when(able, high_entropy_windows(x["m"], c.window, c.bits))
-            out = F.when(x["m"].rlike(c.pattern), F.struct(hit["a"].alias("a"), hit["b"].alias("b"), F.lit(c.window).alias("w"))).otherwise(out)
+            able = F.log2(F.size(F.array_distinct(F.split(x["m"], "")))) >= bits - 1e-9
+            hit = F.when(able, high_entropy_windows(x["m"], width, bits))
+            out = F.when(x["m"].rlike(c.pattern), F.struct(hit["a"].alias("a"), hit["b"].alias("b"), width.alias("w"))).otherwise(out)
         return F.struct(x["s"].alias("s"), out.alias("h"))
 
     hits = F.filter(F.transform(open_, window_of), lambda x: x["h"]["a"].isNotNull())

@@ -59,6 +59,28 @@ def test_secrets(docs, rows, texts):
     assert not any(added[i] for i in range(60))  # prose has none
 
 
+def test_only_windows_are_suppressed(spark):
+    """Allowed parts and base spans hide themselves, not the rest of their candidate."""
+    import random
+    import string
+
+    rng = random.Random(6)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits + "+") for _ in range(n))
+    k, up = key(40), "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B"
+    shown = {f"/{k}": k, f"{k[:20]}//{k[20:]}": k[22:], f"sample-{k}": k, f"{k}/example": k, f"placeholder={k}": k, f"sample_{up}": up, "WqZxJkVbPmRtYnHsLdGf": "WqZxJkVb"}
+    shown[k + "Z" + "0a1b2c3d4e5f60718293a4b5" + "Z" + k] = k  # a base span inside a run
+    long = key(800) + "//" + key(800)
+    shown[long] = long[10:-10]
+    quiet = ["f81d4fae-7dec-11d0-a765-00a0c91e6bf6", "/usr/local/lib/python3/dist-packages", "//cdn/static/js/app/main/index", "abcdefghijklmnopqrstuvwxyz0123456789", "counterrevolutionary", "a/" * 100_000, "sample-example-placeholder"]
+    texts = [f"see {x} there" for x in [*shown, *quiet]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(d).collect():
+        found = [texts[r.doc_id][x.s : x.e] for x in r.added]
+        want = [*shown.values()][r.doc_id] if r.doc_id < len(shown) else None
+        assert any(want in x for x in found) if want else not found, (texts[r.doc_id][:80], found)
+        assert all(x.e <= b.s or b.e <= x.s for x in r.added for b in r.base)
+
+
 @pytest.mark.parametrize("window,bits", [(8, 2.5), (20, 3.0)])
 def test_entropy_windows_match_a_full_count(spark, window, bits):
     import math
