@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotweave.llm import byte_bpe, exact_dedup, html_wrapper, jaccard_join, kneser_ney, line_dedup, mixing, quality_rules, secrets, url_reputation
+from spotweave.llm import (
+    byte_bpe, conversation_repair, decontaminate, exact_dedup, hard_negatives, html_wrapper, jaccard_join, kneser_ney, line_dedup, mixing,
+    quality_rules, secrets, url_reputation,
+)
 from spotweave.llm.common import table
 
 
@@ -57,6 +60,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(v.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.digest(conversations, *conversation_repair.repair(conversation_repair.damage(conversations)))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_reputation, op2_quality_classifier, op3_secret_scan, op4_quality_rules, op5_line_dedup, op6_byte_bpe, op7_exact_dedup,
-        op8_html_extraction, op9_jaccard_join, op10_source_mixing, pipeline,
+        op8_html_extraction, op9_jaccard_join, op10_source_mixing, op11_hard_negatives, op12_conversation_repair, op13_decontamination, pipeline,
     )
 }
-ORACLES: dict[str, str] = {"op1_url_reputation": url_reputation.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_url_reputation": url_reputation.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE, "op13_decontamination": decontaminate.ORACLE,
+}
