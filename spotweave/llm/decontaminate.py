@@ -112,11 +112,12 @@ def _scanner(spark: SparkSession, pairs: list[tuple[str | None, str]]):
 
 
 @F.pandas_udf(FOUND)
-def _joined(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+def _joined(texts: pd.Series, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
     """What two automata found in the same texts."""
-    union = lambda c: [_structs(merged([(r["start"], r["end"]) for r in [*a, *b]])) for a, b in zip(one[c], two[c])]
+    words = [merged([(r["start"], r["end"]) for r in [*a, *b]]) for a, b in zip(one["words"], two["words"])]
     items = [sorted({*a, *b}) for a, b in zip(one["items"], two["items"])]
-    return pd.DataFrame({"n_words": one["n_words"], "words": union("words"), "spans": union("spans"), "items": items})
+    spans = [_structs(offsets(t, w)) for t, w in zip(texts, words)]
+    return pd.DataFrame({"n_words": one["n_words"], "words": [_structs(w) for w in words], "spans": spans, "items": items})
 
 
 def find_passages(docs: DataFrame, items: DataFrame, size: int = WINDOW, most_pairs: int = MOST_PAIRS) -> DataFrame:
@@ -135,7 +136,7 @@ def find_passages(docs: DataFrame, items: DataFrame, size: int = WINDOW, most_pa
     for part in range(parts):
         scan = _scanner(spark, [(r.item_id, r.words) for r in pairs.filter(F.col("part") == part).toLocalIterator()])
         d = d.withColumn("_new", scan(text_of("_row.text")))
-        d = d.select("_row", (_joined("_found", "_new") if part else F.col("_new")).alias("_found"))
+        d = d.select("_row", (_joined(text_of("_row.text"), "_found", "_new") if part else F.col("_new")).alias("_found"))
         if part + 1 < parts:
             d = materialise(d)  # one automaton in a worker at a time
     n_hit = F.aggregate("_found.words", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import itertools
 import math
 import random
@@ -110,7 +111,7 @@ def plain_edits(rows):
     best = {(0, 0): (0, "", ())}
     todo = [(0, 0)]
     while todo:
-        i, q = todo.pop()
+        i, q = heapq.heappop(todo)
         cost, audit, out = best[i, q]
         moves = [(5, "I", i, r, (f"{w}:",)) for r, w in (("u", "user"), ("a", "assistant"))]
         if i < len(rows):
@@ -127,7 +128,7 @@ def plain_edits(rows):
             new = (cost + c, audit + e, out + line)
             if node not in best or new[:2] < best[node][:2]:
                 best[node] = new
-                todo.append(node)
+                heapq.heappush(todo, node)
     return min((best[len(rows), q] for q in (0, 3) if (len(rows), q) in best), key=lambda b: b[:2])
 
 
