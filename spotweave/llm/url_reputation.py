@@ -1,10 +1,11 @@
 """Operator 1: URL filter by empirical-Bayes host reputation.
 
 Labelled page outcomes are counted per host, registered domain and suffix. The suffix rate shrinks towards the rate of all
-labelled pages, the domain rate towards its suffix, the host rate towards its domain: each level is a beta prior whose mean is the
-posterior mean of the level above. The strength of each prior (its pseudo-count) is fitted by the method of moments from how much
-the units of a level differ from the level above, beyond binomial noise. A host is blocked if the lower posterior bound of its rate
-of bad pages exceeds `max_bad`. Hosts without labels take the posterior of the closest level that has some.
+labelled pages, the domain rate towards its suffix, the host rate towards its domain: each level is a beta prior from the posterior of
+the level above, without the unit's own labels, so that no label counts twice. The strength of each prior (its pseudo-count) is fitted
+by the method of moments from how much the units of a level differ from the level above, beyond binomial noise, and then reduced by the
+uncertainty of the level above. A host is blocked if the lower posterior bound of its rate of bad pages exceeds `max_bad`. Hosts
+without labels take the posterior of the closest level that has some, with a wider bound.
 
 Curated rules (host suffix + path prefix) come first; the longest fitting rule wins.
 """
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spotweave.llm.common import lower_ascii, without
+from spotweave.session import materialise
 
 LEVELS = ["suffix", "domain", "host"]
 
@@ -90,22 +92,28 @@ def reputation(pages: DataFrame, labels: DataFrame, long_suffixes: list[str] | N
     )
     hosts = marked.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     suffix, domain = _levels(F.col("host"), long_suffixes or [])
-    hosts = hosts.withColumn("suffix", suffix).withColumn("domain", domain)
+    hosts = materialise(hosts.withColumn("suffix", suffix).withColumn("domain", domain))
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("suffix", "domain").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
-    overall = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("prior"))
+    overall = suffixes.agg((F.sum("bad") + 0.5).alias("above_bad"), (F.sum("n") + 1.0).alias("above"))
 
     def shrunk(units: DataFrame, above: DataFrame, on: list[str]) -> DataFrame:
+        """The prior's mean is that of the level above without the unit's own labels. Its mean is itself uncertain: with t labels and
+        pseudo-counts behind it and s fitted for this level, the variance m(1-m)/(t+1) + (m(1-m) - m(1-m)/(t+1))/(s+1) is that of a beta
+        prior of strength s·t/(s+t+1)."""
         units = units.join(above, on) if on else units.crossJoin(above)  # without keys: one row each
+        t = F.col("above") - F.col("n")
+        units = units.withColumn("t", t).withColumn("prior", (F.col("above_bad") - F.col("bad")) / t).drop("above", "above_bad")
         units = units.crossJoin(_strength(units, least, most))
-        a = F.col("strength") * F.col("prior") + F.col("bad")
-        return units.withColumn("alpha", a).withColumn("beta", F.col("strength") + F.col("n") - a)
+        s = F.col("strength") * F.col("t") / (F.col("strength") + F.col("t") + 1)
+        a = s * F.col("prior") + F.col("bad")
+        return units.withColumn("alpha", a).withColumn("beta", s + F.col("n") - a)
 
-    mean = (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("prior")
+    post = [F.col("alpha").alias("above_bad"), (F.col("alpha") + F.col("beta")).alias("above")]
     s = shrunk(suffixes, overall, [])
-    d = shrunk(domains, s.select("suffix", mean), ["suffix"])
-    h = shrunk(hosts, d.select("suffix", "domain", mean), ["suffix", "domain"])
+    d = shrunk(domains, s.select("suffix", *post), ["suffix"])
+    h = shrunk(hosts, d.select("suffix", "domain", *post), ["suffix", "domain"])
     return h.select("host", "n", "bad", "alpha", "beta")
 
 
@@ -157,25 +165,25 @@ WITH u AS (
 ), s AS (
   SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY 1
 ), sp AS (
-  SELECT s.*, (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) FROM s) AS prior FROM s
+  SELECT u.*, above - n AS t, (above_bad - bad) / (above - n) AS prior FROM s u CROSS JOIN (SELECT sum(bad) + 0.5::DOUBLE AS above_bad, sum(n) + 1.0::DOUBLE AS above FROM s)
 ), sk AS (
   SELECT greatest(least(coalesce(sum(pow(bad - n * prior, 2) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0), 1 / 3.0::DOUBLE), 1 / 1001.0::DOUBLE) AS r FROM sp
 ), sq AS (
-  SELECT suffix, ((1 / r - 1) * prior + bad) / ((1 / r - 1) + n) AS prior FROM sp, sk
+  SELECT *, str * prior + bad AS a, str + n AS ab FROM (SELECT *, (1 / r - 1) * t / (1 / r - 1 + t + 1) AS str FROM sp, sk)
 ), dp AS (
-  SELECT d.*, sq.prior FROM d JOIN sq USING (suffix)
+  SELECT u.*, above - n AS t, (above_bad - bad) / (above - n) AS prior FROM d u JOIN (SELECT suffix, a AS above_bad, ab AS above FROM sq) USING (suffix)
 ), dk AS (
   SELECT greatest(least(coalesce(sum(pow(bad - n * prior, 2) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0), 1 / 3.0::DOUBLE), 1 / 1001.0::DOUBLE) AS r FROM dp
 ), dq AS (
-  SELECT suffix, domain, ((1 / r - 1) * prior + bad) / ((1 / r - 1) + n) AS prior FROM dp, dk
+  SELECT *, str * prior + bad AS a, str + n AS ab FROM (SELECT *, (1 / r - 1) * t / (1 / r - 1 + t + 1) AS str FROM dp, dk)
 ), hp AS (
-  SELECT h.*, dq.prior FROM h JOIN dq USING (suffix, domain)
+  SELECT u.*, above - n AS t, (above_bad - bad) / (above - n) AS prior FROM h u JOIN (SELECT suffix, domain, a AS above_bad, ab AS above FROM dq) USING (suffix, domain)
 ), hk AS (
   SELECT greatest(least(coalesce(sum(pow(bad - n * prior, 2) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0), 1 / 3.0::DOUBLE), 1 / 1001.0::DOUBLE) AS r FROM hp
 ), hq AS (
-  SELECT host, (1 / r - 1) * prior + bad AS a, (1 / r - 1) * (1 - prior) + n - bad AS b FROM hp, hk
+  SELECT *, str * prior + bad AS a, str + n AS ab FROM (SELECT *, (1 / r - 1) * t / (1 / r - 1 + t + 1) AS str FROM hp, hk)
 ), b AS (
-  SELECT host, greatest(0, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS bound FROM hq
+  SELECT host, greatest(0, a / ab - 1.645 * sqrt(a * (ab - a) / (ab * ab * (ab + 1)))) AS bound FROM hq
 )
 SELECT page_id, host, path,
   CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'

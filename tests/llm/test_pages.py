@@ -54,6 +54,17 @@ def test_reputation_shrinks_towards_the_levels_above(spark):
     assert got["one.other.org"].verdict == "allow"  # one bad label is not proof enough
 
 
+@pytest.mark.parametrize(("bad", "verdict"), [(1, "allow"), (40, "block")])
+@pytest.mark.parametrize("level", ["host", "domain", "suffix"])
+def test_one_bad_label_never_blocks_and_forty_do(spark, level, bad, verdict):
+    at = {"host": "http://h.dom.xx/{i}", "domain": "http://h{i}.dom.xx/", "suffix": "http://h.dom{i}.xx/"}[level]
+    other = {"host": "http://h.dom.xx/", "domain": "http://new.dom.xx/", "suffix": "http://new.newdom.xx/"}[level]
+    urls = [at.format(i=i) for i in range(bad)] + [f"http://ok{i % 9}.fine{i % 3}.yy/{i}" for i in range(60)] + [other]
+    lab = [(i, 0, 0) for i in range(bad)] + [(bad + i, 1, 0) for i in range(60)]
+    d = url_reputation.filter_urls(pages(spark, urls), url_reputation.bad_labels(spark.createDataFrame(lab, "doc_id long, quality int, toxic int")))
+    assert d.filter(f"page_id = {len(urls) - 1}").first().verdict == verdict
+
+
 def test_url_query_matches_sql(spark):
     con = duckdb.connect()
     for t in ("pages", "labels", "documents"):
