@@ -1,8 +1,9 @@
 """Ridge regression from sufficient statistics.
 
 Everything a ridge fit needs is the matrix of cross products of [1, features] and, per target, the products with it. Tasks reduce
-them from the rows batch by batch, the parts are added up by Spark, and only the small solve per model runs on one row. Leaving a
-group out is a subtraction of matrices, so the data is read once however many models are fitted.
+them from the rows batch by batch and hand them on as tiles, Spark adds the tiles up by a tree, and only the solve of a model, by Cholesky
+factors with refinement, runs in one task. Leaving a group out is a subtraction of tiles, so the data is read once however many
+models are fitted.
 """
 
 from __future__ import annotations
@@ -20,77 +21,119 @@ from spotweave.operators.sfmetrics import METRICS, sf_metrics
 from spotweave.operators.sizefactor import SPOT, normalise_predicted
 from spotweave.session import materialise
 
-HELD = 256
+TILE = 64  # a matrix travels as upper-triangle tiles of this many rows and columns
+HELD_BYTES = 64 << 20  # of matrices in a task before it hands them on
+FAN = 256  # parts added up at a time
+
+
+def tree_sum(parts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Arrays of `value` added up per key, element by element, in two levels: tasks are dealt over `FAN` partial sums first, so no row
+    collects the arrays of all tasks."""
+    def added(d: DataFrame, by: list[str]) -> DataFrame:
+        held = d.groupBy(*by).agg(F.collect_list(value).alias("_l"))
+        rest = F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(0)))
+        return held.select(*by, F.aggregate(rest, F.col("_l")[0], lambda x, y: F.zip_with(x, y, lambda u, w: u + w)).alias(value))
+
+    return added(added(parts.withColumn("_s", F.spark_partition_id() % FAN), [*keys, "_s"]), keys)
+
+
+def _tiles(m: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    for i in range(0, len(m), TILE):
+        for j in range(i, len(m), TILE):
+            yield i // TILE, j // TILE, m[i : i + TILE, j : j + TILE].ravel()
+
+
+def _assembled(tiles: pd.DataFrame, column: str = "gram") -> np.ndarray:
+    """The symmetric matrix of the tiles of one key. Tiles of the diagonal are square, so they tell the size."""
+    size = {r.i: int(round(np.sqrt(len(getattr(r, column))))) for r in tiles.itertuples() if r.i == r.j}
+    start = {i: sum(size[k] for k in size if k < i) for i in size}
+    m = np.zeros((sum(size.values()),) * 2)
+    for r in tiles.itertuples():
+        block = np.asarray(getattr(r, column), dtype=np.float64).reshape(size[r.i], size[r.j])
+        rows, cols = slice(start[r.i], start[r.i] + size[r.i]), slice(start[r.j], start[r.j] + size[r.j])
+        m[rows, cols] = block
+        m[cols, rows] = block.T
+    return m
 
 
 def cross_products(df: DataFrame, key: str, features: str = "features", targets: str = "targets") -> DataFrame:
-    """(key, gram): the flattened matrix of sums of products of [1, features…, targets…] per key."""
+    """(key, i, j, gram): tiles of the matrix of sums of products of [1, features…, targets…] per key.
+
+    A task holds one matrix per key it meets, up to `HELD_BYTES` of them, and hands them on as tiles; equal tiles are added up by a tree.
+    """
     d = df.select(F.col(key).cast("string").alias("key"), F.col(features).alias("x"), F.col(targets).alias("y"))
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
+
+        def handed_on() -> pd.DataFrame:
+            rows = [(name, i, j, v) for name, m in held.items() for i, j, v in _tiles(m)]
+            held.clear()
+            return pd.DataFrame(rows, columns=["key", "i", "j", "gram"])
+
         for b in batches:
             if b.empty:
                 continue
             z = np.hstack([np.ones((len(b), 1)), np.vstack(b["x"].to_numpy()), np.vstack(b["y"].to_numpy()).reshape(len(b), -1)]).astype(np.float64)
-            codes, names = pd.factorize(b["key"])
+            codes, names = pd.factorize(b["key"], use_na_sentinel=False)
             for i, name in enumerate(names):
                 part = z[codes == i]
-                g = (part.T @ part).ravel()
+                g = part.T @ part
                 held[name] = held[name] + g if name in held else g
-            if len(held) > HELD:
-                yield pd.DataFrame({"key": list(held), "gram": list(held.values())})
-                held = {}
+            if len(held) * z.shape[1] ** 2 * 8 > HELD_BYTES:
+                yield handed_on()
         if held:
-            yield pd.DataFrame({"key": list(held), "gram": list(held.values())})
+            yield handed_on()
 
-    parts = d.mapInPandas(reduce, "key string, gram array<double>")
-    cells = parts.select("key", F.posexplode("gram").alias("i", "v")).groupBy("key", "i").agg(F.sum("v").alias("v"))
-    packed = cells.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c"))  # (1 + d + m)² entries
-    return packed.select(F.col("key").alias(key), F.col("c.v").alias("gram"))
+    parts = d.mapInPandas(reduce, "key string, i int, j int, gram array<double>")
+    return tree_sum(parts, ["key", "i", "j"], "gram").withColumnRenamed("key", key)
 
 
 def total_products(grams: DataFrame) -> DataFrame:
-    """One row: the sum over all keys."""
-    cells = grams.select(F.posexplode("gram").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-    return cells.agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c")).select(F.col("c.v").alias("total"))
+    """The tiles summed over all keys."""
+    return tree_sum(grams.select("i", "j", F.col("gram").alias("total")), ["i", "j"], "total")
 
 
 def left_out(grams: DataFrame, key: str) -> DataFrame:
     """For every key the products of all other keys."""
-    j = grams.crossJoin(total_products(grams))  # one row on the right
-    return j.select(key, F.zip_with("total", "gram", lambda t, g: t - g).alias("gram"))
+    j = grams.join(total_products(grams), ["i", "j"])
+    return j.select(key, "i", "j", F.zip_with("total", "gram", lambda t, g: t - g).alias("gram"))
+
+
+def solve_spd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a·x = b by Cholesky factors, refined until the residual is small; the shortest solution where `a` is singular."""
+    try:
+        lower = np.linalg.cholesky(a)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(a, b, rcond=None)[0]
+    back = lambda r: np.linalg.solve(lower.T, np.linalg.solve(lower, r))
+    x = back(b)
+    for _ in range(3):
+        r = b - a @ x
+        if np.linalg.norm(r) <= 1.0e-13 * np.linalg.norm(b):
+            break
+        x = x + back(r)
+    return x
 
 
 def solve_ridge(grams: DataFrame, key: str, n_targets: int = 1, alpha: float = 10.0) -> DataFrame:
     """(key, target, intercept, weights, n_train) on the scale of the raw features.
 
-    Features are standardised by their own mean and spread of the training rows and the intercept is not penalised.
+    Features are standardised by their own mean and spread of the training rows and the intercept is not penalised. A key's matrix is
+    put together in one task: (1 + features + targets)² numbers.
     """
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for name, flat in zip(b["key"], b["gram"]):
-                m = int(round(np.sqrt(len(flat))))
-                g = np.asarray(flat, dtype=np.float64).reshape(m, m)
-                d = m - 1 - n_targets
-                n = g[0, 0]
-                if n < 2:
-                    continue
-                mean = g[0, 1:] / n
-                cov = g[1:, 1:] - n * np.outer(mean, mean)
-                std = np.sqrt(np.maximum(np.diag(cov)[:d] / n, 0.0))
-                std[std < 1.0e-12] = 1.0
-                a = cov[:d, :d] / np.outer(std, std) + alpha * np.eye(d)
-                w = np.linalg.solve(a, cov[:d, d:] / std[:, None]) / std[:, None]
-                for t in range(n_targets):
-                    rows.append((name, t, float(mean[d + t] - mean[:d] @ w[:, t]), w[:, t].tolist(), int(round(n))))
-            yield pd.DataFrame(rows, columns=["key", "target", "intercept", "weights", "n_train"])
-
-    d = grams.select(F.col(key).alias("key"), "gram")
+    def solve(key_: tuple, tiles: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        g = _assembled(tiles)
+        v = g[len(g) - n_targets :, : len(g) - n_targets]
+        b = _fit(g[: len(g) - n_targets, : len(g) - n_targets], v, alpha)
+        if b is not None:
+            rows = [(key_[0], t, float(b[t, 0]), b[t, 1:].tolist(), int(round(g[0, 0]))) for t in range(n_targets)]
+        return pd.DataFrame(rows, columns=["key", "target", "intercept", "weights", "n_train"])
+
     schema = "key string, target int, intercept double, weights array<double>, n_train bigint"
-    return d.mapInPandas(solve, schema).withColumnRenamed("key", key)
+    return grams.withColumnRenamed(key, "key").groupBy("key").applyInPandas(solve, schema).withColumnRenamed("key", key)
 
 
 def score(df: DataFrame, models: DataFrame, keys: list[str], out: str = "prediction", features: str = "features") -> DataFrame:
@@ -123,7 +166,7 @@ TARGET_PARTS = 16  # parts the targets of a group are dealt over
 
 
 def feature_products(df: DataFrame, key: str, features: str = "features") -> DataFrame:
-    """(key, gram): sums of products of [1, features…] per key, (1 + d)² numbers whatever the number of targets."""
+    """(key, i, j, gram): tiles of the sums of products of [1, features…] per key, whatever the number of targets."""
     return cross_products(df.withColumn("_none", F.array().cast("array<double>")), key, features, "_none")
 
 
@@ -137,20 +180,15 @@ def target_products(rows: DataFrame, key: str) -> DataFrame:
                 continue
             y = b["y"].to_numpy(np.float64)[:, None]
             z = np.hstack([y, np.vstack(b["x"].to_numpy()).astype(np.float64) * y, y * y])
-            sums = pd.DataFrame(z).groupby([b["key"].to_numpy(), b["target"].to_numpy()]).sum()
+            sums = pd.DataFrame(z).groupby([b["key"].to_numpy(), b["target"].to_numpy()], dropna=False).sum()
             yield pd.DataFrame({"key": sums.index.get_level_values(0), "target": sums.index.get_level_values(1), "v": list(sums.to_numpy())})
 
     parts = d.mapInPandas(reduce, "key string, target string, v array<double>")
-    return _added(parts, ["key", "target"]).withColumnRenamed("key", key)
-
-
-def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
-    cells = parts.select(*keys, F.posexplode("v").alias("i", "c")).groupBy(*keys, "i").agg(F.sum("c").alias("c"))
-    return cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("p")).select(*keys, F.col("p.c").alias("v"))
+    return tree_sum(parts, ["key", "target"], "v").withColumnRenamed("key", key)
 
 
 def _fit(gram: np.ndarray, v: np.ndarray, alpha: float) -> np.ndarray | None:
-    """Rows (intercept, weights…) per target for one matrix of training products and rows of target products."""
+    """Rows (intercept, weights…) per target: `gram` of [1, features…] over the training rows, `v` a row of y·[1, features…] per target."""
     n = gram[0, 0]
     if n < 2:
         return None
@@ -159,9 +197,8 @@ def _fit(gram: np.ndarray, v: np.ndarray, alpha: float) -> np.ndarray | None:
     std = np.sqrt(np.maximum(np.diag(cov) / n, 0.0))
     std[std < 1.0e-12] = 1.0
     a = cov / np.outer(std, std) + alpha * np.eye(len(std))
-    level = v[:, 0] / n
-    w = np.linalg.solve(a, ((v[:, 1:-1] - np.outer(v[:, 0], mean)) / std).T).T / std
-    return np.hstack([(level - w @ mean)[:, None], w])
+    w = solve_spd(a, ((v[:, 1:] - np.outer(v[:, 0], mean)) / std).T).T / std
+    return np.hstack([(v[:, 0] / n - w @ mean)[:, None], w])
 
 
 def leave_group_out_models(df: DataFrame, targets: DataFrame, group: str, alpha: float = 10.0) -> DataFrame:
@@ -174,10 +211,10 @@ def leave_group_out_models(df: DataFrame, targets: DataFrame, group: str, alpha:
     """
     x = materialise(feature_products(df, group))
     y = materialise(target_products(df.select(*dict.fromkeys([group, *SPOT, "features"])).join(targets, SPOT), group))
-    whole = _added(y.select("target", "v"), ["target"]).withColumnRenamed("v", "total")
-    every = x.select(F.col(group).alias("_g")).crossJoin(whole)
+    whole = tree_sum(y.select("target", F.col("v").alias("total")), ["target"], "total")
+    every = x.select(F.col(group).alias("_g")).distinct().crossJoin(whole)  # a model per group and target is the result
     rows = every.join(y.withColumnRenamed(group, "_g"), ["_g", "target"], "left").withColumn("part", F.pmod(F.xxhash64("target"), F.lit(TARGET_PARTS)).cast("int"))
-    both = x.select(group, F.col("gram").alias("own")).join(left_out(x, group), group)
+    both = x.select(group, "i", "j", F.col("gram").alias("own")).join(left_out(x, group), [group, "i", "j"])
     both = both.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TARGET_PARTS - 1))))
     schema = f"{group} string, target string, intercept double, weights array<double>, n_train bigint, n bigint, sp double, st double, spp double, stt double, spt double"
 
@@ -185,11 +222,10 @@ def leave_group_out_models(df: DataFrame, targets: DataFrame, group: str, alpha:
         none = pd.DataFrame({c.split()[0]: pd.Series(dtype=object) for c in schema.split(", ")})
         if grams.empty or targets_.empty:
             return none
-        m = int(round(np.sqrt(len(grams["gram"].iloc[0]))))
-        train, own = (np.asarray(grams[c].iloc[0], dtype=np.float64).reshape(m, m) for c in ("gram", "own"))
+        train, own = _assembled(grams), _assembled(grams, "own")
         total = np.vstack(targets_["total"].to_numpy()).astype(np.float64)
-        mine = np.vstack([np.zeros(m + 1) if v is None else np.asarray(v, dtype=np.float64) for v in targets_["v"]])
-        b = _fit(train, total - mine, alpha)
+        mine = np.vstack([np.zeros(len(train) + 1) if v is None else np.asarray(v, dtype=np.float64) for v in targets_["v"]])
+        b = _fit(train, (total - mine)[:, :-1], alpha)
         if b is None:
             return none
         xy = mine[:, :-1]

@@ -133,7 +133,7 @@ def _(v: Views):
     return pixels.patch_descriptors(v.pixels)
 
 
-# --- linear models: two features, so that SQL can write the solution out; tests compare more features with numpy ----------
+# --- linear models: over two features, where SQL writes the solution out, and over all of them, where SQL eliminates --------
 
 ALPHA = 10.0
 
@@ -175,10 +175,63 @@ def _(v: Views):
     return linear.ridge_baseline(*_train_test(v))
 
 
-@query("M1_ridge_all_features")
-def _(v: Views):
+N_FEATURES = 64
+
+
+def _define_ridge(name: str, rows: str, key: str, targets: str, train: str = "true", leave_out: bool = True) -> None:
+    """Views of a ridge over all features by Gauss-Jordan elimination. `rows` has the key, sample_id, spot_id and features, `targets` has
+    sample_id, spot_id, target and y. A model is fitted on the other keys' rows, or on the key's own where `train` holds. The last view,
+    all_{name}, has the prediction of every row and target."""
+    x, gram, sums_, aug, weights = (f"{v}_{name}" for v in ("wide_x", "wide_gram", "wide_sums", "wide_aug", "wide_w"))
+    d = N_FEATURES
+    define(x, f"SELECT cast({key} AS varchar) AS k, sample_id, spot_id, {train} AS fit, i, CASE WHEN i = 0 THEN 1.0::double ELSE features[i]::double END AS x FROM {rows} CROSS JOIN (SELECT unnest(range(0, {d + 1})) AS i)")
+    own = f"SELECT a.k, a.i, b.i AS j, sum(a.x * b.x) AS v FROM {x} a JOIN {x} b USING (k, sample_id, spot_id) WHERE a.fit GROUP BY ALL"
+    own_y = f"SELECT k, target, i, sum(x * y) AS v FROM {x} JOIN {targets} USING (sample_id, spot_id) WHERE fit GROUP BY ALL"
+    if leave_out:
+        own = f"WITH o AS ({own}) SELECT k, i, j, t.v - o.v AS v FROM o JOIN (SELECT i, j, sum(v) AS v FROM o GROUP BY ALL) t USING (i, j)"
+        own_y = f"WITH o AS ({own_y}) SELECT k, target, i, t.v - o.v AS v FROM o JOIN (SELECT target, i, sum(v) AS v FROM o GROUP BY ALL) t USING (target, i)"
+    define(gram, own)
+    define(sums_, f"SELECT *, dense_rank() OVER (ORDER BY target) AS c FROM ({own_y})")
+    define(
+        aug,
+        f"""WITH m AS (SELECT k, j AS i, v AS s FROM {gram} WHERE i = 0), n AS (SELECT k, s AS n FROM m WHERE i = 0 AND s >= 2),
+z AS (SELECT k, i, s, n, sqrt((v - s*s/n)/n) AS sd FROM m JOIN n USING (k) JOIN {gram} g USING (k, i) WHERE g.i = g.j AND i > 0),
+e AS (SELECT g.k, g.i, g.j, (v - a.s*b.s/a.n)/(a.sd*b.sd) + CASE WHEN g.i = g.j THEN {ALPHA} ELSE 0 END AS v FROM {gram} g JOIN z a ON a.k = g.k AND a.i = g.i JOIN z b ON b.k = g.k AND b.i = g.j
+UNION ALL SELECT y.k, y.i, {d} + y.c, (y.v - z.s*t.v/z.n)/z.sd FROM {sums_} y JOIN z ON z.k = y.k AND z.i = y.i JOIN {sums_} t ON t.k = y.k AND t.c = y.c AND t.i = 0)
+SELECT e.k, e.i, any_value(s) AS s, any_value(n) AS n, any_value(sd) AS sd, list(v ORDER BY j) AS r FROM e JOIN z ON z.k = e.k AND z.i = e.i GROUP BY e.k, e.i""",
+    )
+    define(
+        weights,
+        f"""WITH RECURSIVE gj AS (SELECT 1 AS p, k, i, r FROM {aug} UNION ALL
+SELECT p + 1, k, i, CASE WHEN i = p THEN list_transform(r, lambda u: u / q) ELSE list_transform(list_zip(r, pr), lambda u: u[1] - c / q * u[2]) END
+FROM (SELECT a.p, a.k, a.i, a.r, b.r AS pr, a.r[a.p] AS c, b.r[a.p] AS q FROM gj a JOIN gj b ON a.k = b.k AND b.i = b.p WHERE a.p <= {d})),
+t AS (SELECT DISTINCT target, c FROM {sums_})
+SELECT gj.k, gj.i, target, gj.r[{d} + c] / sd AS w FROM gj JOIN {aug} u ON u.k = gj.k AND u.i = gj.i CROSS JOIN t WHERE p = {d + 1}
+UNION ALL SELECT gj.k, 0, t.target, any_value(y.v) / any_value(n) - sum(gj.r[{d} + t.c] / sd * s / n) FROM gj JOIN {aug} u ON u.k = gj.k AND u.i = gj.i CROSS JOIN t
+JOIN {sums_} y ON y.k = gj.k AND y.c = t.c AND y.i = 0 WHERE p = {d + 1} GROUP BY gj.k, t.target""",
+    )
+    define(f"all_{name}", f"SELECT x.k, sample_id, spot_id, target, sum(w * x) AS prediction FROM {x} x JOIN {weights} w USING (k, i) GROUP BY ALL")
+
+
+define("wide_y", "SELECT sample_id, spot_id, '' AS target, y FROM two_features")
+_define_ridge("ridge", "features", "'all'", "wide_y", "spot_id % 5 < 4", leave_out=False)
+define("ridge_scored_all", "SELECT 'ridge' AS baseline, prediction AS pred_log_sf, y AS true_log_sf FROM all_ridge JOIN wide_y USING (sample_id, spot_id, target) WHERE spot_id % 5 = 4")
+_RIDGE_ALL_SQL = f"SELECT *, cast({ALPHA} AS double) AS alpha FROM ({sf_sql('baseline', 'ridge_scored_all')})"
+
+
+def _train_test_all(v: Views):
     d = v.regression.withColumn("fold", F.col("spot_id") % 5)
-    return linear.ridge_baseline(d.filter("fold < 4"), d.filter("fold = 4"))
+    return d.filter("fold < 4"), d.filter("fold = 4")
+
+
+@query("M1_ridge_all_features", _RIDGE_ALL_SQL, SF)
+def _(v: Views):
+    return linear.ridge_baseline(*_train_test_all(v))
+
+
+@query("M3_baseline_table_all_features", f"{_RIDGE_ALL_SQL} UNION ALL SELECT *, NULL FROM ({sf_sql('baseline', 'constant_scored')})", SF)
+def _(v: Views):
+    return linear.baseline_table(*_train_test_all(v))
 
 
 WEIGHTS = [0.5, -0.25, 2.0, 1.0] + [0.0] * 60
@@ -199,10 +252,10 @@ def _(v: Views):
     return linear.baseline_table(*_train_test(v))
 
 
-def _gene_rows(v: Views):
+def _gene_rows(v: Views, every_feature: bool = False):
     """Vectors stand for spots of the sample of their label, several per spot (see FIXTURES.md); all genes that every one of those
     samples measured are targets."""
-    f = _two(v).withColumn("cell", F.col("spot_id") % 72).drop("y", "x", "y")
+    f = (v.regression if every_feature else _two(v)).withColumn("cell", F.col("spot_id") % 72).drop("y", "x", "y")
     sf = v.sf.filter("valid").select("sample_id", F.col("spot_id").alias("cell"), "sf", "log_sf")
     d = materialise(f.join(sf, ["sample_id", "cell"]).join(v.samples.select("sample_id", "organ", "cohort"), "sample_id"))
     have = d.select("sample_id").distinct()
@@ -232,28 +285,48 @@ def _loo_sql(key: str, table: str, target: str) -> str:
     return f"SELECT l.*, w0 + w1*x1 + w2*x2 AS prediction FROM {table} l JOIN {_solved(f'{key}, {target}', train)} USING ({key}, {target})"
 
 
-for _name, _key in (("group", "sample_id"), ("organ", "organ"), ("cohort", "cohort")):
-    define(f"loo_{_key}", _loo_sql(_key, "gene_long", "gene"))
-    define(f"loo_sf_{_key}", f"SELECT {_key}, spot_id, sample_id, prediction AS pred_log_sf, y AS true_log_sf FROM loo_{_key} WHERE gene = ''")
+def _define_leave_out(loo: str, key: str) -> str:
+    """The results of the three stages from the view `loo` of predictions per row and gene ('' is the size factor)."""
+    sf, counts = f"{loo}_sf", f"{loo}_counts"
+    define(sf, f"SELECT {key}, spot_id, sample_id, prediction AS pred_log_sf, y AS true_log_sf FROM {loo} WHERE gene = ''")
     define(
-        f"loo_count_{_key}",
-        f"""SELECT l.{_key}, l.gene, greatest(exp(l.prediction) - 1, 0) * e AS pred, (exp(l.y) - 1) * exp(l.log_sf) AS true_ FROM loo_{_key} l
-JOIN (SELECT sample_id, spot_id, exp(pred_log_sf) / (avg(exp(pred_log_sf)) OVER (PARTITION BY {_key}) + 1e-8) AS e FROM loo_sf_{_key}) USING (sample_id, spot_id) WHERE gene <> ''""",
+        counts,
+        f"""SELECT l.{key}, l.gene, greatest(exp(l.prediction) - 1, 0) * e AS pred, (exp(l.y) - 1) * exp(l.log_sf) AS true_ FROM {loo} l
+JOIN (SELECT sample_id, spot_id, exp(pred_log_sf) / (avg(exp(pred_log_sf)) OVER (PARTITION BY {key}) + 1e-8) AS e FROM {sf}) USING (sample_id, spot_id) WHERE gene <> ''""",
     )
-    _mean = lambda source, p, t: f"SELECT k, avg({PEARSON}) AS v FROM (SELECT {_key} AS k, gene, {sums(p, t)} FROM {source} WHERE gene <> '' GROUP BY ALL) GROUP BY k"
-
-    @query(
-        f"M4_leave_{_name}_out",
-        f"""WITH r AS (SELECT {_key} AS k, 'sf' AS stage, 'log_sf_pearson' AS metric, log_sf_pearson AS v FROM ({sf_sql(_key, f'loo_sf_{_key}')})
-UNION ALL SELECT k, 'expression', 'mean_gene_pearson', v FROM ({_mean(f'loo_{_key}', 'prediction', 'y')})
-UNION ALL SELECT k, 'combined', 'count_pred_sf_mean_gene_pearson', v FROM ({_mean(f'loo_count_{_key}', 'pred', 'true_')}))
+    mean = lambda source, p, t: f"SELECT k, avg({PEARSON}) AS v FROM (SELECT {key} AS k, gene, {sums(p, t)} FROM {source} WHERE gene <> '' GROUP BY ALL) GROUP BY k"
+    return f"""WITH r AS (SELECT {key} AS k, 'sf' AS stage, 'log_sf_pearson' AS metric, log_sf_pearson AS v FROM ({sf_sql(key, sf)})
+UNION ALL SELECT k, 'expression', 'mean_gene_pearson', v FROM ({mean(loo, 'prediction', 'y')})
+UNION ALL SELECT k, 'combined', 'count_pred_sf_mean_gene_pearson', v FROM ({mean(counts, 'pred', 'true_')}))
 SELECT h AS heldout, s AS stage, CASE WHEN metric IS NULL THEN 'missing_model' ELSE 'ok' END AS status, metric, v AS value
-FROM (SELECT DISTINCT {_key} AS h FROM gene_base) CROSS JOIN (VALUES ('sf'), ('expression'), ('combined')) t(s) LEFT JOIN r ON k = h AND stage = s""",
-        "value",
-    )
+FROM (SELECT DISTINCT {key} AS h FROM gene_base) CROSS JOIN (VALUES ('sf'), ('expression'), ('combined')) t(s) LEFT JOIN r ON k = h AND stage = s"""
+
+
+define("gene_targets", "SELECT sample_id, spot_id, gene AS target, y FROM gene_long")
+define("gene_features", "SELECT b.*, f.features FROM gene_base b JOIN features f USING (sample_id, spot_id)")
+LEAVE_OUT_ALL: dict[str, str] = {}  # SQL of the results over all features, by key
+
+for _name, _key in (("group", "sample_id"), ("organ", "organ"), ("cohort", "cohort")):
+    define(f"loo_{_key}", _loo_sql(_key, "gene_long", "gene"))
+
+    @query(f"M4_leave_{_name}_out", _define_leave_out(f"loo_{_key}", _key), "value")
     def _(v: Views, key: str = _key):
         return linear.generalization_rows(*_gene_args(v, key))
 
+    _define_ridge(f"by_{_key}", "gene_features", _key, "gene_targets")
+    define(f"wide_loo_{_key}", f"SELECT g.*, a.prediction FROM gene_long g JOIN all_by_{_key} a ON a.sample_id = g.sample_id AND a.spot_id = g.spot_id AND a.target = g.gene")
+    LEAVE_OUT_ALL[_key] = _define_leave_out(f"wide_loo_{_key}", _key)
+
+    @query(f"M4_leave_{_name}_out_all_features", LEAVE_OUT_ALL[_key], "value")
+    def _(v: Views, key: str = _key):
+        return heldout_rows(v, key)
+
+
+def heldout_rows(v: Views, key: str):
+    """Results of models over all features, each fitted without one label."""
+    d, genes = _gene_rows(v, every_feature=True)
+    return linear.generalization_rows(d, key, genes)
+
 
 def _gene_args(v: Views, key: str):
     d, genes = _gene_rows(v)
@@ -282,6 +355,20 @@ def _(v: Views):
     return linear.leave_group_out_scores(folds, targets, "fold").select("sample_id", "spot_id", "fold", "prediction", "truth")
 
 
+_define_ridge("by_fold", "(SELECT f.*, fold FROM features f JOIN feature_folds USING (sample_id))", "fold", "wide_y")
+
+
+@query(
+    "M5_crossfit_predictions_all_features",
+    "SELECT a.sample_id, a.spot_id, a.k AS fold, prediction, y AS truth FROM all_by_fold a JOIN wide_y USING (sample_id, spot_id)",
+    "prediction truth",
+)
+def _(v: Views):
+    folds = group_folds(v.regression, "sample_id", 4).withColumn("fold", F.col("fold").cast("string"))
+    targets = folds.select("sample_id", "spot_id", F.lit("y").alias("target"), "y")
+    return linear.leave_group_out_scores(folds, targets, "fold").select("sample_id", "spot_id", "fold", "prediction", "truth")
+
+
 # --- streams -----------------------------------------------------------------------------------------------------------
 
 
