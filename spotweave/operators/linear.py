@@ -201,20 +201,26 @@ def _fit(gram: np.ndarray, v: np.ndarray, alpha: float) -> np.ndarray | None:
     return np.hstack([(v[:, 0] / n - w @ mean)[:, None], w])
 
 
-def leave_group_out_models(df: DataFrame, targets: DataFrame, group: str, alpha: float = 10.0) -> DataFrame:
+def _only(df: DataFrame, group: str, heldouts: DataFrame | None) -> DataFrame:
+    """Rows of the groups named in `heldouts` (column heldout); all rows without it."""
+    return df if heldouts is None else df.join(heldouts.select(F.col("heldout").alias(group)), group, "left_semi")
+
+
+def leave_group_out_models(df: DataFrame, targets: DataFrame, group: str, alpha: float = 10.0, heldouts: DataFrame | None = None) -> DataFrame:
     """A model per group and target, fitted on all other groups, with the sums of its predictions on the group left out.
 
     `df` has the group, SPOT and features; `targets` has SPOT, target and y, where rows with y = 0 may be missing. One pass reads the
     features and one the targets; a model is total minus group. The products of features and those with targets are separate, so the
-    work per target is one row. Columns: group, target, intercept, weights, n_train and n, sp, st, spp, stt, spt on the group. A
+    work per target is one row. With `heldouts` (column heldout) only these groups get models; all rows still count for training. Columns: group, target, intercept, weights, n_train and n, sp, st, spp, stt, spt on the group. A
     group without training rows has none. The result has groups × targets rows by its nature.
     """
     x = materialise(feature_products(df, group))
     y = materialise(target_products(df.select(*dict.fromkeys([group, *SPOT, "features"])).join(targets, SPOT), group))
     whole = tree_sum(y.select("target", F.col("v").alias("total")), ["target"], "total")
-    every = x.select(F.col(group).alias("_g")).distinct().crossJoin(whole)  # a model per group and target is the result
+    mine = _only(x, group, heldouts)
+    every = mine.select(F.col(group).alias("_g")).distinct().crossJoin(whole)  # a model per group and target is the result
     rows = every.join(y.withColumnRenamed(group, "_g"), ["_g", "target"], "left").withColumn("part", F.pmod(F.xxhash64("target"), F.lit(TARGET_PARTS)).cast("int"))
-    both = x.select(group, "i", "j", F.col("gram").alias("own")).join(left_out(x, group), [group, "i", "j"])
+    both = mine.select(group, "i", "j", F.col("gram").alias("own")).join(left_out(x, group), [group, "i", "j"])
     both = both.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TARGET_PARTS - 1))))
     schema = f"{group} string, target string, intercept double, weights array<double>, n_train bigint, n bigint, sp double, st double, spp double, stt double, spt double"
 
@@ -248,17 +254,20 @@ def leave_group_out_scores(df: DataFrame, targets: DataFrame, group: str, alpha:
 SF_TARGET = ""  # the name of the size-factor target beside the genes
 
 
-def generalization_rows(df: DataFrame, group: str, genes: DataFrame, alpha: float = 10.0) -> DataFrame:
+def generalization_rows(df: DataFrame, group: str, genes: DataFrame, alpha: float = 10.0, heldouts: DataFrame | None = None) -> DataFrame:
     """Leave-group-out results as (heldout, stage, status, metric, value) for the stages sf, expression and combined.
 
     `df` has the group, SPOT, features and log_sf; `genes` has SPOT, target and y, the log1p rates that are not 0. Expression metrics
     come from sums. The combined stage multiplies predicted rates, cut at 0, with the predicted, mean-one size factor and compares
-    counts; it is the only one that scores every row for every gene. A group without training rows gets a status row.
+    counts; it is the only one that scores every row for every gene. A group without training rows gets a row with status missing_model.
+    With `heldouts` (distinct labels as strings, column heldout) only these are fitted and returned; one that no row has gets status
+    missing_rows.
     """
     sf_rows = df.select(*SPOT, F.lit(SF_TARGET).alias("target"), F.col("log_sf").cast("double").alias("y"))
     targets = materialise(sf_rows.unionByName(genes.select(*SPOT, "target", F.col("y").cast("double").alias("y"))))
-    models = materialise(leave_group_out_models(df, targets, group, alpha))
-    keyed = materialise(df.select(*dict.fromkeys([group, *SPOT, "features", "log_sf"])).withColumn("_group", F.col(group).cast("string")))
+    models = materialise(leave_group_out_models(df, targets, group, alpha, heldouts))
+    keyed = df.select(*dict.fromkeys([group, *SPOT, "features", "log_sf"])).withColumn("_group", F.col(group).cast("string"))
+    keyed = materialise(_only(keyed, "_group", heldouts))
     one_model = models.select(F.col(group).alias("_group"), "target", "intercept", "weights", "n_train")
     sf = score(keyed, one_model.filter(F.col("target") == SF_TARGET).drop("target"), ["_group"], "pred_log_sf").select(
         "_group", *SPOT, "pred_log_sf", F.col("log_sf").cast("double").alias("true_log_sf")
@@ -278,6 +287,8 @@ def generalization_rows(df: DataFrame, group: str, genes: DataFrame, alpha: floa
     c = held(gene_summary(per_gene, ["_group"]), "combined", "count_pred_sf_mean_gene_pearson", "mean_gene_pearson")
     rows = m.unionByName(e).unionByName(c)
     stages = F.explode(F.array(*[F.lit(x) for x in ("sf", "expression", "combined")])).alias("stage")
-    tasks = keyed.select(F.col("_group").alias("heldout")).distinct().select("heldout", stages)
+    have = keyed.select(F.col("_group").alias("heldout")).distinct().withColumn("_have", F.lit(True))
+    tasks = (have if heldouts is None else heldouts.select("heldout").join(have, "heldout", "left")).select("heldout", "_have", stages)
     out = tasks.join(rows, ["heldout", "stage"], "left")
-    return out.select("heldout", "stage", F.when(F.col("metric").isNull(), "missing_model").otherwise("ok").alias("status"), "metric", "value")
+    status = F.when(F.col("_have").isNull(), "missing_rows").when(F.col("metric").isNull(), "missing_model").otherwise("ok")
+    return out.select("heldout", "stage", status.alias("status"), "metric", "value")

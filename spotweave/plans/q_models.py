@@ -252,7 +252,7 @@ def _(v: Views):
     return linear.baseline_table(*_train_test(v))
 
 
-def _gene_rows(v: Views, every_feature: bool = False):
+def gene_rows(v: Views, every_feature: bool = False):
     """Vectors stand for spots of the sample of their label, several per spot (see FIXTURES.md); all genes that every one of those
     samples measured are targets."""
     f = (v.regression if every_feature else _two(v)).withColumn("cell", F.col("spot_id") % 72).drop("y", "x", "y")
@@ -324,12 +324,12 @@ for _name, _key in (("group", "sample_id"), ("organ", "organ"), ("cohort", "coho
 
 def heldout_rows(v: Views, key: str):
     """Results of models over all features, each fitted without one label."""
-    d, genes = _gene_rows(v, every_feature=True)
+    d, genes = gene_rows(v, every_feature=True)
     return linear.generalization_rows(d, key, genes)
 
 
 def _gene_args(v: Views, key: str):
-    d, genes = _gene_rows(v)
+    d, genes = gene_rows(v)
     return d, key, genes
 
 

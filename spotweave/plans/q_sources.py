@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spotweave.operators import align, cohort, evaluate, sizefactor
-from spotweave.plans.base_sql import PEARSON, define, sums
+from spotweave.operators import align, cohort, evaluate, generalization, sizefactor
+from spotweave.plans.base_sql import define
+from spotweave.plans.q_models import LEAVE_OUT_ALL, gene_rows
+from spotweave.plans.q_splits import split_rows
 from spotweave.plans.registry import query
 from spotweave.sources import assets, tables
 from spotweave.sources.views import Views, gene_set_table, GENE_SETS
@@ -198,45 +200,29 @@ def _(v: Views):
     )
 
 
+_HELD = " UNION ALL ".join(
+    f"""SELECT 'leave_{key}_out' AS split_type, h AS heldout, s AS stage,
+  CASE WHEN h NOT IN (SELECT {key} FROM gene_base) THEN 'missing_rows' WHEN metric IS NULL THEN 'missing_model' ELSE 'ok' END AS status, value
+FROM (SELECT DISTINCT heldout AS h FROM split_rows WHERE split_type = 'leave_{key}_out') CROSS JOIN (VALUES ('sf'), ('expression'), ('combined')) t(s)
+LEFT JOIN (SELECT heldout AS h, stage AS s, metric, value FROM ({LEAVE_OUT_ALL[key]})) USING (h, s)"""
+    for key in ("organ", "cohort")
+)
 define(
     "formal",
-    f"""WITH c AS (SELECT a.sample_id, organ, cohort, method, pred, true_ FROM ablations a JOIN samples USING (sample_id) WHERE method IN ('rate', 'count_pred_sf')),
-x AS (SELECT 'leave_organ_out' AS split_type, organ AS heldout, method, {PEARSON} AS r FROM (SELECT organ, method, {sums()} FROM c GROUP BY ALL)
-UNION ALL SELECT 'leave_cohort_out', cohort, method, {PEARSON} FROM (SELECT cohort, method, {sums()} FROM c GROUP BY ALL)
-UNION ALL SELECT 'leave_organ_out', organ, 'sf', {PEARSON} FROM (SELECT organ, {sums('pred_log_sf', 'true_log_sf')} FROM sf_spots GROUP BY ALL)
-UNION ALL SELECT 'leave_cohort_out', cohort, 'sf', {PEARSON} FROM (SELECT cohort, {sums('pred_log_sf', 'true_log_sf')} FROM sf_spots GROUP BY ALL))
-SELECT split_type, heldout, trim(regexp_replace(lower(heldout), '[^a-z0-9]+', '_', 'g'), '_') AS task_slug,
-  CASE method WHEN 'rate' THEN 'expression' WHEN 'count_pred_sf' THEN 'combined' ELSE 'sf' END AS stage,
-  CASE WHEN r IS NULL THEN 'error' ELSE 'ok' END AS status,
-  CASE WHEN method = 'sf' THEN r END AS metric_log_sf_pearson, CASE WHEN method = 'rate' THEN r END AS metric_mean_gene_pearson,
-  CASE WHEN method = 'count_pred_sf' THEN r END AS metric_count_pred_sf_mean_gene_pearson, 'formal_' || split_type AS run_name FROM x""",
+    f"""SELECT split_type, heldout, trim(regexp_replace(lower(heldout), '[^a-z0-9]+', '_', 'g'), '_') AS task_slug, stage, status,
+  CASE WHEN stage = 'sf' THEN value END AS metric_log_sf_pearson, CASE WHEN stage = 'expression' THEN value END AS metric_mean_gene_pearson,
+  CASE WHEN stage = 'combined' THEN value END AS metric_count_pred_sf_mean_gene_pearson, 'formal_' || split_type AS run_name FROM ({_HELD})""",
 )
 
 
 def formal_rows(v: Views):
-    """A result row per held-out label and stage, from metrics over the samples of that label."""
+    """A result row per held-out label and stage, from models fitted without that label. The mart is kept; finished labels are not fitted again."""
     if not hasattr(v, "_formal"):
-        from spotweave.functions.moments import merged_sums, metric_columns, sum_pairs
-        from spotweave.functions.scalars import slugify
-        from spotweave.session import materialise
-
-        labels = v.samples.select("sample_id", "organ", "cohort")
-        cells = materialise(evaluate.ablation_sums(v.ablation_cells, ["sample_id"]).filter("method IN ('rate', 'count_pred_sf')").join(labels, "sample_id"))
-        parts = []
-        for split_type, label in (("leave_organ_out", "organ"), ("leave_cohort_out", "cohort")):
-            a = cells.groupBy(label, "method").agg(*merged_sums()).select(F.col(label).alias("heldout"), "method", *metric_columns())
-            b = sum_pairs(v.sf_spots, [label], {"": ("pred_log_sf", "true_log_sf")}).select(F.col(label).alias("heldout"), F.lit("sf").alias("method"), *metric_columns())
-            parts.append(a.unionByName(b).select(F.lit(split_type).alias("split_type"), "heldout", "method", F.col("pearson").alias("r")))
-        m, r = F.col("method"), F.col("r")
-        stage = F.when(m == "rate", "expression").when(m == "count_pred_sf", "combined").otherwise("sf")
-        v._formal = materialise(
-            parts[0].unionByName(parts[1]).select(
-                "split_type", "heldout", slugify(F.col("heldout")).alias("task_slug"), stage.alias("stage"),
-                F.when(r.isNull(), "error").otherwise("ok").alias("status"), F.when(m == "sf", r).alias("metric_log_sf_pearson"),
-                F.when(m == "rate", r).alias("metric_mean_gene_pearson"), F.when(m == "count_pred_sf", r).alias("metric_count_pred_sf_mean_gene_pearson"),
-                F.concat(F.lit("formal_"), "split_type").alias("run_name"),
-            )
-        )
+        v._formal_path = tables.scratch_path(v.spark, "results")
+        d, genes = gene_rows(v, every_feature=True)
+        tasks = split_rows(v).filter("split_type <> 'leave_slide_out'").select("split_type", "heldout").distinct()
+        labels = {"leave_organ_out": "organ", "leave_cohort_out": "cohort"}
+        v._formal = generalization.result_table(generalization.run_tasks(d, genes, tasks, labels, v._formal_path))
     return v._formal
 
 
