@@ -85,7 +85,11 @@ def missing_assets(tasks: DataFrame, assets: DataFrame, examples: int = 5) -> Da
 
 
 def readiness(tasks: DataFrame, assets: DataFrame, min_test_slides: int = 5) -> DataFrame:
-    d = task_summary(tasks).join(missing_assets(tasks, assets), TASK, "left")
+    return readiness_of(task_summary(tasks), missing_assets(tasks, assets), min_test_slides)
+
+
+def readiness_of(summary: DataFrame, missing: DataFrame, min_test_slides: int = 5) -> DataFrame:
+    d = summary.join(missing, TASK, "left")
     d = d.na.fill(0, ["n_asset_paths_checked", "n_missing_asset_paths"]).withColumn("assets_ready", F.coalesce("assets_ready", F.lit(True)))
     d = d.withColumn("ready_for_training", F.col("has_train_val_test") & F.col("assets_ready"))
     d = d.withColumn("passes_min_test_slides", F.col("n_test_slides") >= min_test_slides)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spotweave.functions.moments import metric_columns
 from spotweave.operators import baselines as bl
 from spotweave.operators import composition as comp
-from spotweave.operators import evaluate, genesets, marts as op, spatial, splits, states
+from spotweave.operators import evaluate, genesets, heldout, marts as op, spatial, splits, states
 from spotweave.operators.ordering import group_quantile
 from spotweave.plans import q_genesets as qg
 from spotweave.plans import q_models as qm
@@ -16,7 +16,6 @@ from spotweave.plans.base_sql import PEARSON, define, sums
 from spotweave.plans.q_baselines import _sums
 from spotweave.plans.q_evaluate import _ABL_SUMMARY
 from spotweave.plans.q_sources import formal_rows
-from spotweave.plans.q_splits import split_rows
 from spotweave.plans.registry import query
 from spotweave.session import materialise
 from spotweave.sources.views import Views
@@ -91,8 +90,29 @@ def _(v: Views):
     return op.crosstab(v.samples, "organ", "split", ["train", "val", "test"])
 
 
-def _tasks(v: Views):
-    return materialise(splits.task_samples(v.samples.select("sample_id", "organ", "cohort"), split_rows(v)))
+HELD_OUT = {"leave_organ_out": "organ", "leave_cohort_out": "cohort"}
+
+
+def _task_tables(v: Views):
+    """The samples of the one task that has a split of its own; all samples; the tasks of held-out labels."""
+    samples = materialise(v.samples.select("sample_id", "organ", "cohort"))
+    return splits.task_samples(samples, splits.leave_slide_out(samples)), samples, materialise(heldout.label_tasks(samples, HELD_OUT))
+
+
+def task_summary(v: Views, tables=None):
+    one, samples, tasks = tables or _task_tables(v)
+    return op.task_summary(one).unionByName(heldout.summary(samples, tasks, HELD_OUT))
+
+
+def task_assets(v: Views, tables=None):
+    one, samples, tasks = tables or _task_tables(v)
+    a = sample_assets(v)
+    return op.missing_assets(one, a).unionByName(heldout.assets_of_all(samples, tasks, a))
+
+
+def readiness(v: Views):
+    tables = _task_tables(v)
+    return op.readiness_of(task_summary(v, tables), task_assets(v, tables), 2)
 
 
 _names = lambda s, c: f"coalesce(string_agg(DISTINCT {c}, '|' ORDER BY {c}) FILTER (t.split = '{s}'), '')"
@@ -121,23 +141,23 @@ define(
 
 @query("R4_task_summary", "SELECT * FROM task_summary")
 def _(v: Views):
-    return op.task_summary(_tasks(v))
+    return task_summary(v)
 
 
 @query("R5_missing_assets", "SELECT * FROM task_assets")
 def _(v: Views):
-    return op.missing_assets(_tasks(v), sample_assets(v))
+    return task_assets(v)
 
 
 def ready_tasks(v: Views):
     if not hasattr(v, "_ready"):
-        v._ready = materialise(op.readiness(_tasks(v), sample_assets(v), 2))
+        v._ready = materialise(readiness(v))
     return v._ready
 
 
 @query("R6_readiness_audit", "SELECT * FROM ready_tasks")
 def _(v: Views):
-    return op.readiness(_tasks(v), sample_assets(v), 2)
+    return readiness(v)
 
 
 @query(
