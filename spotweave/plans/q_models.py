@@ -372,13 +372,15 @@ def _(v: Views):
 # --- streams -----------------------------------------------------------------------------------------------------------
 
 
-def _event_state(v: Views):
+def _event_state(v: Views, labelled: bool = False):
     schema = v.table("events").schema
     s = accumulators.read_pairs_stream(v.spark, v.path, schema, "events.parquet")
     pairs = s.select(
         F.col("user_id").cast("string").alias("sample_id"), F.col("event_type").alias("gene"), F.col("value").alias("pred"),
         F.get_json_object("props", "$.k").cast("double").alias("true"),
     )
+    if labelled:
+        return accumulators.accumulate_stream(accumulators.with_labels(pairs, v.samples, ["organ"]), [*accumulators.KEYS, "organ"])
     return accumulators.accumulate_stream(pairs)
 
 
@@ -402,3 +404,20 @@ UNION ALL SELECT 'slide', NULL, sample_id, {metrics('n_values')} FROM (SELECT sa
 )
 def _(v: Views):
     return accumulators.level_metrics_of(_event_state(v))
+
+
+_EVENT_LEVELS = {"overall": None, "gene": "gene", "slide": "sample_id", "organ": "organ"}
+
+
+@query(
+    "T2_stream_organ_levels",
+    "WITH e AS (SELECT event_pairs.*, organ FROM event_pairs LEFT JOIN samples USING (sample_id)) "
+    + " UNION ALL ".join(
+        f"SELECT '{level}' AS level, {', '.join(c if c == by else f'NULL AS {c}' for c in ('gene', 'sample_id', 'organ'))}, {metrics('n_values')} "
+        f"FROM (SELECT {f'{by}, ' if by else ''}{sums()} FROM e {'WHERE organ IS NOT NULL' if by == 'organ' else ''} {f'GROUP BY {by}' if by else ''})"
+        for level, by in _EVENT_LEVELS.items()
+    ),
+    METRIC_DOUBLES,
+)
+def _(v: Views):
+    return accumulators.level_metrics_of(_event_state(v, labelled=True))
