@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spotweave.functions.moments import SUMS, merged_sums, metric_columns
 from spotweave.functions.scalars import rate_of
 from spotweave.operators.evaluate import gene_summary, level_metrics
-from spotweave.operators.ordering import group_quantile
+from spotweave.operators.ordering import group_quantile, row_number
 from spotweave.operators.sizefactor import SAMPLE, SPOT
 from spotweave.session import materialise
 
@@ -178,17 +178,14 @@ def overlay_genes(per_gene: DataFrame, max_genes: int = 6, metric: str = "pearso
     ok = per_gene.filter(F.col(metric).isNotNull() & (F.col("n_obs") >= min_obs) & (F.col("true_std") > 0))
     flags = ok.agg(F.count(F.when(F.col("gene_class") != "other", 1)).alias("_markers"))
     ok = ok.crossJoin(F.broadcast(flags)).filter("_markers < 3 OR gene_class <> 'other'")
-    packed = ok.agg(F.array_sort(F.collect_list(F.struct(F.col(metric).alias("m"), "gene", "gene_class"))).alias("a"))
-    rows = packed.select(F.size("a").alias("n"), F.posexplode("a").alias("i", "s")).select("n", "i", "s.*")
-    n, i = F.col("n"), F.col("i")
-    reasons = F.array_compact(
-        F.array(
-            F.when(i < 2, F.struct(i.cast("long").alias("_at"), F.lit("poor").alias("selection_reason"))),
-            F.when(i == F.floor(n / 2), F.struct(F.lit(2).cast("long").alias("_at"), F.lit("median").alias("selection_reason"))),
-            F.when(i >= n - 3, F.struct((n - i + 2).cast("long").alias("_at"), F.lit("good").alias("selection_reason"))),
-        )
-    )
-    picks = rows.select("gene", "gene_class", F.col("m").alias(metric), F.explode(reasons).alias("r")).select("gene", "gene_class", metric, "r.*")
+    ok = ok.select("gene", "gene_class", F.col(metric).alias("m"))
+    n = ok.agg(F.count(F.lit(1)).alias("n"))
+    place = lambda d, at, reason: d.select("gene", "gene_class", F.col("m").alias(metric), at.cast("long").alias("_at"), F.lit(reason).alias("selection_reason"))
+    by = Window.orderBy("_o")
+    low = ok.withColumn("_o", F.struct("m", "gene", "gene_class")).orderBy("_o").limit(2).withColumn("_r", F.row_number().over(by))  # few rows
+    high = ok.withColumn("_o", F.struct("m", "gene", "gene_class")).orderBy(F.desc("_o")).limit(3).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("_o"))))
+    middle = row_number(ok, [], [F.col("m"), F.col("gene"), F.col("gene_class")], "_r").crossJoin(n).filter(F.col("_r") - 1 == F.floor(F.col("n") / 2))
+    picks = place(low, F.col("_r") - 1, "poor").unionByName(place(middle, F.lit(2), "median")).unionByName(place(high, F.col("_r") + 2, "good"))
     chosen = _distinct_by_priority(picks, "gene", max_genes)
     return chosen.select("gene", "selection_reason").join(picks.select("gene", "gene_class", metric).distinct(), "gene")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spotweave.functions.moments import (
+    SUMS,
     merged_sums,
     metric_columns,
     pearson_of_sums,
@@ -240,3 +241,39 @@ def partial_gene_pearson(pairs: DataFrame, covariate: str) -> DataFrame:
     rest = (F.lit(1.0) - pc * pc) * (F.lit(1.0) - tc * tc)
     value = (F.col("pt") - pc * tc) / F.sqrt(rest)
     return one.select("gene", "n_obs", F.when((F.col("n_obs") >= 3) & (rest > 1.0e-12), value).alias("partial_pearson"))
+
+
+BUNDLE_PAIRS = {
+    "rate": ("pred_rate", "true_rate"), "count_no_sf": ("pred_count_no_sf", "true_count"), "count_pred_sf": ("pred_count", "true_count"),
+    "count_oracle_sf": ("pred_count_oracle_sf", "true_count"),
+}
+
+
+def bundle_gene_metrics(bundle: DataFrame) -> DataFrame:
+    """Per gene of a prediction bundle: the correlation of every kind of prediction, and mean and variance of true and predicted counts."""
+    out = sum_pairs(bundle, ["gene"], {f"{k}_": pair for k, pair in BUNDLE_PAIRS.items()})
+    for k in BUNDLE_PAIRS:
+        m = out.withColumnsRenamed({f"{k}_{c}": c for c in SUMS}).select("*", *metric_columns("n_obs", prefix="_"))
+        out = m.withColumnRenamed("_pearson", f"{k}_pearson")
+        if k == "count_pred_sf":
+            out = out.withColumns({f"{side}_mean_count": F.col(f"_{side}_mean") for side in ("true", "pred")})
+            out = out.withColumns({f"{side}_var_count": F.pow(F.col(f"_{side}_std"), 2) for side in ("true", "pred")})
+        out = out.drop(*SUMS, *[c for c in out.columns if c.startswith("_")])
+    return out
+
+
+def bundle_metrics(bundle: DataFrame, gene_metrics_: DataFrame) -> DataFrame:
+    """(part, metric, value) of a bundle: its size, the size-factor metrics over its spots and the summary over genes per kind."""
+    from spotweave.operators.sfmetrics import METRICS, sf_metrics
+
+    def long(d: DataFrame, part: str, names: list[str]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+        return d.select(F.explode(pairs).alias("p")).select(F.lit(part).alias("part"), "p.*")
+
+    spots = bundle.select("sample_id", "spot_id", "pred_sf", "true_sf").distinct()
+    logs = spots.select(F.log(F.col("pred_sf") + 1.0e-8).alias("pred_log_sf"), F.log(F.col("true_sf") + 1.0e-8).alias("true_log_sf"))
+    size = spots.agg(F.count(F.lit(1)).alias("n_spots")).crossJoin(gene_metrics_.agg(F.count(F.lit(1)).alias("n_genes")))  # one row each
+    out = long(size, "bundle", ["n_spots", "n_genes"]).unionByName(long(sf_metrics(logs, []), "sf", list(METRICS)))
+    for k in BUNDLE_PAIRS:
+        out = out.unionByName(long(gene_summary(gene_metrics_, metric=f"{k}_pearson"), k, ["mean_gene_pearson", "median_gene_pearson", "valid_genes"]))
+    return out

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotweave.operators import align, cohort, evaluate, generalization, sizefactor
-from spotweave.plans.base_sql import define
+from spotweave.plans.base_sql import PEARSON, define, sums
 from spotweave.plans.q_models import LEAVE_OUT_ALL, gene_rows
+from spotweave.plans.q_sfmetrics import SF, sf_sql
 from spotweave.plans.q_splits import split_rows
 from spotweave.plans.registry import query
+from spotweave.session import materialise
 from spotweave.sources import assets, tables
 from spotweave.sources.views import Views, gene_set_table, GENE_SETS
 
@@ -180,15 +182,16 @@ def _(v: Views):
     return assets.conversion_report(v.st_barcodes, v.patch_barcodes, totals, 0.3)
 
 
-@query(
-    "S13_prediction_bundle",
+define(
+    "bundle",
     """WITH s AS (SELECT sample_id, spot_id, sf / ((SELECT avg(sf) FROM pred_log_sf) + 1e-8) AS true_sf, exp(pred_log_sf_raw) / ((SELECT avg(exp(pred_log_sf_raw)) FROM pred_log_sf) + 1e-8) AS pred_sf FROM pred_log_sf)
 SELECT a.sample_id, a.spot_id, a.gene, a.pred_rate, s.pred_sf, ln(s.pred_sf + 1e-8) AS pred_log_sf, a.pred_rate * s.pred_sf AS pred_count, a.pred_rate AS pred_count_no_sf,
   a.pred_rate * s.true_sf AS pred_count_oracle_sf, a.true_count, a.true_count / greatest(s.true_sf, 1e-6) AS true_rate, s.true_sf
 FROM ablation_cells a JOIN s USING (sample_id, spot_id)""",
-    "pred_rate pred_sf pred_log_sf pred_count pred_count_no_sf pred_count_oracle_sf true_rate true_sf",
 )
-def _(v: Views):
+
+
+def bundle(v: Views):
     one = sizefactor.normalise_predicted(v.pred_log_sf, scope=[], out="pred_sf").withColumn("_log", F.log("sf"))
     one = sizefactor.normalise_predicted(one, "_log", scope=[], out="true_sf").select("sample_id", "spot_id", "pred_sf", "true_sf")
     d = v.ablation_cells.drop("pred_sf").join(one, ["sample_id", "spot_id"])
@@ -200,6 +203,43 @@ def _(v: Views):
     )
 
 
+@query(
+    "S13_prediction_bundle", "SELECT * FROM bundle",
+    "pred_rate pred_sf pred_log_sf pred_count pred_count_no_sf pred_count_oracle_sf true_rate true_sf",
+)
+def _(v: Views):
+    return bundle(v)
+
+
+_BUNDLE_R = {k: f"(SELECT gene, {PEARSON} AS {k}_pearson FROM (SELECT gene, {sums(p, t)} FROM bundle GROUP BY gene))" for k, (p, t) in evaluate.BUNDLE_PAIRS.items()}
+define(
+    "bundle_genes",
+    "SELECT * FROM (SELECT gene, avg(true_count) AS true_mean_count, avg(pred_count) AS pred_mean_count, var_pop(true_count) AS true_var_count, var_pop(pred_count) AS pred_var_count FROM bundle GROUP BY gene) "
+    + " ".join(f"JOIN {q} USING (gene)" for q in _BUNDLE_R.values()),
+)
+define("bundle_spots", "SELECT DISTINCT 1 AS one, sample_id, spot_id, ln(pred_sf + 1e-8) AS pred_log_sf, ln(true_sf + 1e-8) AS true_log_sf FROM bundle")
+
+
+@query("S13_bundle_gene_metrics", "SELECT * FROM bundle_genes", "true_mean_count pred_mean_count true_var_count pred_var_count " + " ".join(f"{k}_pearson" for k in _BUNDLE_R))
+def _(v: Views):
+    return evaluate.bundle_gene_metrics(bundle(v))
+
+
+@query(
+    "S13_bundle_metrics",
+    "SELECT 'bundle' AS part, 'n_spots' AS metric, cast(count(*) AS double) AS value FROM bundle_spots UNION ALL SELECT 'bundle', 'n_genes', count(*) FROM bundle_genes"
+    + "".join(f" UNION ALL SELECT 'sf', '{m}', {m} FROM ({sf_sql('one', 'bundle_spots')})" for m in SF.split())
+    + "".join(
+        f" UNION ALL SELECT '{k}', '{m}', {f} FROM bundle_genes" for k in _BUNDLE_R
+        for m, f in (("mean_gene_pearson", f"avg({k}_pearson)"), ("median_gene_pearson", f"median({k}_pearson)"), ("valid_genes", f"count({k}_pearson)"))
+    ),
+    "value",
+)
+def _(v: Views):
+    d = materialise(bundle(v))
+    return evaluate.bundle_metrics(d, materialise(evaluate.bundle_gene_metrics(d)))
+
+
 _HELD = " UNION ALL ".join(
     f"""SELECT 'leave_{key}_out' AS split_type, h AS heldout, s AS stage,
   CASE WHEN h NOT IN (SELECT {key} FROM gene_base) THEN 'missing_rows' WHEN metric IS NULL THEN 'missing_model' ELSE 'ok' END AS status, value
