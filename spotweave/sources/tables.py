@@ -88,12 +88,17 @@ def selected_genes(spark: SparkSession, names_path: str | None = None, indices_p
 
 
 def read_gene_sets(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(signature, gene, position); built-in sets without a path."""
+    """(signature, gene, position in the file or files, from 0); built-in sets without a path."""
     if path is None:
         rows = [(s, g, i) for s, genes in DEFAULT_GENE_SETS.items() for i, g in enumerate(genes)]
         return spark.createDataFrame(rows, "signature string, gene string, position int")
+    from spotweave.operators.ordering import row_number
+
     d = read_csv(spark, path, ["signature", "gene"], "gene-set table")
-    return require_rows(clean_gene_sets(d.withColumn("position", F.monotonically_increasing_id())), f"no gene sets in {path}")
+    # A block of a file is read in order by one task; the order of blocks is that of the files, however they are dealt over tasks.
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    d = row_number(d.withColumn("_place", place), [], [F.col("_place")], "position").withColumn("position", F.col("position") - 1).drop("_place")
+    return require_rows(clean_gene_sets(d), f"no gene sets in {path}")
 
 
 def clean_gene_sets(d: DataFrame) -> DataFrame:

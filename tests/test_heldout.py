@@ -102,3 +102,17 @@ def test_results_mart_keeps_finished_tasks(spark, tmp_path, monkeypatch):
         generalization.run_tasks(df, genes, tasks, labels, path)
     left = status(generalization.read_results(spark, path))
     assert left["nowhere", "sf"] == "error" and left["a", "sf"] == "ok" and left["b", "combined"] == "ok"
+
+
+def test_gene_set_positions_follow_the_file(spark, tmp_path):
+    from spotweave.sources import tables
+
+    lines = [f"set{i % 3},g{i}" for i in range(500)]
+    (tmp_path / "sets.csv").write_text("signature,gene\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")  # many blocks of one file
+    try:
+        got = {(r.signature, r.gene): r.position for r in tables.read_gene_sets(spark, f"{tmp_path}/sets.csv").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {tuple(line.split(",")): i for i, line in enumerate(lines)}
