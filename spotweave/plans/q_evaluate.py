@@ -63,9 +63,11 @@ SELECT * FROM b UNION ALL SELECT 'summary', 'all', count(a), avg(a), quantile_co
 """
 
 
-@query("E4_bundle_evaluation", _BUNDLE.format(p=PEARSON, s=sums()), "a b")
-def _(v: Views):
-    m = op.evaluate_bundle(v.eval_cells, v.samples, "log1p_count", ["test"])
+BUNDLE_SQL = _BUNDLE.format(p=PEARSON, s=sums())
+
+
+def bundle_rows(m: dict):
+    """The marts of a bundle in one table."""
     row = lambda mart, key, n, a, b: [F.lit(mart).alias("mart"), F.col(key).alias("key"), F.col(n).alias("n"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")]
     levels = m["levels"].withColumn("key", F.coalesce("sample_id", "organ", "split"))
     return (
@@ -76,6 +78,11 @@ def _(v: Views):
     )
 
 
+@query("E4_bundle_evaluation", BUNDLE_SQL, "a b")
+def _(v: Views):
+    return bundle_rows(op.evaluate_bundle(v.eval_cells, v.samples, "log1p_count", ["test"]))
+
+
 @query(
     "E4_oracle_mode",
     """SELECT gene, count(*) AS n_obs, CASE WHEN count(*) >= 3 AND var_pop(true_) > 0 THEN 1.0 END AS pearson, 0.0 AS mae

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spotweave.operators import align, cohort, evaluate, generalization, sizefactor
 from spotweave.plans.base_sql import PEARSON, define, sums
+from spotweave.plans.q_evaluate import BUNDLE_SQL, bundle_rows
 from spotweave.plans.q_models import LEAVE_OUT_ALL, gene_rows
 from spotweave.plans.q_sfmetrics import SF, sf_sql
 from spotweave.plans.q_splits import split_rows
@@ -301,6 +302,13 @@ def _(v: Views):
     return out
 
 
+@query("S16_metric_values", BUNDLE_SQL, "a b")
+def _(v: Views):
+    """The values of all marts, written to folders and read back."""
+    paths = tables.write_marts(evaluate.evaluate_bundle(v.eval_cells, v.samples, "log1p_count", ["test"]), tables.scratch_path(v.spark, "marts"))
+    return bundle_rows({name: v.spark.read.parquet(path) for name, path in paths.items()})
+
+
 _STATUS = """SELECT p.sample_id, p.path, p.asset_group, size_bytes AS expected_bytes, coalesce(actual_bytes, 0) AS actual_bytes,
   greatest(size_bytes - coalesce(actual_bytes, 0), 0) AS remaining_bytes, CASE WHEN actual_bytes IS NULL THEN 'missing' WHEN actual_bytes = size_bytes THEN 'complete' ELSE 'size_mismatch' END AS status,
   actual_bytes IS NOT NULL AS already_downloaded FROM asset_plan p LEFT JOIN asset_listing USING (path)"""
