@@ -67,7 +67,7 @@ def test_one_bad_label_never_blocks_and_forty_do(spark, level, bad, verdict):
 
 def test_url_query_matches_sql(spark):
     con = duckdb.connect()
-    for t in ("pages", "labels", "documents"):
+    for t in ("pages", "labels", "documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{PATH}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         cur = con.execute(sql)
