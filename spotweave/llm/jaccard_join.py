@@ -8,10 +8,11 @@ a document with more of them than its prefix is long has no partner at all and l
 1. One scan turns texts into tokens. Tokens travel as packed blocks per shard (six bytes a token and a reference to the document), and
    identical sets inside a batch once. A shard counts documents per token and gives out the tokens of two or more documents.
 2. Identical sets are one class. A class keeps its shared tokens, in which every overlap can be counted.
-3. Classes meet in the buckets of their prefix tokens of the first order. In rounds, one hub per bucket meets one member of every
-   other component in it; links found merge components, so large groups of near copies cost one comparison each and not all pairs.
-   When a round finds no link, the pairs of a bucket that still lie in different components are compared, all of them. Every pair
-   first passes the size filter, then the prefix filters of the other orders, then the exact count.
+3. Classes meet in the buckets of their prefix tokens of the first order. In rounds, one member of every component in a bucket meets a
+   few members, drawn anew each round, of the largest component; links merge components, so large groups of near copies cost a few
+   comparisons each and not all pairs. When links have become rare, the pairs of a bucket that still lie in different components are
+   compared, all of them. Every pair first passes the size filter, then the prefix filters of the other orders, which are intersected
+   before the sets themselves are read, then the exact count.
 4. Components are found by shrinking the graph of links, label by label.
 """
 
@@ -31,9 +32,11 @@ from spotweave.session import materialise
 
 WORDS = 5
 PERCENT = 75
-SHARD_BYTES = 16 << 20  # text bytes that fill one shard, about two million tokens
+SHARD_BYTES = 8 << 20  # text bytes that fill one shard, about a million tokens
 BLOCK_TOKENS = 500_000  # tokens that a scan task holds at a time
-ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # seeds of the hash orders
+ORDERS = (17, 91)  # seeds of the hash orders
+HUBS = 8  # members of the largest component of a bucket that the other components meet in a round
+RARE = 20  # rounds end when, twice in a row, less than one comparison in so many is a link
 _SCHEMA = "shard int, pack int, docs binary, tokens binary, refs binary"
 
 
@@ -130,29 +133,30 @@ def _pack(shards: int, words: int):
 _FOUND = "kind int, doc_id long, d1 long, d2 long, n long, token long, df int"
 
 
-def _count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+def _count(key: tuple, blocks: pa.Table) -> pa.Table:
     """A shard: the tokens of two or more documents with their document counts. Blocks of document rows are unpacked."""
-    if key[0] < 0:
-        t = np.concatenate([np.frombuffer(x, dtype=_ROW) for x in frame["docs"]])
-        ids = pd.array(t["id"], dtype="Int64")
-        ids[~t["ok"]] = pd.NA
-        return pd.DataFrame({"kind": 0, "doc_id": ids, "d1": t["d1"], "d2": t["d2"], "n": t["n"], "token": 0, "df": 0})
-    tokens, docs = [], []
-    for block in frame.itertuples(index=False):
-        low = np.zeros((len(block.tokens) // 6, 8), dtype=np.uint8)
-        low[:, :6] = np.frombuffer(block.tokens, dtype=np.uint8).reshape(-1, 6)
-        tokens.append(low.view("<u8").ravel())
-        docs.append(np.frombuffer(block.docs, dtype=np.int64)[np.frombuffer(block.refs, dtype=np.uint16)])
-    tok, doc = np.concatenate(tokens), np.concatenate(docs)
+    shard = key[0].as_py()
+    if shard < 0:
+        t = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_ROW) for x in blocks["docs"]])
+        return _found(0, pa.array(t["id"], mask=~t["ok"]), t["d1"], t["d2"], t["n"], np.zeros(len(t), dtype=np.int64), np.zeros(len(t), dtype=np.int32))
+    ends = np.cumsum([len(x.as_buffer()) // 6 for x in blocks["tokens"]])
+    tok, doc = np.zeros(ends[-1], dtype="<u8"), np.empty(ends[-1], dtype=np.int64)
+    low, start = tok.view(np.uint8).reshape(-1, 8), 0
+    for end, tokens, docs, refs in zip(ends, blocks["tokens"], blocks["docs"], blocks["refs"]):
+        low[start:end, :6] = np.frombuffer(tokens.as_buffer(), dtype=np.uint8).reshape(-1, 6)
+        doc[start:end] = np.frombuffer(docs.as_buffer(), dtype=np.int64)[np.frombuffer(refs.as_buffer(), dtype=np.uint16)]
+        start = end
     order = np.argsort(tok, kind="stable")
     tok = tok[order]
     same = tok[1:] == tok[:-1]
     twice = np.zeros(len(tok), dtype=bool)
     twice[1:] |= same
     twice[:-1] |= same
-    tok, doc = tok[twice], doc[order[twice]]  # order is a new array, so the rest is freed
+    tok, doc = tok[twice], doc[order[twice]]
+    del order, low, same, twice
     order = np.lexsort((doc, tok))
     tok, doc = tok[order], doc[order]
+    df = np.empty(0, dtype=np.int64)
     if len(tok):
         new = np.ones(len(tok), dtype=bool)
         new[1:] = (tok[1:] != tok[:-1]) | (doc[1:] != doc[:-1])
@@ -160,10 +164,14 @@ def _count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         _, at, df = np.unique(tok, return_inverse=True, return_counts=True)
         df = df[at]
         tok, doc, df = tok[df > 1], doc[df > 1], df[df > 1]
-    else:
-        df = np.empty(0, dtype=np.int64)
-    base = np.uint64((key[0] * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) if key[0] >> 16 else np.uint64(key[0] << 48)
-    return pd.DataFrame({"kind": 1, "doc_id": pd.array([pd.NA] * len(tok), dtype="Int64"), "d1": doc, "d2": 0, "n": 0, "token": (tok + base).view(np.int64), "df": df})
+    base = np.uint64((shard * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) if shard >> 16 else np.uint64(shard << 48)
+    zero = np.zeros(len(tok), dtype=np.int64)
+    return _found(1, pa.nulls(len(tok), pa.int64()), doc, zero, zero, (tok + base).view(np.int64), df.astype(np.int32))
+
+
+def _found(kind: int, ids: pa.Array, *columns: np.ndarray) -> pa.Table:
+    kinds = pa.array(np.full(len(ids), kind, dtype=np.int32))
+    return pa.table([kinds, ids, *map(pa.array, columns)], names=["kind", "doc_id", "d1", "d2", "n", "token", "df"])
 
 
 def need(n_small: Column, n_large: Column, percent: int) -> Column:
@@ -175,23 +183,19 @@ def prefix_length(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100) + 1
 
 
-def _verify(percent: int):
-    """Rows (a, na, ta, b, nb, tb) to links (a, b). `ta`, `tb`: shared tokens in the first order, rarest first."""
-    seeds = [np.uint64(s) for s in ORDERS]
+def _other_orders(sets: DataFrame, percent: int) -> DataFrame:
+    """`sets` (node, n, tokens) with o0, o1, ...: the prefix under each hash order. Tokens of one document come first in every order."""
+    long_ = (prefix_length(F.col("n"), percent) - (F.col("n") - F.size("tokens"))).cast("int")
+    hashed = lambda seed: F.sort_array(F.transform("tokens", lambda t: F.xxhash64(F.lit(seed), t)))
+    return sets.select("*", *[F.slice(hashed(seed), F.lit(1), long_).alias(f"o{k}") for k, seed in enumerate(ORDERS)])
 
-    def prefix(t: np.ndarray, n: int, seed: np.uint64) -> np.ndarray:
-        p = n - -(-n * percent // 100) + 1 - (n - len(t))  # unshared tokens come first in every order
-        h = _mix(t.view(np.uint64) ^ seed)
-        return h if p >= len(h) else np.partition(h, p - 1)[:p]
+
+def _overlap(percent: int):
+    """Rows (a, na, ta, b, nb, tb) to links (a, b), by the exact count of shared tokens."""
 
     def similar(na: int, ta: np.ndarray, nb: int, tb: np.ndarray) -> bool:
         least = -(-(na + nb) * percent // (100 + percent))
-        if min(len(ta), len(tb)) < least:
-            return False
-        for seed in seeds:
-            if not len(np.intersect1d(prefix(ta, na, seed), prefix(tb, nb, seed))):
-                return False
-        return len(np.intersect1d(ta, tb, assume_unique=True)) >= least
+        return min(len(ta), len(tb)) >= least and len(np.intersect1d(ta, tb, assume_unique=True)) >= least
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
@@ -202,10 +206,16 @@ def _verify(percent: int):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that hold."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").mapInPandas(_verify(percent), "a long, b long")
+    """The pairs (a, b) that hold. The prefixes of the other orders are intersected first; whole sets are joined to what is left."""
+    orders = [f"o{k}" for k in range(len(ORDERS))]
+    side = lambda c, cols: sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols])
+    left = pairs.join(side("a", orders), "a").join(side("b", orders), "b")
+    for o in orders:
+        left = left.filter(F.arrays_overlap(f"{o}_a", f"{o}_b"))
+    whole = left.select("a", "b").join(side("a", ["n", "tokens"]), "a").join(side("b", ["n", "tokens"]), "b")
+    return whole.select("a", F.col("n_a").alias("na"), F.col("tokens_a").alias("ta"), "b", F.col("n_b").alias("nb"), F.col("tokens_b").alias("tb")).mapInPandas(
+        _overlap(percent), "a long, b long"
+    )
 
 
 def _stored(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
@@ -244,6 +254,40 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _round(placed: DataFrame, percent: int, k: int) -> DataFrame:
+    """(a, b): what the components of each bucket compare in round `k`.
+
+    A bucket is dealt by size, so that all sizes in a class may be linked; the borders of the classes shift every other round. One
+    member of each component meets up to `HUBS` members of the largest one. Members are drawn by a hash that changes by round.
+    """
+    group = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + F.lit(k % 2 / 2)) if percent < 100 else F.col("n")
+    drawn = placed.select("token", group.alias("size"), "comp", F.struct(F.xxhash64(F.lit(k), "node").alias("at"), "node", "n", "rest").alias("m"))
+    keys = ["token", "size"]
+    some = drawn.groupBy(*keys, "comp", F.pmod("m.at", F.lit(HUBS)).alias("slot")).agg(F.min("m").alias("m"), F.count(F.lit(1)).alias("members"))
+    one = some.groupBy(*keys, "comp").agg(F.min("m").alias("m"), F.sum("members").alias("members"))
+    largest = one.groupBy(*keys).agg(F.max(F.struct("members", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    largest = largest.select(*keys, F.col("top.comp").alias("hub"))
+    hubs = some.join(largest, keys).filter("comp = hub").select(*keys, "hub", F.col("m").alias("y"))
+    met = one.select(*keys, "comp", F.col("m").alias("x")).join(hubs, keys).filter("comp <> hub")
+    return met.filter(_fits("x", "y", percent)).select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
+
+
+def _fits(x: str, y: str, percent: int) -> Column:
+    """Neither the sizes nor what is left of the sets from this token on rule a link out."""
+    n = [F.col(f"{x}.n"), F.col(f"{y}.n")]
+    rest = F.least(F.col(f"{x}.rest"), F.col(f"{y}.rest"))
+    return (100 * F.least(*n) >= percent * F.greatest(*n)) & (rest * (100 + percent) >= percent * (n[0] + n[1]))
+
+
+def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of a bucket that lie in different components."""
+    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    rows = materialise(placed.join(open_, "token", "left_semi"))
+    x, y = rows.alias("x"), rows.alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & _fits("x", "y", percent)
+    return x.join(y, on).select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
+
+
 def similar_sets(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, comp) for the nodes of `sets` (node, n, tokens). `buckets` has token, node, n, rest: rows per prefix token.
 
@@ -251,28 +295,15 @@ def similar_sets(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     Every pair of a bucket ends in one component or has been compared.
     """
     nodes = materialise(sets.select("node").distinct())
+    sets = materialise(_other_orders(sets.join(buckets.select("node").distinct(), "node", "left_semi"), percent))
     compared: DataFrame | None = None
     comp = nodes.withColumn("comp", F.col("node"))
-    size = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    enough = lambda x, y: F.least(F.col(f"{x}.rest"), F.col(f"{y}.rest")) * (100 + percent) >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))
-    exhaustive = False
+    k = quiet = 0
     while True:
+        exhaustive = quiet > 1
         placed = buckets.join(comp, "node")
-        if exhaustive:
-            # only buckets with several components, and only members of different ones
-            open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-            rows = materialise(placed.join(open_, "token", "left_semi"))
-            x, y = rows.alias("x"), rows.alias("y")
-            on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & size(F.col("x.n"), F.col("y.n")) & enough("x", "y")
-            pairs = x.join(y, on).select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
-        else:
-            member = placed.groupBy("token", "comp").agg(F.min(F.struct("n", "node", "rest")).alias("m"))
-            hubs = member.groupBy("token").agg(F.min(F.struct("m.n", "m.node", "comp", "m.rest")).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-            met = member.join(hubs, "token").filter("comp <> hub.comp").select(F.col("m").alias("x"), F.col("hub").alias("y"))
-            met = met.filter(size(F.col("x.n"), F.col("y.n")) & enough("x", "y"))
-            pairs = met.select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
-        pairs, tried = _stored(pairs)  # distinct first: a pair meets in many tokens
-        if compared is not None:
+        pairs, tried = _stored(_open_pairs(placed, percent) if exhaustive else _round(placed, percent, k))  # distinct first: a pair meets in many tokens
+        if compared is not None and tried:
             pairs, tried = _stored(pairs.join(compared, ["a", "b"], "left_anti"))
         compared = pairs if compared is None else compared.union(pairs)
         found, held = _stored(_links(pairs, sets, percent)) if tried else (None, 0)
@@ -282,7 +313,7 @@ def similar_sets(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             comp = materialise(comp.withColumnRenamed("comp", "old").join(joined.select(F.col("node").alias("old"), "comp"), "old").select("node", "comp"))
         if exhaustive:
             return comp
-        exhaustive = not held
+        k, quiet = k + 1, quiet + 1 if held * RARE <= tried else 0
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,7 +327,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     total = d.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0]
     shards = max(64, -(-total // SHARD_BYTES))
     packed = d.mapInArrow(_pack(int(shards), words), _SCHEMA)
-    found = materialise(packed.groupBy("shard").applyInPandas(_count, _FOUND))
+    found = materialise(packed.groupBy("shard").applyInArrow(_count, _FOUND))
     rows = found.filter("kind = 0").select("doc_id", "d1", "d2", "n")
     classes = materialise(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node")))
     shared = found.filter("kind = 1").groupBy("d1").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
