@@ -279,11 +279,16 @@ def _fits(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(*n) >= percent * F.greatest(*n)) & (rest * (100 + percent) >= percent * (n[0] + n[1]))
 
 
+def _open_rows(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of buckets with members of different components, with comp. A bucket that is closed never opens again."""
+    placed = buckets.join(comp, "node")
+    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    return materialise(placed.join(open_, "token", "left_semi"))
+
+
 def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of a bucket that lie in different components."""
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    rows = materialise(placed.join(open_, "token", "left_semi"))
-    x, y = rows.alias("x"), rows.alias("y")
+    x, y = placed.alias("x"), placed.alias("y")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & _fits("x", "y", percent)
     return x.join(y, on).select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
 
@@ -298,10 +303,10 @@ def similar_sets(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     sets = materialise(_other_orders(sets.join(buckets.select("node").distinct(), "node", "left_semi"), percent))
     compared: DataFrame | None = None
     comp = nodes.withColumn("comp", F.col("node"))
+    placed = buckets.withColumn("comp", F.col("node"))
     k = quiet = 0
     while True:
         exhaustive = quiet > 1
-        placed = buckets.join(comp, "node")
         pairs, tried = _stored(_open_pairs(placed, percent) if exhaustive else _round(placed, percent, k))  # distinct first: a pair meets in many tokens
         if compared is not None and tried:
             pairs, tried = _stored(pairs.join(compared, ["a", "b"], "left_anti"))
@@ -313,6 +318,8 @@ def similar_sets(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             comp = materialise(comp.withColumnRenamed("comp", "old").join(joined.select(F.col("node").alias("old"), "comp"), "old").select("node", "comp"))
         if exhaustive:
             return comp
+        if held:
+            placed = _open_rows(placed.drop("comp"), comp)
         k, quiet = k + 1, quiet + 1 if held * RARE <= tried else 0
 
 
