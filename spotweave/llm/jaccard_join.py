@@ -36,6 +36,7 @@ SHARD_BYTES = 8 << 20  # text bytes that fill one shard, about a million tokens
 BLOCK_TOKENS = 500_000  # tokens that a scan task holds at a time
 ORDERS = (17, 91)  # seeds of the hash orders
 HUBS = 8  # members of the largest component of a bucket that the other components meet in a round
+BROADCAST_PAIRS = 200_000  # pairs whose ends (two longs each) are broadcast to pick their sets; more are shuffled, with the same rows
 RARE = 20  # rounds end when, twice in a row, less than one comparison in so many is a link
 _SCHEMA = "shard int, pack int, docs binary, tokens binary, refs binary"
 
@@ -205,8 +206,12 @@ def _overlap(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that hold. The prefixes of the other orders are intersected first; whole sets are joined to what is left."""
+def _links(pairs: DataFrame, tried: int, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that hold, of `tried` ones. The prefixes of the other orders are intersected first; whole sets are joined to
+    what is left. Only the sets of a pair are shuffled: late rounds have few pairs, and the optimizer takes their joins for large.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    sets = sets.join(F.broadcast(ends) if tried <= BROADCAST_PAIRS else ends, "node", "left_semi")
     orders = [f"o{k}" for k in range(len(ORDERS))]
     side = lambda c, cols: sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols])
     left = pairs.join(side("a", orders), "a").join(side("b", orders), "b")
@@ -311,7 +316,7 @@ def similar_sets(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         if compared is not None and tried:
             pairs, tried = _stored(pairs.join(compared, ["a", "b"], "left_anti"))
         compared = pairs if compared is None else compared.union(pairs)
-        found, held = _stored(_links(pairs, sets, percent)) if tried else (None, 0)
+        found, held = _stored(_links(pairs, tried, sets, percent)) if tried else (None, 0)
         if held:
             ca, cb = (comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
             joined = components(comp.select(F.col("comp").alias("node")).distinct(), found.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))

@@ -247,8 +247,10 @@ def test_jaccard_join(docs, rows, texts):
         assert (r.n_shingles, r.component_id) == want[r.doc_id], r.doc_id
 
 
-def test_jaccard_join_at_the_threshold(spark):
-    """Sets of every overlap around 75 in 100, of different sizes, and chains of links."""
+@pytest.mark.parametrize("broadcast_pairs", [jaccard_join.BROADCAST_PAIRS, 0])
+def test_jaccard_join_at_the_threshold(spark, monkeypatch, broadcast_pairs):
+    """Sets of every overlap around 75 in 100, of different sizes, and chains of links; sets picked by a broadcast and by a shuffle."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_PAIRS", broadcast_pairs)
     base = [f"w{i}" for i in range(64)]
     texts = {}
     for k in range(0, 60, 2):
@@ -261,6 +263,17 @@ def test_jaccard_join_at_the_threshold(spark):
     assert len({c for _, c in want.values()}) > 1
 
 
+def test_jaccard_join_of_texts_that_share_a_passage(spark):
+    """300 texts share a passage in their prefixes and do not link; a few of them have a near copy."""
+    passage = [f"p{i}" for i in range(100)]
+    texts = {i: " ".join(passage + [f"t{i}_{k}" for k in range(20)]) for i in range(300)}
+    texts |= {1000 + i: f"{texts[i]} end" for i in range(0, 300, 50)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(d).collect()}
+    assert got == brute.near(texts)
+    assert all(got[i][1] == i and (1000 + i not in got or got[1000 + i][1] == i) for i in range(300))
+
+
 def test_ids_of_several_texts_and_null_ids(spark):
     a, b = "one two three four five six seven eight nine ten", "uno dos tres cuatro cinco seis siete ocho nueve diez"
     d = spark.createDataFrame([(5, a), (3, b), (5, b), (None, a), (9, a)], "doc_id long, text string")
