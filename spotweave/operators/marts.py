@@ -29,22 +29,46 @@ def spot_stats(samples: DataFrame, key: str = "organ", value: str = "spots_under
     return d.join(group_quantile(samples, [key], value, 0.5, "median"), key, "left")
 
 
-def manifest(samples: DataFrame, assets: DataFrame, required: tuple[str, ...] = ("features", "counts", "coords")) -> tuple[DataFrame, DataFrame]:
-    """(candidates with a flag per asset, manifest rows of the ready ones). `assets` is (sample_id, asset, path, found)."""
+# The columns of a manifest, in order.
+MANIFEST_COLUMNS = [
+    "sample_id", "patient_id", "cohort", "organ", "disease_state", "platform", "dataset_title", "study_link", "split",
+    "features_path", "counts_path", "coords_path", "size_factor_path", "spots_path", "genes_path", "n_spots", "n_genes",
+    "sf_normalization",
+]
+
+
+def manifest(
+    samples: DataFrame, assets: DataFrame, required: tuple[str, ...] = ("features", "counts", "coords"), sf_normalization: str = "mean"
+) -> tuple[DataFrame, DataFrame]:
+    """(candidates with a flag per asset, manifest rows of the ready ones). `assets` is (sample_id, asset, path, found).
+
+    Manifest rows have exactly `MANIFEST_COLUMNS`. Paths of assets that were not found are empty. Metadata that `samples` lacks is
+    empty text, the patient then is the sample itself, and sizes are NULL.
+    """
     names = ("features", "counts", "coords", "size_factor")
     has = lambda a: F.coalesce(F.bool_or(F.when(F.col("asset") == a, F.col("found"))), F.lit(False))
     path = lambda a: F.coalesce(F.max(F.when((F.col("asset") == a) & F.col("found"), F.col("path"))), F.lit(""))
-    flags = assets.groupBy(SAMPLE).agg(*[has(a).alias(f"has_{a}") for a in names], *[path(a).alias(f"{a}_path") for a in names])
-    j = samples.join(flags, SAMPLE, "left").na.fill(False, [f"has_{a}" for a in names])
+    flags = assets.groupBy(F.col(SAMPLE).alias("_of")).agg(
+        *[has(a).alias(f"_has_{a}") for a in names], *[path(a).alias(f"_{a}_path") for a in (*names, "spots", "genes")]
+    )
+    given = lambda c, default: samples[c] if c in samples.columns else default
+    j = samples.join(flags, samples[SAMPLE] == flags["_of"], "left")
+    found = {a: F.coalesce(f"_has_{a}", F.lit(False)) for a in names}
     ready = F.lit(True)
     for a in required:
-        ready = ready & F.col(f"has_{a}")
-    j = j.withColumn("ready_for_training", ready)
-    candidates = j.select(SAMPLE, "organ", F.col("st_technology").alias("platform"), "dataset_title", *[f"has_{a}" for a in names], "ready_for_training")
-    rows = j.filter("ready_for_training").select(
-        SAMPLE, "patient_id", "cohort", "organ", "disease_state", F.col("st_technology").alias("platform"), "dataset_title",
-        F.lit("unsplit").alias("split"), *[f"{a}_path" for a in names], F.lit("mean").alias("sf_normalization"),
+        ready = ready & found[a]
+    empty, unknown = F.lit(""), F.lit(None).cast("long")
+    values = {
+        SAMPLE: samples[SAMPLE], "patient_id": given("patient_id", samples[SAMPLE].cast("string")), "platform": given("st_technology", empty),
+        "split": F.lit("unsplit"), "n_spots": given("spots_under_tissue", unknown), "n_genes": given("nb_genes", unknown),
+        "sf_normalization": F.lit(sf_normalization),
+    }
+    values |= {c: F.col(f"_{c}") for c in MANIFEST_COLUMNS if c.endswith("_path")}
+    candidates = j.select(
+        samples[SAMPLE], given("organ", empty).alias("organ"), values["platform"].alias("platform"), given("dataset_title", empty).alias("dataset_title"),
+        *[found[a].alias(f"has_{a}") for a in names], ready.alias("ready_for_training"),
     )
+    rows = j.filter(ready).select(*[(values[c] if c in values else given(c, empty)).alias(c) for c in MANIFEST_COLUMNS])
     return candidates, rows
 
 

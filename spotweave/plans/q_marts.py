@@ -60,7 +60,23 @@ def sample_assets(v: Views):
     return d.select("sample_id", "asset", F.concat(F.lit("s"), "sample_id", F.lit("/"), "asset").alias("path"), "found")
 
 
-_FLAGS = "SELECT sample_id, " + ", ".join(f"bool_or(found) FILTER (asset = '{a}') AS has_{a}" for a in ("features", "counts", "coords", "size_factor")) + " FROM sample_assets GROUP BY 1"
+define(
+    "manifest_assets",
+    """SELECT * FROM sample_assets UNION ALL
+SELECT sample_id, a, 's' || sample_id || '/' || a, CASE a WHEN 'spots' THEN spots_under_tissue >= 800 ELSE spots_under_tissue % 2 = 0 END FROM samples, (VALUES ('spots'), ('genes')) t(a)""",
+)
+
+
+def manifest_assets(v: Views):
+    """The assets of `sample_assets` and the optional spot and gene lists."""
+    found = {"spots": F.col("spots_under_tissue") >= 800, "genes": F.col("spots_under_tissue") % 2 == 0}
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("asset"), f.alias("found")) for a, f in found.items()])).alias("r")
+    d = v.samples.select("sample_id", rows).select("sample_id", "r.asset", "r.found")
+    more = d.select("sample_id", "asset", F.concat(F.lit("s"), "sample_id", F.lit("/"), "asset").alias("path"), "found")
+    return sample_assets(v).unionByName(more)
+
+
+_FLAGS = "SELECT sample_id, " + ", ".join(f"bool_or(found) FILTER (asset = '{a}') AS has_{a}" for a in ("features", "counts", "coords", "size_factor", "spots", "genes")) + " FROM manifest_assets GROUP BY 1"
 
 
 @query(
@@ -69,17 +85,18 @@ _FLAGS = "SELECT sample_id, " + ", ".join(f"bool_or(found) FILTER (asset = '{a}'
 FROM samples s JOIN ({_FLAGS}) f USING (sample_id)""",
 )
 def _(v: Views):
-    return op.manifest(v.samples, sample_assets(v))[0]
+    return op.manifest(v.samples, manifest_assets(v))[0]
 
 
 @query(
     "R2_manifest",
-    f"""SELECT s.sample_id, patient_id, cohort, organ, disease_state, st_technology AS platform, dataset_title, 'unsplit' AS split, 's' || s.sample_id || '/features' AS features_path,
+    f"""SELECT s.sample_id, patient_id, cohort, organ, disease_state, st_technology AS platform, dataset_title, '' AS study_link, 'unsplit' AS split, 's' || s.sample_id || '/features' AS features_path,
 's' || s.sample_id || '/counts' AS counts_path, 's' || s.sample_id || '/coords' AS coords_path, CASE WHEN has_size_factor THEN 's' || s.sample_id || '/size_factor' ELSE '' END AS size_factor_path,
-'mean' AS sf_normalization FROM samples s JOIN ({_FLAGS}) f USING (sample_id) WHERE has_features AND has_counts AND has_coords""",
+CASE WHEN has_spots THEN 's' || s.sample_id || '/spots' ELSE '' END AS spots_path, CASE WHEN has_genes THEN 's' || s.sample_id || '/genes' ELSE '' END AS genes_path,
+spots_under_tissue AS n_spots, TRY_CAST(nb_genes_text AS DOUBLE) AS n_genes, 'mean' AS sf_normalization FROM samples s JOIN ({_FLAGS}) f USING (sample_id) WHERE has_features AND has_counts AND has_coords""",
 )
 def _(v: Views):
-    return op.manifest(v.samples, sample_assets(v))[1]
+    return op.manifest(v.samples.withColumn("nb_genes", F.col("nb_genes_text").try_cast("double")), manifest_assets(v))[1]
 
 
 @query(

@@ -11,14 +11,10 @@ from spotweave.functions.scalars import gene_key
 from spotweave.operators.sizefactor import SAMPLE
 from spotweave.session import shared_dir
 
+# Columns that sample metadata must have.
 METADATA_COLUMNS = [
     "dataset_title", "id", "image_filename", "organ", "species", "patient", "st_technology", "spots_under_tissue", "nb_genes",
 ]
-MANIFEST_COLUMNS = [
-    "sample_id", "patient_id", "cohort", "organ", "disease_state", "platform", "dataset_title", "study_link", "split",
-    "features_path", "counts_path", "coords_path", "size_factor_path", "spots_path", "genes_path", "n_spots", "n_genes",
-    "sf_normalization",
-]
 
 # Built-in gene sets of published marker genes (fixed values).
 DEFAULT_GENE_SETS = {
