@@ -210,3 +210,22 @@ def test_input_errors(spark):
         scalars.truth_value("other", F.lit(1), F.lit(1))
     with pytest.raises(InputError):
         align.align_genes(frame(spark, [("x", 0)], "gene string, gene_index int"), frame(spark, [("y", 0)], "gene string, gene_index int"))
+
+
+def test_manifest_columns_and_defaults(spark):
+    """All columns of the contract; unknown metadata is empty, the patient is the sample, lost and missing assets have no path."""
+    from spotweave.operators import marts
+
+    samples = spark.createDataFrame([("a", "lung", 7), ("b", None, None), ("c", "lung", 3)], "sample_id string, organ string, spots_under_tissue long")
+    assets = spark.createDataFrame(
+        [(s, k, f"{s}/{k}", True) for s in "ab" for k in ("features", "counts", "coords")] + [("a", "genes", "a/genes", True), ("a", "spots", "a/spots", False)],
+        "sample_id string, asset string, path string, found boolean",
+    )
+    candidates, rows = marts.manifest(samples, assets)
+    assert rows.columns == marts.MANIFEST_COLUMNS
+    got = {r.sample_id: r for r in rows.collect()}
+    assert set(got) == {"a", "b"}
+    a = got["a"]
+    assert (a.patient_id, a.study_link, a.genes_path, a.spots_path, a.size_factor_path, a.n_spots, a.n_genes) == ("a", "", "a/genes", "", "", 7, None)
+    assert got["b"].organ is None and got["b"].n_spots is None
+    assert {r.sample_id: (r.has_coords, r.ready_for_training) for r in candidates.collect()} == {"a": (True, True), "b": (True, True), "c": (False, False)}
