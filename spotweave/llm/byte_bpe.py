@@ -213,6 +213,10 @@ class Remembered:
         get = self.young.__getitem__
         return [b"".join(map(get, t)) for t in texts]
 
+    def forget(self) -> None:
+        """At the end of a task: a worker that waits for the next one holds no table beside those of other operators."""
+        self.young, self.old = {}, {}
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: base64 token and rank per line. The ids are the ranks."""
@@ -224,7 +228,7 @@ _CODECS: dict = {}
 
 
 def worker_codec(key: int, table: Broadcast, pattern: str) -> tuple:
-    """(splitter, pre-token table, token bytes), kept by the worker process from task to task for one vocabulary at a time."""
+    """(splitter, pre-token table, token bytes), kept by the worker process for one vocabulary at a time; what the table remembers goes with the task."""
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = regex.compile(pattern).findall, Remembered(Encoder(table.value)), {i: b for b, i in table.value.items()}
@@ -241,8 +245,11 @@ def codec(spark: SparkSession, ranks: dict[bytes, int], pattern: str):
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         split, seen, _ = worker_codec(key, table, pattern)
-        for texts in batches:
-            yield pd.Series(seen.encode([split(t) for t in texts]), index=texts.index, dtype=object)
+        try:
+            for texts in batches:
+                yield pd.Series(seen.encode([split(t) for t in texts]), index=texts.index, dtype=object)
+        finally:
+            seen.forget()
 
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = worker_codec(key, table, pattern)[2]
@@ -250,8 +257,7 @@ def codec(spark: SparkSession, ranks: dict[bytes, int], pattern: str):
             yield ids.map(lambda x: b"".join(map(words.__getitem__, memoryview(x).cast("I"))))
 
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            ids = next(encode(iter([texts])))
+        for ids in encode(batches):
             yield pd.DataFrame({"ids": ids, "decoded": next(decode(iter([ids])))})
 
     pair = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import brute
 import data
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +184,16 @@ def test_line_dedup_in_many_partitions(spark, docs, texts):
         assert r[1] == "\n".join(lines), r[0]
 
 
+def test_byte_bpe_workers_forget_pre_tokens_at_the_end_of_a_task(spark):
+    import public_tokenizers as P
+
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    for udf in byte_bpe.codec(spark, ranks, P.PATTERN)[::2]:
+        assert len(list(udf.func(iter([pd.Series(["some words", "other words"]), pd.Series([""])])))) == 2
+        tables = [seen for _, seen, _ in byte_bpe._CODECS.values()]
+        assert tables and not any(t.young or t.old for t in tables)
+
+
 def test_byte_bpe(docs, rows, texts):
     import public_tokenizers as P
     import tiktoken
