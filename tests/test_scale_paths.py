@@ -73,6 +73,20 @@ def test_neighbours_with_outliers_piles_and_points_nowhere(spark):
     assert neighbors.invalid_points(d, ["sample_id"]).first().n_invalid == 3
 
 
+def test_points_are_not_broadcast_to_points(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "FEW", 0)  # the last few points may be broadcast
+    p = spark.createDataFrame([("g", i, float(i % 9), float(i // 9)) for i in range(81)], "sample_id string, spot_id long, x double, y double")
+    p = session.materialise(p)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    reps = session.materialise(p.select("sample_id", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("spot_id").alias("_rep")))
+    places = session.materialise(reps.drop("_rep").select("*", *[F.lit(v).alias(n) for n, v in (("_x0", 0.0), ("_y0", 0.0), ("_w", 2.0), ("_covers", False))]))
+    block = neighbors._nearest_of_block(places, places, reps, ["sample_id"], 5, 1)
+    small = neighbors._compare_all(reps.withColumnRenamed("_rep", "_id"), ["sample_id"], 4)
+    for d in (block, small, neighbors._search_grid(reps.withColumnRenamed("_rep", "_id"), ["sample_id"], 4)):
+        assert "BroadcastHashJoin" not in plan(d)
+        assert d.count() == 81
+
+
 def test_a_cluster_needs_a_shared_folder():
     conf = SimpleNamespace(get=lambda *a: None)
     for master, ok in (("local[2]", True), ("spark://host:7077", False), ("local-cluster[3,2,1000]", False)):
