@@ -97,3 +97,35 @@ def test_a_cluster_needs_a_shared_folder():
         else:
             with pytest.raises(InputError):
                 session.shared_dir(fake)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_cells_unfold_from_the_rows_of_the_spots(spark):
+    """No shuffle and no join: nothing that grows with spots × genes is moved; the rows equal those of the joins."""
+    from spotweave.operators import align, evaluate, sizefactor
+    from spotweave.sources.views import views
+
+    v = views(spark, "/root/testdata/sf0.001")
+    for d in (v.predictions, v.eval_cells, v.ablation_cells, v.measured_cells):
+        assert "Exchange" not in _plan(d) and "Join" not in _plan(d)
+    sf = sizefactor.size_factor(sizefactor.spot_totals(v.spots, v.counts))
+    dense = align.dense_truth(v.spots.select("sample_id", "spot_id"), v.sample_genes, v.counts)
+    assert dense.select(*align.CELL).exceptAll(v.predictions.select(*align.CELL)).isEmpty()
+    joined = evaluate.evaluation_cells(v.predictions, sf, v.counts, v.sample_genes)
+    got, want = ({(r.sample_id, r.spot_id, r.gene): (r.value, r.true_count, r.sf) for r in d.collect()} for d in (v.eval_cells, joined))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 1000
+    totals = sizefactor.normalise_predicted(v.pred_log_sf).select("sample_id", "spot_id", "pred_sf")
+    mine, theirs = ({(r.sample_id, r.spot_id): r.pred_sf for r in d.collect()} for d in (v.pred_sf, totals))
+    assert mine.keys() == theirs.keys() and all(mine[k] == pytest.approx(theirs[k]) for k in mine)
+
+
+def test_gene_sets_meet_cells_without_a_shuffle_by_gene(spark):
+    from spotweave.operators import genesets
+    from spotweave.sources.views import views
+
+    v = views(spark, "/root/testdata/sf0.001")
+    for d in (genesets.spot_scores(v.ablation_cells, v.gene_sets, v.sample_genes), genesets.set_scores(v.eval_cells, v.gene_sets, "value")):
+        assert "hashpartitioning(gene" not in _plan(d)
