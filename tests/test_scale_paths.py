@@ -129,3 +129,26 @@ def test_gene_sets_meet_cells_without_a_shuffle_by_gene(spark):
     v = views(spark, "/root/testdata/sf0.001")
     for d in (genesets.spot_scores(v.ablation_cells, v.gene_sets, v.sample_genes), genesets.set_scores(v.eval_cells, v.gene_sets, "value")):
         assert "hashpartitioning(gene" not in _plan(d)
+
+
+def test_lags_come_with_the_neighbours_and_equal_the_join(spark):
+    """Two signatures share their spots, one lacks some; a lone spot has no lag. Small and grid search agree with joins over edges."""
+    from spotweave.operators import spatial
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for s, sig, n in (("a", "p", 40), ("a", "q", 40), ("a", "r", 23), ("b", "p", 1), ("c", "p", 30)):
+        rows += [(s, sig, i, float(i % 8), float(i // 8), *map(float, rng.normal(size=2))) for i in range(n)]
+    z = spark.createDataFrame(rows, "sample_id string, signature string, spot_id long, x double, y double, z_true double, z_pred double")
+    cols = ["z_true", "z_pred"]
+    want = spatial.spatial_lag(z, spatial.shared_edges(z, 6), spatial.GROUP, cols)
+    out = [*spatial.GROUP, "spot_id", *cols, "lag_z_true", "lag_z_pred", "n_neighbors"]
+    expected = sorted(map(tuple, want.select(*out).collect()))
+    for small in (None, 0):
+        lag = spatial.shared_lag(z, z, 6, cols, small=small)
+        if small is None:
+            assert "neighbor_id" not in _plan(lag)
+        got = sorted(map(tuple, lag.select(*out).collect()))
+        assert [g[:3] for g in got] == [e[:3] for e in expected] and len(got) == 133
+        for g, e in zip(got, expected):
+            assert g[3:] == pytest.approx(e[3:])
