@@ -22,7 +22,7 @@ import xxhash
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from spotweave.llm.common import bounded_batches, text_of, without
+from spotweave.llm.common import bounded_batches, give_back, text_of, without
 
 REMEMBERED = 300_000  # pre-tokens in a generation of the table
 BLOCK_BYTES = 1 << 18  # bytes of pre-tokens that are merged together
@@ -250,6 +250,7 @@ def codec(spark: SparkSession, ranks: dict[bytes, int], pattern: str):
                 yield pd.Series(seen.encode([split(t) for t in texts]), index=texts.index, dtype=object)
         finally:
             seen.forget()
+            give_back()
 
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = worker_codec(key, table, pattern)[2]

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from spotweave.llm.common import bounded_batches, text_of
+from spotweave.llm.common import bounded_batches, give_back, text_of
 from spotweave.session import materialise
 
 WORDS = 5
@@ -127,6 +127,9 @@ def _pack(shards: int, words: int):
                     rows, sets, seen, size = [], [], set(), 0
         if rows:
             yield from flush()
+        del rows, sets, seen
+        hashes.clear()
+        give_back()
 
     return run
 
@@ -135,6 +138,14 @@ _FOUND = "kind int, doc_id long, d1 long, d2 long, n long, token long, df int"
 
 
 def _count(key: tuple, blocks: pa.Table) -> pa.Table:
+    """As `_counted`; the arrays of a shard, many times its rows, are given back before the next one comes."""
+    try:
+        return _counted(key, blocks)
+    finally:
+        give_back()
+
+
+def _counted(key: tuple, blocks: pa.Table) -> pa.Table:
     """A shard: the tokens of two or more documents with their document counts. Blocks of document rows are unpacked."""
     shard = key[0].as_py()
     if shard < 0:
@@ -202,6 +213,7 @@ def _overlap(percent: int):
         for df in frames:
             ok = [similar(r.na, np.asarray(r.ta, dtype=np.int64), r.nb, np.asarray(r.tb, dtype=np.int64)) for r in df.itertuples(index=False)]
             yield df.loc[ok, ["a", "b"]]
+        give_back()
 
     return run
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import brute
@@ -285,6 +288,29 @@ def test_jaccard_join_of_texts_that_share_a_passage(spark):
     assert all(got[i][1] == i and (1000 + i not in got or got[1000 + i][1] == i) for i in range(300))
 
 
+WORKER = """
+import re, sys
+import numpy as np, pandas, pyarrow as pa
+from spotweave.llm import jaccard_join as j
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+def batches():
+    for k in range(6):
+        t = [" ".join(map(str, np.random.randint(0, 10**9, 900))) for _ in range(400)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(400 * k, 400 * k + 400)), pa.array(t)], names=["doc_id", "text"])
+before = held()
+for b in j._pack(64, 5)(batches()):
+    pa.array([x.as_py() for x in b.column(3)], pa.binary())
+del b
+print(held() - before)
+"""
+
+
+def test_a_waiting_worker_gives_back_what_its_task_freed():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    grown = subprocess.run([sys.executable, "-c", WORKER], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True).stdout
+    assert float(grown) < 25
+
+
 def test_ids_of_several_texts_and_null_ids(spark):
     a, b = "one two three four five six seven eight nine ten", "uno dos tres cuatro cinco seis siete ocho nueve diez"
     d = spark.createDataFrame([(5, a), (3, b), (5, b), (None, a), (9, a)], "doc_id long, text string")
