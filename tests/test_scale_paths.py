@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spotweave import session
 from spotweave.checks import InputError
-from spotweave.operators import neighbors, ordering, splits, states
+from spotweave.operators import neighbors, ordering, spatial, splits, states
 
 ROWS = [(k, v, i) for i, (k, v) in enumerate(itertools.product(["a", None, "b"], [1.0, 1.0, 2.5, float("nan"), 4.0, 4.0, 4.0, -1.0, 0.0, 7.0]))]
 
@@ -152,3 +152,18 @@ def test_lags_come_with_the_neighbours_and_equal_the_join(spark):
         assert [g[:3] for g in got] == [e[:3] for e in expected] and len(got) == 133
         for g, e in zip(got, expected):
             assert g[3:] == pytest.approx(e[3:])
+
+
+def test_tasks_of_the_neighbour_means_follow_the_edges(spark, monkeypatch):
+    """Rows on a lattice are few bytes: chosen by size, one task would gather the vectors of all spots."""
+    monkeypatch.setattr(neighbors, "PLACES_PER_TASK", 7)
+    monkeypatch.setattr(spatial, "EDGES_PER_TASK", 9)
+    spots = [("a", i, float(i % 6), float(i // 6), [float(i), float(i * i)]) for i in range(60)]
+    d = spark.createDataFrame(spots, "sample_id string, spot_id long, x double, y double, features array<double>")
+    edges = session.materialise(neighbors.knn(d, ["sample_id"], 4, small=0))
+    near = {i: sorted(((x - u) ** 2 + (y - v) ** 2, j) for _, j, u, v, _ in spots if j != i)[:4] for _, i, x, y, _ in spots}
+    means = spatial.neighbor_means(d, edges)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * 60 // 9))
+    plan = means._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 3 and f", {n}), REPARTITION_BY_NUM" in plan
+    assert {r.spot_id: r.neighbor_mean for r in means.collect()} == {i: [sum(spots[j][4][c] for _, j in e) / 4 for c in (0, 1)] for i, e in near.items()}
